@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_coding, simhash, token_counts
+from . import exact_dedup, mixing, piece_coding, simhash, token_counts
 
-_MODULES = (token_counts, piece_coding, simhash, exact_dedup)
+_MODULES = (token_counts, mixing, piece_coding, simhash, exact_dedup)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
