@@ -51,38 +51,62 @@ class Transducer:
             self.spelled[i] = bytes([byte])
         for special in (i for i, p in enumerate(model.text) if p not in model.ids and i not in model.byte_ids.values()):
             self.spelled[special] = b""
-
-    def weight(self, before: str, piece: str) -> float:
-        if self.model.is_bpe:
-            return 0.0 if self.model.apart[before, piece] else math.inf
-        return self.model.cost[piece]
+        self.letters = np.frombuffer(b"".join(self.spelled), dtype=np.uint8)
+        self.sizes = np.array([len(p) for p in self.spelled], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pieces_from(self, chunk: str, start: int) -> list[str]:
+        """Pieces that begin at a place of the chunk, shortest first."""
+        arcs, final, state, found = self.arcs, self.final, 0, []
+        for j in range(start, len(chunk)):
+            state = arcs[state].get(chunk[j], 0)
+            if not state:
+                break
+            if final[state] is not None:
+                found.append(final[state])
+        return found or [chunk[start]]
 
     def shortest(self, chunk: str) -> list[int]:
-        """Ids on the shortest path over a chunk, by relaxing arcs left to right."""
-        n, arcs, final = len(chunk), self.arcs, self.final
+        """Ids on the shortest path over a chunk."""
+        path = self.finite_path(chunk) if self.model.is_bpe else self.least_path(chunk)
+        return [i for p in path for i in ([self.model.ids[p]] if p in self.model.ids else self.model.fallback(p))]
+
+    def finite_path(self, chunk: str) -> list[str]:
+        """The only path without an infinite arc, depth first along long arcs.
+
+        All paths of finite weight reach a place with the same last piece, so
+        a place from which none goes on is left for good.
+        """
+        path, ends, dead, apart = [""], [0], set(), self.model.apart
+        while ends[-1] < len(chunk):
+            here = ends[-1]
+            for piece in reversed(self.pieces_from(chunk, here)):
+                end = here + len(piece)
+                if end not in dead and (apart[path[-1], piece] or piece not in self.model.ids):
+                    path.append(piece)
+                    ends.append(end)
+                    break
+            else:
+                dead.add(here)
+                path.pop()
+                ends.pop()
+        return path[1:]
+
+    def least_path(self, chunk: str) -> list[str]:
+        """The path of least total weight, by relaxing arcs left to right."""
+        n = len(chunk)
         best: list[float] = [0.0] + [math.inf] * n
-        back: list[tuple[int, str]] = [(0, "")] * (n + 1)
+        last: list[str] = [""] * (n + 1)
         for i in range(n):
-            if best[i] == math.inf:
-                continue
-            here, before, state = best[i], back[i][1], 0
-            for j in range(i, n):
-                state = arcs[state].get(chunk[j], 0)
-                if not state:
-                    break
-                piece = final[state]
-                if piece is not None and (total := here + self.weight(before, piece)) < best[j + 1]:
-                    best[j + 1], back[j + 1] = total, (i, piece)
-            if chunk[i] not in arcs[0] or final[arcs[0][chunk[i]]] is None:
-                total = here + (0.0 if self.model.is_bpe else FALLBACK_WEIGHT)
-                if total < best[i + 1]:
-                    best[i + 1], back[i + 1] = total, (i, chunk[i])
-        out: list[list[int]] = []
-        at = n
-        while at:
-            at, piece = back[at]
-            out.append([self.model.ids[piece]] if piece in self.model.ids else self.model.fallback(piece))
-        return [i for ids in reversed(out) for i in ids]
+            for piece in self.pieces_from(chunk, i):
+                total = best[i] + self.model.cost.get(piece, FALLBACK_WEIGHT)
+                if total < best[i + len(piece)]:
+                    best[i + len(piece)], last[i + len(piece)] = total, piece
+        path = []
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
+        return path[::-1]
 
     def _path(self, chunk: str) -> bytes:
         return np.array(self.shortest(chunk), dtype="<i4").tobytes()
@@ -92,9 +116,14 @@ class Transducer:
         so the shortest path is the chunks' paths in a row."""
         return b"".join(map(self.paths.__getitem__, self.model.split(self.model.normalised(text))))
 
-    def decode(self, ids: list[int]) -> bytes:
-        spelled = b"".join(map(self.spelled.__getitem__, ids))
-        return spelled[1:] if spelled[:1] == b" " else spelled
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Texts of several documents, whose ids lie one after another; the
+        document k has those from offsets[k] to offsets[k + 1]."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        source = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        spelled, cuts = self.letters[source].tobytes(), ends[offsets].tolist()
+        return [spelled[a + (spelled[a : a + 1] == b" " and a < b) : b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _compiled: dict[int, Transducer] = {}
@@ -138,7 +167,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [machine.decode(ids or []).decode("utf-8", "replace") for ids in part.column(at).to_pylist()]
+                lists = part.column(at).fill_null([]) if part.column(at).null_count else part.column(at)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+                texts = [t.decode("utf-8", "replace") for t in machine.decode(ids, offsets - offsets[0])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

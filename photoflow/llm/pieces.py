@@ -13,7 +13,7 @@ SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 PUNCTUATION = ".,;:!?#$%&*|)"
 #: Entries of a worker's table before the older half goes.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 250_000
 
 
 class Bounded(dict):
@@ -71,7 +71,7 @@ class Pieces:
         word = f"{SPACE}*[^\\W\\d_]+(?=[{stop}{ends}]|$)|" if SPACE not in follows else ""
         self.split = re.compile(f"{word}{SPACE}*[^{stop}]+|{SPACE}+" + (f"|[{re.escape(lone)}]" if lone else "")).findall
         self.halves: dict[str, tuple[str, str]] = {}
-        self.apart = Bounded(self._apart, 400_000)
+        self.apart = Bounded(self._apart)
 
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
