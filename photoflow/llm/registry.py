@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, piece_coding, sharding, simhash, token_counts, topk, toxicity
+from . import exact_dedup, mixing, piece_coding, quality, sharding, simhash, token_counts, topk, toxicity
 
-_MODULES = (token_counts, topk, mixing, sharding, toxicity, piece_coding, simhash, exact_dedup)
+_MODULES = (token_counts, topk, mixing, quality, sharding, toxicity, piece_coding, simhash, exact_dedup)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
