@@ -15,7 +15,7 @@ from .components import components
 
 SEED = 42
 #: Distinct fingerprints of one tile, on average at most.
-TILE = 8192
+TILE = 32768
 #: Rows of a tile that are compared with the other tile at once.
 BLOCK = 64
 
@@ -83,16 +83,19 @@ def local_roots(n: int, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
 def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles, reduced to a forest with the same components.
 
-    Rows of a tile are (node, word 0, word 1, ...).  The first word alone
-    decides most pairs; the further ones are read for the rest.
+    Rows of a tile are (node, word 0, word 1, ...).  In a link, some word
+    differs in at most radius / words bits: each word nominates pairs by that
+    bound, and the sum over all words decides.
     """
     nodes = np.concatenate([left[:, 0], right[:, 0]])
     labels, words = np.arange(len(nodes)), left.shape[1] - 1
     a, b = left[:, 1:].astype(np.uint64), right[:, 1:].astype(np.uint64)
-    first = np.ascontiguousarray(b[:, 0])
-    # further words have the same expected distance as the first; none may exceed the radius
+    columns = [np.ascontiguousarray(b[:, w]) for w in range(words)]
     for at in range(0, len(a), BLOCK):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + BLOCK, :1] ^ first) <= radius)
+        hit = np.zeros((min(BLOCK, len(a) - at), len(b)), dtype=bool)
+        for w, column in enumerate(columns):
+            hit |= np.bitwise_count(a[at : at + BLOCK, w : w + 1] ^ column) <= radius // words
+        i, j = np.nonzero(hit)
         i = i + at
         if words > 1 and len(i):
             near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
@@ -108,19 +111,21 @@ def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.nd
 def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame:
     """A forest (u, v) over fingerprints that differ in at most ``radius`` bits.
 
-    A tile holds fingerprints of one population count of the first word. Two
+    A tile holds fingerprints of one population count over all words. Two
     tiles whose counts differ by more than the radius cannot hold a link and
     never meet; the others meet in one task per pair, as packed rows. The list
-    of tiles is the histogram of 65 population counts, whatever the input.
+    of tiles is the histogram of the population counts, 64 per word and one,
+    whatever the input.
     """
-    nodes = nodes.withColumn("pop", F.bit_count("f0").cast("int"))
+    most = 64 * lanes
+    nodes = nodes.withColumn("pop", sum((F.bit_count(f"f{i}") for i in range(1, lanes)), F.bit_count("f0")).cast("int"))
     sizes = {r["pop"]: r["n"] for r in nodes.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    chunks = [-(-sizes.get(p, 0) // TILE) for p in range(65)]
+    chunks = [-(-sizes.get(p, 0) // TILE) for p in range(most + 1)]
     count = F.element_at(F.array(*[F.lit(max(c, 1)) for c in chunks]), F.col("pop") + 1)
     packed = F.flatten(F.collect_list(F.array("node", *[f"f{i}" for i in range(lanes)])))
     tiles = staged(nodes.groupBy("pop", F.pmod(F.xxhash64("node", F.lit(1)), count).cast("int").alias("chunk")).agg(packed.alias("rows")))
-    partners = F.array(*[F.array(*[F.struct(F.lit(p).alias("pop"), F.lit(c).alias("chunk")) for c in range(chunks[p])]).cast("array<struct<pop:int,chunk:int>>") for p in range(65)])
-    near = F.flatten(F.slice(partners, F.col("pop") + 1, F.least(F.lit(radius + 1), F.lit(65) - F.col("pop"))))
+    partners = F.array(*[F.array(*[F.struct(F.lit(p).alias("pop"), F.lit(c).alias("chunk")) for c in range(chunks[p])]).cast("array<struct<pop:int,chunk:int>>") for p in range(most + 1)])
+    near = F.flatten(F.slice(partners, F.col("pop") + 1, F.least(F.lit(radius + 1), F.lit(most + 1) - F.col("pop"))))
     left = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"), F.explode(near).alias("to"))
     left = left.where("to.pop > pop_a or to.chunk >= chunk_a")
     left = left.select("rows_a", F.col("to.pop").alias("pop"), F.col("to.chunk").alias("chunk")).repartition(parallel, "pop", "chunk")
