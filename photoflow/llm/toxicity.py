@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import hash52, map_texts, table
+from .base import hash52, map_texts, staged, table
 from .pieces import Bounded
 
 #: Lengths of the n-grams; a word has one mark in front and one behind.
@@ -51,44 +51,50 @@ class Model:
     bias: float
 
 
-def fit(texts: list[list[str]], labels: np.ndarray) -> Model:
-    """``texts`` are lists of distinct words. Without both labels the model
-    knows nothing: it scores every text by the share of label 1."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, grams: list[str], texts_with: np.ndarray) -> Model:
+    """``rows`` are the places in ``grams`` of each text's n-grams; ``texts_with``
+    has for each n-gram the number of texts of label 1 and 0 that have it.
+    Without both labels the model knows nothing: it scores every text by the
+    share of label 1."""
     n, positive = len(labels), int(labels.sum())
-    if not 0 < positive < n:
+    if not 0 < positive < n or not grams:
         return Model({}, math.log((positive + 0.5) / (n - positive + 0.5)) if n else -1.0)
-    ids: dict[str, int] = {}
-    of_word: dict[str, np.ndarray] = {}
-    rows = []
-    for words in texts:
-        for w in words:
-            if w not in of_word:
-                of_word[w] = np.array([ids.setdefault(g, len(ids)) for g in ngrams(w)], dtype=np.int32)
-        rows.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32))
+    p, q = texts_with.T.astype(float)
+    ratio = np.log((p + SMOOTHING) / (positive + SMOOTHING)) - np.log((q + SMOOTHING) / (n - positive + SMOOTHING))
     row_of = np.repeat(np.arange(n), [len(r) for r in rows])
-    features = np.concatenate(rows)
-    p = np.bincount(features[labels[row_of] == 1], minlength=len(ids)).astype(float)
-    q = np.bincount(features, minlength=len(ids)) - p
-    # chosen by the log-likelihood ratio of presence against the label
-    chosen = np.flatnonzero(p + q >= LEAST_TEXTS)
-    gain = likelihood_gain(p[chosen], q[chosen], positive, n - positive)
-    chosen = chosen[np.argsort(-gain, kind="stable")[:MOST_FEATURES]]
-    ratio = np.log((p[chosen] + SMOOTHING) / (positive + SMOOTHING)) - np.log((q[chosen] + SMOOTHING) / (n - positive + SMOOTHING))
-    column = np.full(len(ids), -1)
-    column[chosen] = np.arange(len(chosen))
-    held = column[features] >= 0
-    weights, bias = logistic(row_of[held], column[features[held]], ratio, labels.astype(float), PENALTY)
-    names = np.array(list(ids), dtype=object)[chosen]
-    return Model({g: float(w) for g, w in zip(names, weights * ratio, strict=True) if abs(w) > 1e-9}, bias)
-
-
-def likelihood_gain(p: np.ndarray, q: np.ndarray, positive: int, negative: int) -> np.ndarray:
-    def part(k, m, rate):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(k * np.log(k / (m * rate))) + np.nan_to_num((m - k) * np.log((m - k) / (m * (1 - rate))))
-
-    rate = (p + q) / (positive + negative)
-    return part(p, positive, rate) + part(q, negative, rate)
+    weights, bias = logistic(row_of, np.concatenate(rows), ratio, labels.astype(float), PENALTY)
+    return Model({g: float(w) for g, w in zip(grams, weights * ratio, strict=True) if abs(w) > 1e-9}, bias)
+
+
+def likelihood_gain(positive: int, negative: int) -> Column:
+    """The log-likelihood ratio of an n-gram's presence against the label, of columns p and q."""
+    rate = (F.col("p") + F.col("q")) / F.lit(float(positive + negative))
+
+    def part(k: Column, m: int) -> Column:
+        has = F.when(k > 0, k * F.ln(k / (rate * m))).otherwise(0.0)
+        lacks = F.when(k < m, (F.lit(m) - k) * F.ln((F.lit(m) - k) / ((F.lit(1.0) - rate) * m))).otherwise(0.0)
+        return has + lacks
+
+    return part(F.col("p"), positive) + part(F.col("q"), negative)
+
+
+def chosen_grams(sample: DataFrame, positive: int, negative: int) -> tuple[list[str], np.ndarray]:
+    """The n-grams that enter the model, and how many texts of either label have
+    them: counted over the sample by Spark, summed per batch before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for words, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g in {g for w in words for g in ngrams(w)}:
+                    counts.setdefault(g, [0, 0])[1 - label] += 1
+            pairs = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["gram", "p", "q"])
+
+    counted = sample.select("words", "label").mapInArrow(run, "gram string, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    ranked = counted.where(F.col("p") + F.col("q") >= LEAST_TEXTS).withColumn("gain", likelihood_gain(positive, negative))
+    rows = ranked.orderBy(F.desc("gain"), "gram").limit(MOST_FEATURES).select("gram", "p", "q").collect()
+    return [r["gram"] for r in rows], np.array([[r["p"], r["q"]] for r in rows]).reshape(-1, 2)
 
 
 def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 120) -> tuple[np.ndarray, float]:
@@ -155,16 +161,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = MOST_ROWS) -> Model:
-    """The model fitted on labelled rows that are not held out, ``most_rows`` at most."""
-    sample = labelled_sample(docs, labels, "toxic", ~held_out, most_rows)
+    """The model fitted on labelled rows that are not held out, ``most_rows`` at
+    most. The driver gets the counts of the chosen n-grams and which of them each
+    row has: tables of fixed size."""
+    chosen = labelled_sample(docs, labels, "toxic", ~held_out, most_rows)
 
     def kernel(texts: list[bytes]) -> dict:
         return {"words": pa.array([sorted(distinct_words(t)) for t in texts], type=pa.list_(pa.string()))}
 
-    rows = map_texts(sample, kernel, "words array<string>", {"doc_id": F.col("doc_id"), "label": F.col("label").cast("int")}).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    words, label = rows.column("words"), rows.column("label").to_numpy()[order]
-    return fit([words[int(i)].as_py() for i in order], label)
+    sample = staged(map_texts(chosen, kernel, "words array<string>", {"doc_id": F.col("doc_id"), "label": (F.col("label") > 0).cast("int")}))
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    grams, texts_with = chosen_grams(sample, positive, n - positive) if 0 < positive < n else ([], np.zeros((0, 2)))
+    place = {g: i for i, g in enumerate(grams)}
+
+    def places(batches):
+        for batch in batches:
+            held = [sorted({place[g] for w in words for g in ngrams(w) if g in place}) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "label", "held"])
+
+    rows = sample.select("doc_id", "label", "words").mapInArrow(places, "doc_id long, label int, held array<int>").orderBy("doc_id").toArrow()
+    held = rows.column("held").combine_chunks()
+    return fit([np.asarray(x.values, dtype=np.int64) for x in held], rows.column("label").to_numpy(), grams, texts_with)
 
 
 def scored(docs: DataFrame, model: Model, keys: dict[str, Column]) -> DataFrame:
