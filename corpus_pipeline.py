@@ -53,9 +53,8 @@ def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that the ids spell, and whether that is the text which went in."""
     ship_package(spark)
     keys = tuple(c for c in docs.columns if c != "text")
-    found = piece_coding.decode(piece_coding.encode(docs, default_model(), keys), default_model())
-    same = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
-    return found.select(*[F.col(f"`{k}`") for k in keys], "n_tokens", "ids", F.col("decoded").alias("text"), same.alias("round_trip"))
+    found = piece_coding.round_trip(docs, default_model(), keys)
+    return found.select(*[F.col(f"`{k}`") for k in keys], "n_tokens", "ids", F.col("decoded").alias("text"), "round_trip")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
