@@ -79,12 +79,20 @@ class Transducer:
         All paths of finite weight reach a place with the same last piece, so
         a place from which none goes on is left for good.
         """
-        path, ends, dead, apart = [""], [0], set(), self.model.apart
-        while ends[-1] < len(chunk):
-            here = ends[-1]
-            for piece in reversed(self.pieces_from(chunk, here)):
+        arcs, final, apart, ids, longest = self.arcs, self.final, self.model.apart, self.model.ids, self.model.longest
+        path, ends, dead, size, here = [""], [0], set(), len(chunk), 0
+        while here < size:
+            state, found = 0, []
+            for char in chunk[here : here + longest]:
+                state = arcs[state].get(char, 0)
+                if not state:
+                    break
+                if final[state] is not None:
+                    found.append(final[state])
+            last = path[-1]
+            for piece in reversed(found) if found else (chunk[here],):
                 end = here + len(piece)
-                if end not in dead and (apart[path[-1], piece] or piece not in self.model.ids):
+                if end not in dead and (apart[last, piece] or piece not in ids):
                     path.append(piece)
                     ends.append(end)
                     break
@@ -92,6 +100,7 @@ class Transducer:
                 dead.add(here)
                 path.pop()
                 ends.pop()
+            here = ends[-1]
         return path[1:]
 
     def least_path(self, chunk: str) -> list[str]:

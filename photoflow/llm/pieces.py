@@ -13,7 +13,7 @@ SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 PUNCTUATION = ".,;:!?#$%&*|)"
 #: Entries of a worker's table before the older half goes.
-TABLE_ROWS = 100_000
+TABLE_ROWS = 300_000
 
 
 class Bounded(dict):
