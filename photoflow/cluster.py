@@ -1,4 +1,4 @@
-"""Makes the package importable in Python workers."""
+"""What a session needs: the package in Python workers, and shared checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -27,3 +27,21 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _sent.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, for tables that later passes read again.
+
+    Files go to the folder of ``spark.checkpoint.dir``, which all executors
+    share; only a local session without that setting gets a temporary one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="photoflow-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
