@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, pairs
+from . import cleaning, curves, pairs
 
-_MODULES = (cleaning, pairs)
+_MODULES = (cleaning, curves, pairs)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
