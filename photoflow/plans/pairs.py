@@ -34,7 +34,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.curve_features(curves(spark, sf_dir).withColumn("t", F.col("t") - 2449000.0), KEYS), 8)
+    return rounded(P.curve_features(curves(spark, sf_dir).withColumn("t", F.col("t") - 2449000.0), KEYS), 11)
 
 
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ ORACLE_SQL = {
     "p4_pair_stats": STRETCHED + """, m AS (SELECT source, a, b, side, median(y) AS mid, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM st GROUP BY ALL), m2 AS (SELECT source, a, b, side, greatest(1.4826 * median(abs(y - mid)), 1e-6) AS scale FROM st JOIN m USING (source, a, b, side) GROUP BY ALL),
       c AS (FROM m JOIN m2 USING (source, a, b, side)), j AS (SELECT x.source, x.a, x.b, x.mid AS ma, y.mid AS mb, x.scale AS sa, y.scale AS sb, x.n AS na, y.n AS nb, greatest(x.t1, y.t1) - least(x.t0, y.t0) AS joint, greatest(0, least(x.t1, y.t1) - greatest(x.t0, y.t0)) AS shared, (y.t1 - y.t0) - (x.t1 - x.t0) AS sd FROM c AS x JOIN c AS y USING (source, a, b) WHERE x.side = 'a' AND y.side = 'b')
       SELECT source, a, b, round((mb - ma) / 3, 7) AS median_difference, round(ln(sb / sa), 7) AS scale_ratio, round(na / 213, 7) AS n_a, round(nb / 213, 7) AS n_b, round(shared / greatest(joint, 1), 7) AS overlap, round(sd / greatest(joint, 1), 7) AS span_difference FROM j""",
-    "p9_curve_features": f"WITH {BINS}, {features_sql('b', 'source, component', 't - 2449000.0')} SELECT source, component, {all_rounded(FEATURES, 8)} FROM ft".replace("FROM b WINDOW", "FROM (SELECT source, component, t, y, s FROM b) AS b WINDOW"),
+    "p9_curve_features": f"WITH {BINS}, {features_sql('b', 'source, component', 't - 2449000.0')} SELECT source, component, {all_rounded(FEATURES, 11)} FROM ft".replace("FROM b WINDOW", "FROM (SELECT source, component, t, y, s FROM b) AS b WINDOW"),
     "p15_cadence": STRETCHED + ", " + NEAREST.format("st") + """, gp AS (SELECT *, t - lag(t) OVER (PARTITION BY source, a, b, side ORDER BY t, y, s) AS gap FROM st),
       g AS (SELECT source, a, b, side, count(*) AS n, min(t) AS t0, max(t) AS t1, median(gap) AS gm, stddev_pop(gap) AS gs, max(gap) AS gx FROM gp GROUP BY ALL)
       SELECT source, a, b, abs(x.n - y.n) AS n_difference, round(abs(x.gm - y.gm), 6) AS gap_median_difference, round(abs(x.gs - y.gs), 6) AS gap_std_difference, round(abs(x.gx - y.gx), 6) AS gap_max_difference,
