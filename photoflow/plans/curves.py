@@ -91,6 +91,10 @@ ORACLE_SQL = {
     "m6_event_features": f"""WITH {_Z}, e AS (SELECT *, row_number() OVER w AS i, count(*) OVER g AS size, coalesce(t - lag(t) OVER w, 0) AS gap, coalesce(z - lag(z) OVER w, 0) AS dz, (t - min(t) OVER g) / (max(t) OVER g - min(t) OVER g) AS rel FROM zz WINDOW w AS (PARTITION BY source, component ORDER BY t, y), g AS (PARTITION BY source, component)),
       e2 AS (SELECT *, CASE WHEN i > 1 THEN greatest(-20, least(20, dz / greatest(gap, 1e-3))) ELSE 0 END AS slope FROM e)
       SELECT source, component, i::INTEGER AS i, round(t, 6) AS t, round(z, 6) AS z, round(ln(1 + gap), 6) AS log_gap, round(rel, 6) AS relative_t, round(slope, 6) AS slope, round(abs(slope), 6) AS slope_size FROM e2 WHERE i > size - 128""",
+    "m12_lens_channels": f"""WITH {_Z}, e AS (SELECT *, t - lag(t) OVER w AS bf, lead(t) OVER w - t AS af, row_number() OVER w AS i, sum(z) OVER c AS total, count(z) OVER c AS held, first(z) OVER a AS z0, last(z) OVER a AS z1, (lead(z) OVER w - z) / greatest(lead(t) OVER w - t, 1e-3) AS up
+        FROM zz WINDOW w AS (PARTITION BY source, component ORDER BY t, y), c AS (PARTITION BY source, component ORDER BY t, y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), a AS (PARTITION BY source, component ORDER BY t, y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+      h AS (SELECT *, z - (total + (5 - held) * CASE WHEN i <= 2 THEN z0 ELSE z1 END) / 5 AS high, coalesce(up, lag(up) OVER (PARTITION BY source, component ORDER BY t, y), 0) AS rise FROM e)
+      SELECT source, component, round(t, 6) AS t, round(z, 6) AS z, round(coalesce(bf, af, 0), 6) AS gap_before, round(coalesce(af, bf, 0), 6) AS gap_after, round(high, 6) AS highpass, round(abs(high), 6) AS highpass_size, round(rise, 6) AS rise FROM h""",
     "j2_full_outer_fusion": f"""WITH {LC}, m AS (SELECT source || '-' || component AS component, count(*) AS n, (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 2 / median(s) AS snr FROM lc GROUP BY lc.source, lc.component),
       f AS (SELECT component, snr, snr > 2.2 AS p FROM m WHERE n % 3 <> 0), w AS (SELECT component, snr, n > 200 AS p FROM m WHERE n % 5 <> 0)
       SELECT component, round(f.snr, 6) AS forest_score, f.p AS forest, round(w.snr, 6) AS network_score, w.p AS network, coalesce(f.p, false) OR coalesce(w.p, false) AS positive FROM f FULL JOIN w USING (component)""",
