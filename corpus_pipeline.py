@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photoflow.cluster import ship_package
-from photoflow.llm import exact_dedup, mixing, piece_coding, simhash, toxicity
+from photoflow.llm import exact_dedup, mixing, near_copies, piece_coding, toxicity
 from photoflow.llm.base import shared_dir, table
 from photoflow.llm.pieces import default_model
 
-#: Near-duplicates: shingles of five words, 256 bits. Texts whose shingles are
-#: 0.8 alike differ in 39 bits on average, with a deviation of 6; unrelated
-#: texts in 128. The radius leaves room so that few pairs from 0.8 are missed.
-SHINGLE, LANES, RADIUS = 5, 4, 44
+#: Near-duplicates: sets of shingles of five words with a Jaccard similarity of
+#: 0.8 or more. 256-bit fingerprints only propose them: texts of similarity 0.8
+#: differ in 39 bits on average (4 against 5 shingles: 48), with a deviation of
+#: 6; unrelated texts in 110 to 128, with one of 8.
+SHINGLE, LANES, RADIUS, SIMILARITY = 5, 4, 72, 0.8
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id."""
     ship_package(spark)
-    return simhash.kept_rows(docs, shingle=SHINGLE, lanes=LANES, radius=RADIUS)
+    return near_copies.kept_rows(docs, shingle=SHINGLE, lanes=LANES, radius=RADIUS, similarity=SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

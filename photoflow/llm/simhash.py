@@ -168,14 +168,18 @@ def near_dedup(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int =
     return narrow.join(of_fingerprint, words).select("doc_id", "tag", *words, "component_id")
 
 
+def without_dropped(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without those whose doc_id in ``found`` is not its component_id."""
+    dropped = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("tag__")), "left_anti")
+
+
 def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group: that with the least doc_id.
 
     Rows that repeat the least doc_id and its text all stay.
     """
-    found = near_dedup(docs, **how)
-    dropped = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("tag__")), "left_anti")
+    return without_dropped(docs, near_dedup(docs, **how))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
