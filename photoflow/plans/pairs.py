@@ -13,6 +13,8 @@ from .cleaning import BINS, LC, rounded
 
 DELAYS = [-40.0, -20.0, 0.0, 20.0, 40.0]
 SCAN = D.Scan(least=-40.0, most=40.0, steps=5, grid=50)
+#: The production scan: 400 delays of -500 to 500 days, 200 grid points; 200 draws.
+FULL_SCAN, DRAWS = D.Scan(), 200
 CONTRASTED = ["n", "y_std", "gap_max"]
 
 
@@ -82,9 +84,17 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.estimated(sides(spark, sf_dir), SCAN, refine=False), 6)
 
 
+def full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.delay_scores(D.prepared(sides(spark, sf_dir)), FULL_SCAN.delays(), FULL_SCAN), 6)
+
+
+def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.estimated(sides(spark, sf_dir), FULL_SCAN, refine=True), 6)
+
+
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monte Carlo: five draws of each pair, summarised."""
-    return P.sample_summary(D.drawn_delays(sides(spark, sf_dir), SCAN, 5), [*P.PAIR, "method"], "delay")
+    """Monte Carlo: the refined production scan of every draw of each pair, summarised."""
+    return P.sample_summary(D.drawn_delays(sides(spark, sf_dir), FULL_SCAN, DRAWS, refine=True), [*P.PAIR, "method"], "delay")
 
 
 SIDES = f"""WITH {BINS}, u AS (SELECT DISTINCT source, component FROM b), pr AS (SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component),
@@ -158,6 +168,8 @@ QUERIES = {
     "d5_delay_scores": scores,
     "d7_grid_argmin": best,
     "d8_monte_carlo": drawn,
+    "d5_full_delay_scores": full_scores,
+    "d7_refined_delays": refined,
 }
 ORACLE_SQL = {
     "j5_component_pairs": f"WITH {LC}, u AS (SELECT DISTINCT source, component FROM lc) SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component",
