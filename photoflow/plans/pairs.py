@@ -15,6 +15,8 @@ DELAYS = [-40.0, -20.0, 0.0, 20.0, 40.0]
 SCAN = D.Scan(least=-40.0, most=40.0, steps=5, grid=50)
 #: The production scan: 400 delays of -500 to 500 days, 200 grid points; 200 draws.
 FULL_SCAN, DRAWS = D.Scan(), 200
+#: The reference's scan of correlations: 161 delays of -805 to 805 days.
+FULL_DELAYS = D.Scan(least=-805.0, most=805.0, steps=161).delays()
 CONTRASTED = ["n", "y_std", "gap_max"]
 
 
@@ -60,6 +62,19 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.profile_summary(P.correlations(sides(spark, sf_dir), DELAYS), P.PAIR, "delay", "corr"), 7)
 
 
+def full_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), 7)
+
+
+def full_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.profile_summary(P.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), P.PAIR, "delay", "corr"), 7)
+
+
+def full_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.curve_features(P.stretched(sides(spark, sf_dir)), [*P.PAIR, "side"])
+    return rounded(P.contrasts(found, [c for c in found.columns if c not in (*P.PAIR, "side")]), 6)
+
+
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.merged_epochs(line_items(spark, sf_dir), KEYS))
 
@@ -170,6 +185,9 @@ QUERIES = {
     "d8_monte_carlo": drawn,
     "d5_full_delay_scores": full_scores,
     "d7_refined_delays": refined,
+    "p11_full_delay_correlations": full_correlations,
+    "a17_full_profile_summary": full_summaries,
+    "p16_full_contrasts": full_contrasts,
 }
 ORACLE_SQL = {
     "j5_component_pairs": f"WITH {LC}, u AS (SELECT DISTINCT source, component FROM lc) SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component",

@@ -49,3 +49,30 @@ def test_monte_carlo_draws(spark, sides, monkeypatch):
     assert asked == [(plans.D.Scan(), 200, True)]
     assert {r.method for r in rows} == set(plans.D.METHODS)
     assert all(r.n_valid == 3 and abs(r["median"] - DELAY) < 3 for r in rows)
+
+
+def plain_correlations(curves, delay):
+    (ta, ya), (tb, yb) = (np.array([(r[2], r[3]) for r in curves if r[1] == c]).T for c in "AB")
+    inside = (ta >= (tb - delay).min()) & (ta <= (tb - delay).max())
+    if inside.sum() < 5:
+        return 0, 0.0, 3.0
+    a, b = ya[inside], np.interp(ta[inside], tb - delay, yb)
+    za, zb = ((x - np.median(x)) / (1.4826 * np.median(np.abs(x - np.median(x)))) for x in (a, b))
+    return int(inside.sum()), np.corrcoef(a, b)[0, 1], np.median(np.abs(za - zb))
+
+
+def test_correlations_of_all_delays(spark, sides, curves):
+    rows = plans.QUERIES["p11_full_delay_correlations"](spark, "").collect()
+    assert sorted(r.delay for r in rows) == np.linspace(-805, 805, 161).round(7).tolist()
+    for r in rows:
+        assert (r.n, r.corr, r.mae) == pytest.approx(plain_correlations(curves, r.delay), abs=1e-6)
+    found = plans.QUERIES["a17_full_profile_summary"](spark, "").first()
+    corr = sorted((r.corr for r in rows), reverse=True)
+    assert found.top == pytest.approx(corr[0]) and abs(found.top_delay - DELAY) < 10.1
+    assert found.stands_out == pytest.approx(corr[0] - np.mean(corr[1:6]), abs=1e-6)
+
+
+def test_all_features_are_contrasted(spark, sides):
+    found = plans.QUERIES["p16_full_contrasts"](spark, "")
+    assert {f"diff_signed_{c}" for c in plans.FEATURES.split()} <= set(found.columns) and len(found.columns) == 3 + 5 * 25
+    assert found.count() == 1
