@@ -61,25 +61,35 @@ def test_sentencepiece_round_trip(docs, empty):
 
 
 def brute_top(vectors, k):
-    v = {i: np.floor(256 * np.array(x, dtype=float)).astype(int) for i, x in vectors if x is not None and all(c is not None and np.isfinite(c) for c in x)}
+    whole = [(i, np.floor(256 * np.array(x, dtype=float)).astype(int)) for i, x in vectors if x is not None and all(c is not None and np.isfinite(c) for c in x)]
     rows = []
-    for q in v:
+    for at, (q, v) in enumerate(whole):
         if q % 50 == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k]
+            best = sorted((-int(v @ w), c) for other, (c, w) in enumerate(whole) if other != at)[:k]
             rows += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
     return sorted(rows)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 4])
-def test_top_k(spark, parts):
+@pytest.mark.parametrize(("parts", "tile", "gathered"), [(1, 8192, 128), (2, 8192, 1), (2, 50, 128), (4, 90, 1)])
+def test_top_k(spark, monkeypatch, parts, tile, gathered):
+    monkeypatch.setattr(topk, "TILE", tile)
+    monkeypatch.setattr(topk, "GATHERED", gathered)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(60)]
     rows += [(400, None), (450, [1.0] * 7 + [float("nan")]), (500, [None] + [1.0] * 7), (550, [float("inf")] + [1.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    # rows that repeat a vec_id: with the same vector, another one, and one of zeros, all of whose scores are ties
+    rows += [(50, rows[50][1]), (100, [9.0] * 8), (100, [9.0] * 8), (7, rows[8][1]), (600, [0.0] * 8), (650, [-1.0] * 8), (650, [0.0] * 8), (300, [0.5] * 8)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, node string, score int")
     rows = [(i, None if x is None else [None if c is None else float(np.float32(c)) for c in x]) for i, x in rows]
     found = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, parts)
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 5)
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_of_few_rows(spark):
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (50, [])], "vec_id long, embedding array<double>")
+    found = topk.top_k(few, F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 1, 65536), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)]
+    assert topk.top_k(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_mixing(docs, empty):
