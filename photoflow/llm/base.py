@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 #: Words of a text: runs of anything but space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows that one sort bucket of a two-level running sum holds on average.
+#: Rows that one sort bucket of a two-level running sum holds on average, and
+#: how many buckets a small table has rather than larger ones.
 ROWS_PER_BUCKET = 5000
+LEAST_PER_BUCKET, MOST_SMALL_BUCKETS = 256, 1024
+#: A key is hot if more than this part of all rows has it, so there are at most as many hot keys.
+HOT_PARTS = 500
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="photoflow-")
         spark.sparkContext.setCheckpointDir(path)
@@ -41,9 +48,25 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``discard``: how many tables were staged so far."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables staged since a mark; results that still read them must
+    have been written before."""
+    jvm = spark.sparkContext._jvm
+    for path in _written[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[since:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +76,51 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def named(column: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as no taken name has."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """``extra`` columns, and all of ``docs`` as the struct ``row``: whatever the
+    names of its columns, they meet no other name."""
+    return docs.select(*[c.alias(k) for k, c in extra.items()], F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
+def without_marked(docs: DataFrame, tag: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without rows whose (doc_id, tag) is in ``dropped``, and with one
+    row only of each (doc_id, tag) in ``repeated``; all columns stay.
+
+    Of rows that repeat, that with the least hash of all its columns stays; it
+    is found by an aggregate, so any number of them is one partial row a task.
+    """
+
+    def marks(found: DataFrame) -> DataFrame:
+        return found.select(F.col("doc_id").alias("id"), F.col("tag").alias("mark"))
+
+    rows = packed(docs, doc_id=F.col("doc_id"), tag=tag)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("tag").eqNullSafe(F.col("mark"))
+    kept = rows.join(marks(dropped), same, "left_anti")
+    if repeated.isEmpty():
+        return unpacked(kept)
+    once = kept.join(marks(repeated), same, "left_anti")
+    again = kept.join(marks(repeated), same, "left_semi")
+    one = again.groupBy("doc_id", "tag").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return unpacked(once.select("row").unionByName(one.select("row")))
+
+
 def map_texts(
     docs: DataFrame,
     kernel: Callable[[list[bytes]], dict[str, Iterable]],
@@ -65,21 +133,20 @@ def map_texts(
     Documents stay where they are read: no shuffle.
     """
     carried = docs.select(*[c.alias(k) for k, c in keys.items()], text_bytes().alias("text__"))
-    names = [f.name for f in carried.schema.fields[:-1]]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    full = _parse_datatype_string(f"{head}, {schema}")
+    heads = carried.schema.fields[:-1]
+    made_fields = _parse_datatype_string(schema).fields
+    full = StructType([*heads, *made_fields])
     arrow = to_arrow_schema(full)
-    own = [f.name for f in full.fields][len(names) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                made = kernel(part.column(len(names)).to_pylist())
-                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(names))]
-                columns += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], type=arrow.field(n).type) for n in own]
+                made = kernel(part.column(len(heads)).to_pylist())
+                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(heads))]
+                columns += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], type=arrow.field(f.name).type) for f in made_fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return carried.mapInArrow(run, full)
@@ -116,6 +183,21 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return df.join(offsets, by).withColumn(name, F.col("offset__") + F.sum(value).over(within)).drop("offset__")
 
 
+def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``values`` (one row a key, with ``weight``,
+    how many of the ``total`` rows have the key), without ``weight``.
+
+    Values of hot keys, HOT_PARTS at most by their definition, go to the rows
+    where these are; all others meet by a shuffle, in which no key is large.
+    """
+    hot = F.col(weight) > max(total // HOT_PARTS, ROWS_PER_BUCKET)
+    few = values.where(hot).drop(weight)
+    if few.isEmpty():
+        return rows.join(values.drop(weight), keys)
+    many = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(values.where(~hot).drop(weight), keys)
+    return many.unionByName(rows.join(F.broadcast(few), keys).select(*many.columns))
+
+
 def hash52(value: Column) -> Column:
     """52 bits of the MD5 of a value's text: an order for shuffling that any
     SQL engine can repeat. A null counts as an empty text."""
@@ -128,4 +210,4 @@ def fraction_bucket(hash_column: str, buckets: int) -> Column:
 
 
 def buckets_for(rows: int) -> int:
-    return max(1, -(-rows // ROWS_PER_BUCKET))
+    return max(1, -(-rows // ROWS_PER_BUCKET), min(MOST_SMALL_BUCKETS, rows // LEAST_PER_BUCKET))

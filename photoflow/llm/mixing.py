@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_PATTERN, buckets_for, fraction_bucket, hash52, running_sum, staged, table
+from .base import WORD_PATTERN, buckets_for, fraction_bucket, hash52, packed, running_sum, staged, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -41,35 +41,47 @@ def targets(sources: DataFrame, weights: tuple[int, ...], budget: float, rounds:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, source, tag (a hash of the text), size,
-    source_size, target and repeats, the times the mix takes it.
+    """One row per document: doc_id, source, tag (the MD5 of the text), copy,
+    copies, size, source_size, target and repeats, the times the mix takes it.
 
     Size is the number of words, 0 for a null text. Sources are ranked by code
     point, null last, and weigh ``weights`` in turn. Together they share
     ``budget`` times all words; a source gets ``rounds`` times its words at
     most, and what it cannot use is shared by the others. Documents without
-    words are taken 0 times. Rows that repeat are documents of their own. An
-    empty table gives no rows; other columns are not looked at.
-
-    The running sums have two levels (``running_sum``), so a source with any
-    share of the rows is spread over all tasks; the cut is found from sums
-    over ranges of finish time and one range's rows. Only the cut itself, one
-    row, reaches the driver.
+    words are taken 0 times. Rows that repeat source, doc_id and text are
+    documents of their own, told apart by ``copy``, 1 to ``copies``. An empty table
+    gives no rows; other columns are not looked at, and doc_id may have any
+    type that can be ordered.
+
+    The order of a queue is a hash of doc_id and text. The running sums have
+    two levels (``running_sum``), so a source with any share of the rows is
+    spread over all tasks, and rows that repeat are one entry with a count; the
+    cut is found from sums over ranges of finish time and one range's rows.
+    Only the cut itself, one row, reaches the driver.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    narrow = staged(docs.select("doc_id", "source", skey.alias("skey"), F.xxhash64("text").alias("tag"), size.alias("size"), hash52(F.col("doc_id")).alias("h")))
-    buckets = buckets_for(narrow.count())
+    tag = F.md5(text.cast("binary"))
+    h = hash52(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("tag")))
+    narrow = docs.select("doc_id", "source", skey.alias("skey"), tag.alias("tag"), size.alias("size")).withColumn("h", h)
+    narrow = staged(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("copies")))
+    rows = narrow.agg(F.sum("copies")).first()[0] or 0
+    buckets = buckets_for(rows)
     narrow = narrow.withColumn("bucket", fraction_bucket("h", buckets))
+    words = F.col("size") * F.col("copies")
     # source figures go to every (source, bucket), which no document group exceeds
-    per_bucket = narrow.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+    per_bucket = narrow.groupBy("skey", "bucket").agg(F.sum(words).alias("bucket_size"))
     sources = staged(targets(per_bucket.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, budget, rounds))
     cells = per_bucket.select("skey", "bucket").join(sources, "skey")
-    queued = running_sum(narrow, ["skey"], "bucket", [F.col("h"), F.col("doc_id"), F.col("size"), F.col("tag")], F.col("size"), "upto").join(cells, ["skey", "bucket"])
+    queued = running_sum(narrow, ["skey"], "bucket", [F.col("h"), F.col("doc_id"), F.col("tag")], words, "upto").join(cells, ["skey", "bucket"])
+    queued = queued.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    queued = queued.withColumn("upto", F.col("upto") - F.col("size") * (F.col("copies") - F.col("copy")))
     finish = [F.when(F.col("size") > 0, (F.col("upto") + F.col("source_size") * r) / F.col("target")) for r in range(rounds)]
-    queued = staged(queued.select("doc_id", "source", "tag", "h", "size", "source_size", "target", "rank", F.array(*finish).alias("finish")))
+    queued = staged(queued.select("doc_id", "source", "tag", "copy", "copies", "h", "size", "source_size", "target", "rank", F.array(*finish).alias("finish")))
 
-    entries = queued.select("rank", "h", "doc_id", "size", F.posexplode("finish").alias("round", "at")).where("at is not null")
+    order = ["at", "rank", "round", "h", "doc_id", "tag", "copy"]
+    entries = queued.select("rank", "h", "doc_id", "tag", "copy", "size", F.posexplode("finish").alias("round", "at")).where("at is not null")
     entries = entries.withColumn("slot", F.floor(F.col("at") * buckets))
     words = staged(entries.groupBy("slot").agg(F.sum("size").alias("words")))
     total = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -78,7 +90,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     if edge is None:
         taken = [f.isNotNull() for f in finish_columns(rounds)]
     else:
-        order = ["at", "rank", "round", "h", "doc_id"]
         in_edge = entries.where(F.col("slot") == edge["slot"])
         run = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + (edge["upto"] - edge["words"])
         last = in_edge.withColumn("run", run).where(F.col("run") <= total).orderBy(*[F.col(c).desc() for c in order]).limit(1).first()
@@ -86,12 +97,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
         for r, at in enumerate(finish_columns(rounds)):
             early = F.floor(at * buckets) < edge["slot"]
             if last is not None:
-                key = F.struct(at.alias("at"), F.col("rank").alias("rank"), F.lit(r).alias("round"), F.col("h").alias("h"), F.col("doc_id").alias("doc_id"))
-                cut = F.struct(F.lit(last["at"]).alias("at"), F.lit(last["rank"]).alias("rank"), F.lit(last["round"]).alias("round"), F.lit(last["h"]).cast("long").alias("h"), F.lit(last["doc_id"]).cast("long").alias("doc_id"))
+                here = {"at": at, "round": F.lit(r)}
+                key = F.struct(*[here.get(c, F.col(c)).alias(c) for c in order])
+                kinds = {f.name: f.dataType for f in in_edge.schema.fields}
+                cut = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
                 early = early | ((F.floor(at * buckets) == edge["slot"]) & (key <= cut))
             taken.append(F.coalesce(early, F.lit(False)))
     repeats = sum((t.cast("int") for t in taken), F.lit(0))
-    return queued.select("doc_id", "source", "tag", "size", "source_size", "target", repeats.alias("repeats"))
+    return queued.select("doc_id", "source", "tag", "copy", "copies", "size", "source_size", "target", repeats.alias("repeats"))
 
 
 def finish_columns(rounds: int) -> list:
@@ -99,15 +112,30 @@ def finish_columns(rounds: int) -> list:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken; all columns stay.
+    """The mix itself: each row of ``docs`` as often as it is taken; all columns
+    stay, whatever their names.
 
-    Rows that repeat both doc_id and text are taken alike, as the one that is
-    taken most often.
+    Rows that repeat source, doc_id and text are counted off: each takes the
+    place of one copy, so that the mix keeps to its target. An empty table
+    stays empty.
     """
-    found = mixed(docs, **how).where("repeats > 0").groupBy(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__")).agg(F.max("repeats").alias("repeats__"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("tag__")))
-    times = F.explode(F.sequence(F.lit(1), F.col("repeats__")))
-    return joined.select(*[docs[c] for c in docs.columns], times.alias("time__")).drop("time__")
+    taken = mixed(docs, **how).select(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("tag").alias("mark"), F.col("copy").alias("number"), "copies", "repeats")
+    taken = staged(taken.where("repeats > 0 or copies > 1"))
+    tag = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), tag=tag)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("origin")) & (F.col("tag") == F.col("mark"))
+    times = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("time")
+    once = rows.join(taken.where("copies = 1"), same).select("row", times)
+    repeated = taken.where("copies > 1 and number = 1").select("id", "origin", "mark")
+    if repeated.isEmpty():
+        return unpacked(once)
+    # copies are counted off over the partitions that hold them, so that they never all meet
+    placed = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), tag=tag, place=F.spark_partition_id())
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"{c}_key") for c in ("doc_id", "source")]
+    again = staged(placed.join(repeated, same, "left_semi").select("*", *keys))
+    again = running_sum(again, ["doc_id_key", "source_key", "tag"], "place", [F.sha2(F.to_json("row"), 256)], F.lit(1), "count")
+    again = again.join(taken.where("copies > 1 and repeats > 0"), same & (F.col("count") == F.col("number"))).select("row", times)
+    return unpacked(once.unionByName(again))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +148,8 @@ ORACLE_SQL = {
     "op3_mixing": r"""
     WITH d AS (
       SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT AS h
+             md5(coalesce(text, '')) AS tag,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h
       FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
@@ -132,7 +161,7 @@ ORACLE_SQL = {
     v AS (SELECT max(level) AS water FROM l WHERE level <= fill),
     t AS (SELECT source, source_size, rank, CASE WHEN water < fill THEN water * weight ELSE cap END AS target FROM l, v),
     q AS (SELECT d.*, t.source_size, t.rank, t.target,
-                 sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+                 sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, tag ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     e AS (SELECT doc_id, h, rank, size, round, (upto + source_size * round)::DOUBLE / target AS finish
           FROM q, (VALUES (0), (1)) AS rounds(round) WHERE size > 0),

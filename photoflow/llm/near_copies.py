@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, staged
+from .base import join_hot, map_texts, staged
 from .components import components
 from .simhash import SEED, links, local_roots, majority, mixed, shingle_hashes, without_dropped
 
@@ -90,7 +90,7 @@ def verified(members: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("tag__")))
     keys = {c: F.col(c) for c in ("root", "set", "chunks", "chunk")}
     sets = map_texts(texts, lambda batch: {"hashes": [shingle_set(t, shingle).view(np.int64) for t in batch]}, "hashes array<long>", keys)
-    tiles = staged(sets.groupBy("root", "chunks", "chunk").agg(F.collect_list(F.struct("set", "hashes")).alias("rows")))
+    tiles = staged(sets.groupBy("root", "chunks", "chunk").agg(F.collect_set(F.struct("set", "hashes")).alias("rows")))
     within = tiles.select(F.col("rows").alias("rows_a"), F.lit(None).cast(tiles.schema["rows"].dataType).alias("rows_b"))
     large = tiles.where("chunks > 1")
     left = large.where("chunk + 1 < chunks").select("root", F.col("rows").alias("rows_a"), F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
@@ -124,22 +124,26 @@ def near_copies(docs: DataFrame, shingle: int, lanes: int, radius: int, similari
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     narrow = staged(described(docs, shingle, lanes))
     one = F.min(F.struct("doc_id", "tag")).alias("one")
-    least = F.min("doc_id").alias("least_id")
-    sets = staged(narrow.groupBy("set", "size", *words).agg(least, one).withColumn("node", F.xxhash64(*words)))
+    sets = narrow.groupBy("set", "size", *words).agg(F.min("doc_id").alias("least_id"), one, F.count("*").alias("n"))
+    same = ["set", "size", *words]
+    sets = staged(sets.withColumnsRenamed({"set": "digest"}).withColumns({"set": F.monotonically_increasing_id(), "node": F.xxhash64(*words)}))
     large = sets.where(F.col("size") / (F.col("size") + 1) >= similarity)
     nodes = staged(large.groupBy("node", *words).agg(F.min("least_id").alias("least_id")))
     proposed = components(links(nodes, lanes, radius, parallel))
     members = large.join(proposed, "node", "left").select(F.coalesce("root", "node").alias("root"), "set", "size", "one.doc_id", "one.tag")
     roots = components(verified(members, docs, shingle, similarity, parallel))
-    labelled = sets.select("set", "least_id").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    of_root = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = labelled.join(of_root, "root").select("set", "component_id")
-    return narrow.join(of_set, "set").select("doc_id", "tag", "component_id")
+    labelled = staged(sets.select("set", "digest", "size", *words, "least_id", "n").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
+    total = narrow.count()
+    of_root = staged(labelled.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("held")))
+    of_set = join_hot(labelled.select("root", F.col("digest").alias("set"), "size", *words, "n"), of_root, ["root"], "held", total)
+    return join_hot(narrow, staged(of_set.select(*same, "component_id", "n")), same, "n", total).select("doc_id", "tag", "component_id")
 
 
 def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group: that with the least doc_id.
 
-    Rows that repeat the least doc_id and its text all stay.
+    All columns stay, whatever their names. Of rows that repeat the least
+    doc_id and its text one stays. Null and empty texts, and those of white
+    space, are equal; an empty table stays empty.
     """
     return without_dropped(docs, near_copies(docs, **how))

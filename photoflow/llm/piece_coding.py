@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
 The machine is the composition of three parts, compiled from a model file:
-the normaliser (space to U+2581, one in front), the pieces (a trie whose final
-states emit an id) and byte fallback (a character that no piece has emits its
-bytes).  A text is composed with it, and the tropical-semiring shortest path
-is its encoding.
+the normaliser (rewriting rules, spaces to U+2581, one in front), the pieces
+(a trie whose final states emit an id) and byte fallback (a character that no
+piece has emits its bytes, or the unknown id).  A text is composed with it
+part by part, only where the text leads, and the tropical-semiring shortest
+path is its encoding (``Pieces.relaxed``).
 
 For a unigram model an arc weighs minus its score.  For a BPE model the
 weights are 0 and infinity: the machine remembers the piece it emitted last,
@@ -15,117 +16,43 @@ so the shortest path is exact for the merges too.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import map_texts, table
+from .base import free_name, map_texts, named, table
 from .pieces import SPACE, Bounded, Pieces, default_model, pieces_of, shared_model
 
-#: Weight of a character that only byte fallback spells, for unigram models.
-FALLBACK_WEIGHT = 1e4
 #: Ids that are spelled at once.
 BLOCK = 1 << 17
 
 
 class Transducer:
-    """Compiled pieces, and shortest paths through them."""
+    """Shortest paths of whole texts, and what ids spell."""
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final: list[str | None] = [None]
-        for piece in model.ids:
-            state = 0
-            for char in piece:
-                if char not in self.arcs[state]:
-                    self.arcs[state][char] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(None)
-                state = self.arcs[state][char]
-            self.final[state] = piece
-        self.paths = Bounded(self._path)
-        self.spelled = [p.replace(SPACE, " ").encode() for p in model.text]
+        self.paths = Bounded(lambda chunk: np.array(model.shortest(chunk), dtype="<i4").tobytes())
+        self.spelled = [b"" if i in model.control else p.replace(SPACE, " ").encode() for i, p in enumerate(model.text)]
         for byte, i in model.byte_ids.items():
             self.spelled[i] = bytes([byte])
-        for special in (i for i, p in enumerate(model.text) if p not in model.ids and i not in model.byte_ids.values()):
-            self.spelled[special] = b""
+        self.spelled[model.unknown] = model.unknown_text.encode()
         self.letters = np.frombuffer(b"".join(self.spelled), dtype=np.uint8)
         self.sizes = np.array([len(p) for p in self.spelled], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def pieces_from(self, chunk: str, start: int) -> list[str]:
-        """Pieces that begin at a place of the chunk, shortest first."""
-        arcs, final, state, found = self.arcs, self.final, 0, []
-        for j in range(start, len(chunk)):
-            state = arcs[state].get(chunk[j], 0)
-            if not state:
-                break
-            if final[state] is not None:
-                found.append(final[state])
-        return found or [chunk[start]]
-
-    def shortest(self, chunk: str) -> list[int]:
-        """Ids on the shortest path over a chunk."""
-        path = self.finite_path(chunk) if self.model.is_bpe else self.least_path(chunk)
-        return [i for p in path for i in ([self.model.ids[p]] if p in self.model.ids else self.model.fallback(p))]
-
-    def finite_path(self, chunk: str) -> list[str]:
-        """The only path without an infinite arc, depth first along long arcs.
-
-        All paths of finite weight reach a place with the same last piece, so
-        a place from which none goes on is left for good.
-        """
-        arcs, final, apart, ids, longest = self.arcs, self.final, self.model.apart, self.model.ids, self.model.longest
-        path, ends, dead, size, here = [""], [0], set(), len(chunk), 0
-        while here < size:
-            state, found = 0, []
-            for char in chunk[here : here + longest]:
-                state = arcs[state].get(char, 0)
-                if not state:
-                    break
-                if final[state] is not None:
-                    found.append(final[state])
-            last = path[-1]
-            for piece in reversed(found) if found else (chunk[here],):
-                end = here + len(piece)
-                if end not in dead and (apart[last, piece] or piece not in ids):
-                    path.append(piece)
-                    ends.append(end)
-                    break
-            else:
-                dead.add(here)
-                path.pop()
-                ends.pop()
-            here = ends[-1]
-        return path[1:]
-
-    def least_path(self, chunk: str) -> list[str]:
-        """The path of least total weight, by relaxing arcs left to right."""
-        n = len(chunk)
-        best: list[float] = [0.0] + [math.inf] * n
-        last: list[str] = [""] * (n + 1)
-        for i in range(n):
-            for piece in self.pieces_from(chunk, i):
-                total = best[i] + self.model.cost.get(piece, FALLBACK_WEIGHT)
-                if total < best[i + len(piece)]:
-                    best[i + len(piece)], last[i + len(piece)] = total, piece
-        path = []
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
-
-    def _path(self, chunk: str) -> bytes:
-        return np.array(self.shortest(chunk), dtype="<i4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit numbers. Paths never span two chunks,
         so the shortest path is the chunks' paths in a row."""
-        return b"".join(map(self.paths.__getitem__, self.model.split(self.model.normalised(text))))
+        packed = b"".join(map(self.paths.__getitem__, self.model.chunks(text)))
+        if self.model.byte_ids:
+            return packed
+        ids = np.frombuffer(packed, dtype="<i4")
+        again = np.zeros(len(ids), dtype=bool)  # a run of unknown characters is one id
+        again[1:] = (ids[1:] == self.model.unknown) & (ids[:-1] == self.model.unknown)
+        return ids[~again].tobytes()
 
     def spell(self, ids: np.ndarray) -> bytes:
         """What ids spell, one after another."""
@@ -139,7 +66,9 @@ class Transducer:
         document k has those from offsets[k] to offsets[k + 1]."""
         spelled = b"".join(self.spell(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK))
         cuts = np.concatenate([[0], np.cumsum(self.sizes[ids])])[offsets].tolist()
-        return [spelled[a + (spelled[a : a + 1] == b" " and a < b) : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        front, trim = self.model.normalised.front, self.model.normalised.trim
+        texts = [spelled[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [t.lstrip(b" ") if trim else t[1:] if front and t[:1] == b" " else t for t in texts]
 
 
 _compiled: dict[int, Transducer] = {}
@@ -151,32 +80,47 @@ def transducer_of(model: Pieces) -> Transducer:
     return _compiled[id(model)]
 
 
-def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: its ``keys``, text_crc32 of its bytes, n_tokens and
-    ids (array<int>). A null or empty text has no ids; rows that repeat are
-    encoded each; other columns are not looked at."""
+def coded_batch(machine: Transducer, texts: list[bytes], both: bool) -> dict:
+    packed = [machine.encode(t.decode("utf-8", "replace")) for t in texts]
+    sizes = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.frombuffer(b"".join(packed), dtype="<i4")
+    made = {"n_tokens": pa.array(sizes), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))}
+    if both:
+        decoded = machine.decode(ids, offsets)
+        made["decoded"] = [t.decode("utf-8", "replace") for t in decoded]
+        made["round_trip"] = [a == b for a, b in zip(texts, decoded, strict=True)]
+    return made
+
+
+def coded(docs: DataFrame, model_path: str, keys: tuple[str, ...], both: bool) -> DataFrame:
     shared = shared_model(docs.sparkSession, model_path)
 
     def kernel(texts: list[bytes]) -> dict:
-        machine = transducer_of(pieces_of(shared.value))
-        packed = [machine.encode(t.decode("utf-8", "replace")) for t in texts]
-        sizes = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-        return {"n_tokens": pa.array(sizes), "ids": ids}
+        return coded_batch(transducer_of(pieces_of(shared.value)), texts, both)
 
-    carried = {k: F.col(k) for k in keys} | {"text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}
-    return map_texts(docs, kernel, "n_tokens long, ids array<int>", carried)
+    own = ["text_crc32", "n_tokens", "ids", *(["decoded", "round_trip"] if both else [])]
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    schema = "n_tokens long, ids array<int>" + (", decoded string, round_trip boolean" if both else "")
+    found = map_texts(docs, kernel, schema, {f"key {i}": named(k) for i, k in enumerate(keys)} | {"text_crc32": crc})
+    return found.select(*[named(f"key {i}").alias(k) for i, k in enumerate(keys)], *[F.col(c).alias(free_name(c, keys)) for c in own])
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``encoded`` with the column decoded: the text that its ids spell.
-    Null ids spell an empty text."""
-    from pyspark.sql.types import StringType, StructField, StructType
+def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: its ``keys``, text_crc32 of its bytes, n_tokens and
+    ids (array<int>). A null or empty text has no ids; texts of any length are
+    encoded whole and rows that repeat each; an empty table gives no rows.
+    Other columns are not looked at. Own columns whose name a key has get an
+    underscore behind it."""
+    return coded(docs, model_path, keys, both=False)
+
 
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """``encoded`` with the column decoded (with an underscore behind it if there
+    is one): the text that its ids spell. Null ids spell an empty text."""
     shared = shared_model(encoded.sparkSession, model_path)
-    at = encoded.columns.index("ids")
-    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+    at, name = encoded.columns.index("ids"), free_name("decoded", encoded.columns)
+    schema = StructType([*encoded.schema.fields, StructField(name, StringType())])
 
     def run(batches):
         machine = transducer_of(pieces_of(shared.value))
@@ -187,7 +131,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
                 texts = [t.decode("utf-8", "replace") for t in machine.decode(ids, offsets - offsets[0])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
     return encoded.mapInArrow(run, schema)
 
@@ -195,25 +139,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``encode`` and ``decode`` in one pass, so that a task holds one compiled
     machine: the columns of both, and round_trip, whether the decoded text is
-    the one that went in."""
-    shared = shared_model(docs.sparkSession, model_path)
-
-    def kernel(texts: list[bytes]) -> dict:
-        machine = transducer_of(pieces_of(shared.value))
-        packed = [machine.encode(t.decode("utf-8", "replace")) for t in texts]
-        sizes = np.fromiter((len(p) // 4 for p in packed), dtype=np.int64, count=len(packed))
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.frombuffer(b"".join(packed), dtype="<i4")
-        decoded = machine.decode(ids, offsets)
-        return {
-            "n_tokens": pa.array(sizes),
-            "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
-            "decoded": [t.decode("utf-8", "replace") for t in decoded],
-            "round_trip": [a == b for a, b in zip(texts, decoded, strict=True)],
-        }
-
-    carried = {k: F.col(f"`{k}`") for k in keys} | {"text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}
-    return map_texts(docs, kernel, "n_tokens long, ids array<int>, decoded string, round_trip boolean", carried)
+    the one that went in (null as empty). A normaliser that rewrites texts
+    makes it false. Awkward rows and names are dealt with as by ``encode``."""
+    return coded(docs, model_path, keys, both=True)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import buckets_for, running_sum, staged, table
+from .base import ROWS_PER_BUCKET, buckets_for, running_sum, staged, table
 
 SHARDS = 24
 #: Parts of a shard's start that move apart from one another, so that a group
-#: with a third of all rows is many small cells.
-PARTS = 16
+#: with a third of all rows is many small cells: so many at least, and as many
+#: as keep a shard's part small.
+LEAST_PARTS = 16
 #: Steps in which a shard's arrivals are admitted.
 STEPS = 256
 #: During propagation a shard may hold this share above its quota.
@@ -81,36 +82,40 @@ def propagate(cells: DataFrame, quotas: list[int], slack: float, rounds: int) ->
 
 
 def shards_of(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    """One row per document: doc_id, size, text_crc32, law, shard, slot,
+    grown_shard, group_id (the text's MD5) and first_shard, where it started.
 
     The law is ``rows``: counts of shards differ by one at most, and slots of a
     shard run from 0 without gaps; grown_shard is null. Size is the text's
     UTF-8 bytes plus 8; a null text has none and is linked with empty ones.
-    Rows that repeat are documents of their own, linked by their text. A group
-    larger than a shard fills several. An empty table gives no rows; other
-    columns are not looked at.
-
-    Collected are numbers per shard and admission step only. Ranks come from
-    two-level sums over buckets of the group's hash, each group over 16.
+    Rows that repeat are documents of their own, linked by their text; doc_id
+    may be null or of any type. A group larger than a shard fills several. An
+    empty table gives no rows; other columns are not looked at.
+
+    Collected are numbers per shard and admission step only. Rows that repeat
+    both doc_id and text are one entry with a count. Ranks come from two-level
+    sums over buckets of the group's hash and of the rows' own, so that even
+    a shard which one group fills is many buckets.
     """
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("gid"), F.xxhash64("doc_id", F.lit(5)).alias("h"),
-    )
-    narrow = staged(narrow.withColumn("sub", F.pmod("h", F.lit(shards * PARTS)).cast("int")))
-    rows = narrow.count()
+    narrow = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("gid"))
+    narrow = staged(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("copies")))
+    rows = narrow.agg(F.sum("copies")).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-rows // (shards * ROWS_PER_BUCKET)), min(256, rows // (shards * 256)))
+    h = F.xxhash64("doc_id", "gid", F.lit(5))
+    narrow = narrow.withColumn("h", h).withColumn("sub", F.pmod("h", F.lit(shards * parts)).cast("int"))
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
 
-    cells = narrow.groupBy("gid", "sub").agg(F.count("*").alias("rows"))
+    cells = narrow.groupBy("gid", "sub").agg(F.sum("copies").alias("rows"))
     linked = cells.groupBy("gid").agg(F.sum("rows").alias("all")).where("all > 1").select("gid")
-    cells = staged(cells.join(linked, "gid").withColumn("shard", F.floor(F.col("sub") / PARTS).cast("int")))
+    cells = staged(cells.join(linked, "gid").withColumn("shard", F.floor(F.col("sub") / parts).cast("int")))
     cells = propagate(cells, quotas, slack, rounds)
 
     placed = narrow.join(cells.select("gid", "sub", "shard"), ["gid", "sub"], "left").withColumn("shard", F.coalesce("shard", F.lit(shards)))
     share = F.conv(F.substring("gid", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    bucket = F.floor(share * (buckets_for(rows) // PARTS + 1)) * PARTS + F.pmod("sub", F.lit(PARTS))
-    ranked = running_sum(placed.withColumn("bucket", bucket.cast("long")), ["shard"], "bucket", [F.col("gid"), F.col("h"), F.col("doc_id")], F.lit(1), "rank")
+    bucket = F.floor(share * (buckets_for(rows) // parts + 1)) * parts + F.pmod("sub", F.lit(parts))
+    ranked = running_sum(placed.withColumn("bucket", bucket.cast("long")), ["shard"], "bucket", [F.col("gid"), F.col("h"), F.col("doc_id")], F.col("copies"), "upto")
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("rank", F.col("upto") - F.col("copies") + F.col("copy"))
 
     held = loads(cells, "shard", F.col("rows"), shards)
     stay = [min(n, q) for n, q in zip(held, quotas, strict=True)]
@@ -126,11 +131,27 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
     return final.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("to").cast("int").alias("shard"),
         slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("gid").alias("group_id"), F.floor(F.col("sub") / parts).cast("int").alias("first_shard"),
     )
 
 
+def link_counts(sharded: DataFrame) -> DataFrame:
+    """One row about the result of ``shards_of``: how many links there are
+    (pairs of documents of equal text), and how many were, and are, between
+    documents of different shards."""
+
+    def within(shard: str) -> DataFrame:
+        cells = sharded.groupBy("group_id", shard).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+        return cells.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("decimal(38,0)").alias("n"))
+
+    groups = sharded.groupBy("group_id").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    links = groups.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("decimal(38,0)").alias("links"))
+    first, last = within("first_shard").withColumnRenamed("n", "first"), within("shard").withColumnRenamed("n", "last")
+    return links.join(first).join(last).select("links", (F.col("links") - F.col("first")).alias("cut_at_first"), (F.col("links") - F.col("last")).alias("cut"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards_of(table(spark, sf_dir, "documents"))
+    return shards_of(table(spark, sf_dir, "documents")).drop("first_shard")
 
 
 QUERIES = {"op5_sharding": op5_sharding}

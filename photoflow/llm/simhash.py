@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_texts, staged, table
+from .base import join_hot, map_texts, staged, table, without_marked
 from .components import components
 
 SEED = 42
@@ -47,10 +47,10 @@ def majority(h: np.ndarray) -> int:
     """64 bits, each 1 if it is set in over half of the hashes; as a signed number."""
     if not len(h):
         return 0
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    letters = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(bits), 255):  # sums of bytes that cannot overflow
-        counts += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    for at in range(0, len(letters), 255):  # sums of bytes that cannot overflow
+        counts += np.add.reduce(np.unpackbits(letters[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
@@ -113,9 +113,8 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
 
     A tile holds fingerprints of one population count over all words. Two
     tiles whose counts differ by more than the radius cannot hold a link and
-    never meet; the others meet in one task per pair, as packed rows. The list
-    of tiles is the histogram of the population counts, 64 per word and one,
-    whatever the input.
+    never meet; the others meet in one task per pair, as packed rows. Which
+    tiles meet is a table of their numbers, found by a join.
     """
     most = 64 * lanes
     nodes = nodes.withColumn("pop", sum((F.bit_count(f"f{i}") for i in range(1, lanes)), F.bit_count("f0")).cast("int"))
@@ -124,11 +123,10 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
     count = F.element_at(F.array(*[F.lit(max(c, 1)) for c in chunks]), F.col("pop") + 1)
     packed = F.flatten(F.collect_list(F.array("node", *[f"f{i}" for i in range(lanes)])))
     tiles = staged(nodes.groupBy("pop", F.pmod(F.xxhash64("node", F.lit(1)), count).cast("int").alias("chunk")).agg(packed.alias("rows")))
-    partners = F.array(*[F.array(*[F.struct(F.lit(p).alias("pop"), F.lit(c).alias("chunk")) for c in range(chunks[p])]).cast("array<struct<pop:int,chunk:int>>") for p in range(most + 1)])
-    near = F.flatten(F.slice(partners, F.col("pop") + 1, F.least(F.lit(radius + 1), F.lit(most + 1) - F.col("pop"))))
-    left = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"), F.explode(near).alias("to"))
-    left = left.where("to.pop > pop_a or to.chunk >= chunk_a")
-    left = left.select("rows_a", F.col("to.pop").alias("pop"), F.col("to.chunk").alias("chunk")).repartition(parallel, "pop", "chunk")
+    near = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.explode(F.sequence("pop", F.least(F.col("pop") + radius, F.lit(most)))).alias("pop"))
+    meeting = near.join(tiles.select("pop", "chunk"), "pop").where("pop > pop_a or chunk >= chunk_a")
+    left = meeting.join(tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a")), ["pop_a", "chunk_a"])
+    left = left.select("rows_a", "pop", "chunk").repartition(parallel, "pop", "chunk")
     pairs = left.join(tiles.repartition(parallel, "pop", "chunk").hint("shuffle_hash"), ["pop", "chunk"]).select("rows_a", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +156,31 @@ def near_dedup(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int =
     words = [f"f{i}" for i in range(lanes)]
     spark = docs.sparkSession
     narrow = staged(fingerprints(docs, shingle, lanes))
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*words)
-    nodes = staged(narrow.groupBy(*words).agg(F.min("doc_id").alias("least_id")).select(node.alias("node"), *words, "least_id"))
+    nodes = narrow.groupBy(*words).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    nodes = staged(nodes.select((F.col("f0") if lanes == 1 else F.monotonically_increasing_id()).alias("node"), *words, "least_id", "n"))
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     roots = components(links(nodes, lanes, radius, parallel))
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fingerprint = labelled.join(least, "root").select(*words, "component_id")
-    return narrow.join(of_fingerprint, words).select("doc_id", "tag", *words, "component_id")
+    labelled = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    total = narrow.count()
+    least = staged(labelled.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("held")))
+    of_fingerprint = join_hot(labelled.select("root", *words, "n"), least, ["root"], "held", total)
+    return join_hot(narrow, staged(of_fingerprint.select(*words, "component_id", "n")), words, "n", total).select("doc_id", "tag", *words, "component_id")
 
 
 def without_dropped(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id in ``found`` is not its component_id."""
-    dropped = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("id__"), F.col("tag").alias("tag__")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("tag__")), "left_anti")
+    """``docs`` without those whose doc_id in ``found`` is not its component_id,
+    and one of rows that repeat a kept doc_id and its text."""
+    found = staged(found.select("doc_id", "tag", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    repeated = found.where("kept").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+    return without_marked(docs, F.xxhash64("text"), found.where("not kept").distinct(), repeated)
 
 
 def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group: that with the least doc_id.
 
-    Rows that repeat the least doc_id and its text all stay.
+    All columns stay, whatever their names. Of rows that repeat the least
+    doc_id and its text one stays; rows of that doc_id with other texts of the
+    group all do. An empty table stays empty.
     """
     return without_dropped(docs, near_dedup(docs, **how))
 

@@ -1,13 +1,15 @@
 """Token counts of every prefix of a text, by prefix dynamic programming.
 
-BPE of a prefix ends in one piece, and what stands before that piece is BPE of
-a shorter prefix.  So ``count[i] = count[i - len(last[i])] + 1``, where last[i]
+The shortest path (BPE) of a prefix ends in one piece, and what stands before
+that piece is the path of a shorter prefix.  So ``count[i] = count[i - len(last[i])] + 1``, where last[i]
 is the only piece ending at i that BPE keeps apart from the last piece of the
 shorter prefix.  One pass gives the exact count at every prefix.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,32 +22,33 @@ LIMIT = 4096
 
 
 def prefix_steps(chunk: str, model: Pieces) -> bytes:
-    """How the count changes with each character of a chunk, one signed byte each."""
-    ids, apart = model.ids, model.apart
-    last, counts = [""] * (len(chunk) + 1), [0] * (len(chunk) + 1)
-    for i in range(1, len(chunk) + 1):
-        for at in range(i - 1, max(-1, i - 1 - model.longest), -1):
-            piece = chunk[at:i]
-            if piece in ids and apart[last[at], piece]:
-                last[i], counts[i] = piece, counts[at] + 1
-                break
-        else:  # a character that no piece has
-            last[i], counts[i] = chunk[i - 1], counts[i - 1] + len(model.fallback(chunk[i - 1]))
-    return bytes([(b - a) & 0xFF for a, b in zip(counts, counts[1:], strict=False)])
+    """How the count changes with each character of a chunk, one signed byte each.
+
+    A new character joins at most the characters of one piece, so a step below
+    -128 needs a piece of more than 128 characters; such a step is an error
+    (OverflowError), never a wrong count.
+    """
+    ids, counts = model.ids, [0]
+    for i, piece in enumerate(model.relaxed(chunk)[1:], 1):
+        counts.append(counts[i - len(piece)] + (1 if piece in ids else len(model.fallback(piece))))
+    return array("b", [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
 
 
 class Counter:
     """Steps of whole texts; chunks that no piece spans are counted apart, once each."""
 
     def __init__(self, model: Pieces):
+        if not model.identity or not model.byte_ids:
+            raise ValueError("counts of prefixes need the identity normaliser with a space in front, no user-defined pieces, and byte fallback")
         self.model = model
         self.steps = Bounded(lambda chunk: prefix_steps(chunk, model))
 
     def of_text(self, text: str) -> bytes:
         if not text:
             return b""
-        steps = b"".join(map(self.steps.__getitem__, self.model.split(self.model.normalised(text))))
-        return bytes([(steps[0] + steps[1]) & 0xFF]) + steps[2:]  # the leading space is no character of the text
+        steps = b"".join(map(self.steps.__getitem__, self.model.chunks(text)))
+        first = np.frombuffer(steps[:2], dtype=np.int8).sum()  # the leading space is no character of the text
+        return first.astype(np.int8).tobytes() + steps[2:]
 
 
 _counters: dict[int, Counter] = {}
@@ -74,8 +77,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
     count from the prefix before it. Their running sum is the exact count at
     every prefix, so any budget is answered without encoding again
     (``longest_prefixes``). A null or empty text has no tokens. No special
-    tokens are added; their strings are ordinary text. Rows that repeat are
-    counted each; other columns are not looked at.
+    tokens are added; their strings are ordinary text. Texts of any length are
+    counted whole and rows that repeat each; an empty table gives no rows;
+    other columns are not looked at.
     """
     shared = shared_model(docs.sparkSession, model_path)
 
@@ -97,14 +101,16 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
 def longest_prefixes(counted: DataFrame, budget: int) -> DataFrame:
     """doc_id and budget_chars: the characters that a token budget leaves, read
-    from the stored counts."""
+    from the stored counts, whatever the text's length. Null counts are those of
+    an empty text, which any budget leaves 0; rows that repeat are answered
+    each, an empty table gives no rows, other columns are not looked at."""
 
     def run(batches):
         for batch in batches:
             chars = [longest_within(s or b"", budget) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64())], names=["doc_id", "budget_chars"])
 
-    return counted.select("doc_id", "prefix_steps").mapInArrow(run, "doc_id long, budget_chars long")
+    return counted.select("doc_id", "prefix_steps").mapInArrow(run, counted.select("doc_id").schema.add("budget_chars", "long"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,17 +16,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .base import hash52, map_texts, staged, table
+from .base import hash52, map_texts, named, staged, table
 from .pieces import Bounded
 
 #: Lengths of the n-grams; a word has one mark in front and one behind.
 SIZES = (3, 4, 5, 6)
 #: The model is fitted on so many labelled rows at most, the first by a hash of the id.
 MOST_ROWS = 8_000
-#: N-grams that enter the model at most, those whose counts differ most significantly.
-MOST_FEATURES = 600
+#: N-grams enter the model if so many texts of the sample have them and their
+#: log-likelihood ratio against the label is at least so large (chance: 1 in 100).
 LEAST_TEXTS = 3
+LEAST_GAIN = 3.32
 SMOOTHING = 1.0
 PENALTY = 0.01
 THRESHOLD = 0.5
@@ -93,27 +95,33 @@ def chosen_grams(sample: DataFrame, positive: int, negative: int) -> tuple[list[
 
     counted = sample.select("words", "label").mapInArrow(run, "gram string, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     ranked = counted.where(F.col("p") + F.col("q") >= LEAST_TEXTS).withColumn("gain", likelihood_gain(positive, negative))
-    rows = ranked.orderBy(F.desc("gain"), "gram").limit(MOST_FEATURES).select("gram", "p", "q").collect()
-    return [r["gram"] for r in rows], np.array([[r["p"], r["q"]] for r in rows]).reshape(-1, 2)
+    rows = ranked.where(F.col("gain") >= LEAST_GAIN).orderBy("gram").select("gram", "p", "q").toArrow()
+    return rows.column("gram").to_pylist(), np.stack([rows.column(c).to_numpy() for c in ("p", "q")], axis=1)
 
 
-def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 120) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient descent on the penalised mean log
-    loss; a text of the rarer label weighs more, by the root of the counts' ratio."""
+    loss; a text of the rarer label weighs more, by the root of the counts' ratio.
+    The step is the inverse of the loss's largest curvature, found by power iteration."""
     n, m = len(y), len(ratio)
     value = ratio[column]
     share = y.mean()
     importance = np.where(y > 0, math.sqrt((1 - share) / share), 1.0)
     importance /= importance.mean()
-    per_row = np.bincount(row, value**2, minlength=n)
-    rate = 1.0 / (0.25 * (per_row.mean() * 4 + 1) + penalty)
+    v, bend = np.ones(m + 1), 1.0
+    for _ in range(30):
+        along = (np.bincount(row, value * v[column], minlength=n) + v[m]) * importance
+        v = np.append(np.bincount(column, along[row] * value, minlength=m), along.sum()) / n
+        bend = max(float(np.linalg.norm(v)), 1e-12)
+        v /= bend
+    rate = 1.0 / (0.26 * bend + penalty)
     w, b = np.zeros(m), math.log(share / (1 - share))
     ahead_w, ahead_b, momentum = w, b, 1.0
     for _ in range(rounds):
         margin = np.bincount(row, value * ahead_w[column], minlength=n) + ahead_b
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * importance
         next_w = ahead_w - rate * (np.bincount(column, error[row] * value, minlength=m) / n + penalty * ahead_w / math.sqrt(n))
-        next_b = ahead_b - rate * error.mean() * 10
+        next_b = ahead_b - rate * error.mean()
         following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         pull = (momentum - 1) / following
         ahead_w, ahead_b = next_w + pull * (next_w - w), next_b + pull * (next_b - b)
@@ -163,7 +171,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = MOST_ROWS) -> Model:
     """The model fitted on labelled rows that are not held out, ``most_rows`` at
     most. The driver gets the counts of the chosen n-grams and which of them each
-    row has: tables of fixed size."""
+    row has: tables of that sample, which its bound keeps from growing."""
     chosen = labelled_sample(docs, labels, "toxic", ~held_out, most_rows)
 
     def kernel(texts: list[bytes]) -> dict:
@@ -179,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int =
             held = [sorted({place[g] for w in words for g in ngrams(w) if g in place}) for words in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "label", "held"])
 
-    rows = sample.select("doc_id", "label", "words").mapInArrow(places, "doc_id long, label int, held array<int>").orderBy("doc_id").toArrow()
+    rows = sample.select("doc_id", "label", "words").mapInArrow(places, sample.select("doc_id", "label").schema.add("held", ArrayType(IntegerType()))).orderBy("doc_id", "held").toArrow()
     held = rows.column("held").combine_chunks()
     return fit([np.asarray(x.values, dtype=np.int64) for x in held], rows.column("label").to_numpy(), grams, texts_with)
 
@@ -204,9 +212,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Held out are rows whose crc32 of the id's text is 0 modulo 5 (a null id:
     of an empty text). Labels are nothing but training targets; a doc_id with
-    several labels counts as toxic if one of them is. Rows that repeat are
-    scored each; without labels every score is alike. Columns beyond doc_id
-    and text are not looked at.
+    several labels counts as toxic if one of them is. A null text is empty; an
+    empty text, like one without letters, has the score of the bias alone.
+    Rows that repeat are scored each, a text of any length is read whole, and
+    without labels every score is alike. Columns beyond doc_id and text are not
+    looked at; an empty table gives no rows.
     """
     held_out = fold(F.col("doc_id"), 5) == 0
     model = train(docs, labels, held_out)
@@ -215,13 +225,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted_rows(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows scored toxic; all columns stay.
+    """``docs`` without the rows scored toxic; all columns stay, whatever their names.
 
     The text and the other columns pass through the scoring task, so nothing
-    is shuffled.
+    is shuffled. Null and empty texts are no more toxic than the bias says; rows
+    that repeat are judged alike; an empty table stays empty.
     """
     model = train(train_docs, labels, fold(F.col("doc_id"), 5) == 0)
-    found = scored(docs, model, {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    found = scored(docs, model, {f"c{i}": named(c) for i, c in enumerate(docs.columns)})
     return found.where(F.col("score") < THRESHOLD).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
