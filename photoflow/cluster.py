@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="photoflow-")
         context.setCheckpointDir(path)

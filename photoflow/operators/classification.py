@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.curves import KEYS
+from .arrays import mapped
 from .cleaning import let
 
 
@@ -16,31 +18,26 @@ def merged_windows(curves: DataFrame, days: float = 2.0) -> DataFrame:
     """Points merged from left to right: a block starts at the first point not
     yet used and takes all within ``days`` of it; mean time and flux of each.
 
-    A fold over each curve's points in order: blocks depend on those before.
+    Blocks depend on those before, so a curve is one row's work; a block's end is
+    found by bisection.
     """
-    point = "struct<t:double,y:double>"
-    block = "struct<start:double,t:double,y:double,n:int>"
-    none = F.lit(None).cast(block)
-    start = F.struct(F.array().cast(f"array<{block}>").alias("done"), none.alias("open"))
+    points = F.array_sort(F.collect_list(F.struct("t", "y", "s")))
+    rows = curves.groupBy(*KEYS).agg(points.alias("p")).select(*KEYS, F.col("p")["t"].alias("pt"), F.col("p")["y"].alias("py"))
 
-    def fresh(p: Column) -> Column:
-        return F.struct(p["t"].alias("start"), p["t"].alias("t"), p["y"].alias("y"), F.lit(1).alias("n"))
+    def kernel(t: np.ndarray, y: np.ndarray) -> dict:
+        starts = [0]
+        while starts[-1] < len(t):
+            at = starts[-1]
+            end = int(np.searchsorted(t, t[at] + days, side="right"))
+            while end < len(t) and t[end] - t[at] <= days:
+                end += 1
+            while end > at + 1 and t[end - 1] - t[at] > days:
+                end -= 1
+            starts.append(max(end, at + 1))
+        n = np.diff(starts)
+        return {"t": np.add.reduceat(t, starts[:-1]) / n, "y": np.add.reduceat(y, starts[:-1]) / n, "n": n}
 
-    def grown(b: Column, p: Column) -> Column:
-        return F.struct(b["start"].alias("start"), (b["t"] + p["t"]).alias("t"), (b["y"] + p["y"]).alias("y"), (b["n"] + 1).alias("n"))
-
-    def step(acc: Column, p: Column) -> Column:
-        within = p["t"] - acc["open"]["start"] <= days
-        return (
-            F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), fresh(p).alias("open")))
-            .when(within, F.struct(acc["done"].alias("done"), grown(acc["open"], p).alias("open")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), fresh(p).alias("open")))
-        )
-
-    points = F.transform(F.array_sort(F.collect_list(F.struct("t", "y", "s"))), lambda p: F.struct(p["t"].alias("t"), p["y"].alias("y")).cast(point))
-    blocks = F.aggregate("points", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    rows = curves.groupBy(*KEYS).agg(points.alias("points")).select(*KEYS, F.explode(blocks).alias("b"))
-    return rows.select(*KEYS, (F.col("b.t") / F.col("b.n")).alias("t"), (F.col("b.y") / F.col("b.n")).alias("y"), F.col("b.n").cast("long").alias("n"))
+    return mapped(rows, KEYS, kernel, "t double, y double, n long")
 
 
 def counted(curves: DataFrame, more_than: int) -> DataFrame:
@@ -98,6 +95,72 @@ def derivative_channels(curves: DataFrame, width: int = 5) -> DataFrame:
     return rows.select(*KEYS, "t", "z", F.coalesce("before", "after", F.lit(0.0)).alias("gap_before"), F.coalesce("after", "before", F.lit(0.0)).alias("gap_after"), "highpass", F.abs("highpass").alias("highpass_size"), F.coalesce("rise", F.lag("rise").over(order), F.lit(0.0)).alias("rise"))
 
 
+def gradient(value: str, time: str, order) -> Column:
+    """The slope at each point from both neighbours, weighed by their distance;
+    at a curve's ends, to the one neighbour. Times must differ."""
+    y, t = F.col(value), F.col(time)
+    y0, y1, back, ahead = F.lag(y).over(order), F.lead(y).over(order), t - F.lag(t).over(order), F.lead(t).over(order) - t
+    inner = (back * back * y1 + (ahead * ahead - back * back) * y - ahead * ahead * y0) / (back * ahead * (ahead + back))
+    return F.coalesce(inner, (y1 - y) / ahead, (y - y0) / back, F.lit(0.0))
+
+
+def gradients(curves: DataFrame, scale: float = 8.0) -> DataFrame:
+    """Per point: standardised flux, its first and second slope in time, each
+    squeezed to between -1 and 1."""
+    order = Window.partitionBy(*KEYS).orderBy("t", "y")
+    rows = standardised(curves).withColumn("d1", gradient("z", "t", order))
+    rows = rows.withColumn("d2", gradient("d1", "t", order))
+    return rows.select(*KEYS, "t", "z", F.tanh(F.col("d1") / scale).alias("d1"), F.tanh(F.col("d2") / scale).alias("d2"))
+
+
+def first_points(curves: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` points of each curve."""
+    order = Window.partitionBy(*KEYS).orderBy("t", "y", "s")
+    return curves.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).drop("i")
+
+
+def globally_normalised(curves: DataFrame, mean: float, std: float) -> DataFrame:
+    """Flux by the mean and deviation of a training set."""
+    if not std > 1e-12:
+        raise ValueError("the deviation of the training set must be above 1e-12")
+    return curves.withColumn("y", (F.col("y") - mean) / std)
+
+
+def masked_stats(padded: DataFrame, values: str, mask: str) -> DataFrame:
+    """Adds the mean and deviation over the places of an array where a mask is true."""
+    held = F.filter(F.zip_with(values, mask, lambda v, m: F.when(m, v)), lambda v: v.isNotNull())
+    mean = F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(held), F.lit(1))
+    rows = padded.withColumn("masked_mean", mean)
+    square = F.aggregate(F.transform(held, lambda v: F.pow(v - F.col("masked_mean"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)
+    return rows.withColumn("masked_std", F.sqrt(square / F.greatest(F.size(held), F.lit(1))))
+
+
+def series(curves: DataFrame) -> DataFrame:
+    """One row a curve: its fluxes in order of time, as the panel of a series classifier."""
+    points = F.array_sort(F.collect_list(F.struct("t", "y", "s")))
+    return curves.groupBy(*KEYS).agg(points.alias("p")).select(*KEYS, F.col("p")["y"].alias("values"))
+
+
+def renamed_for(domain: str, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Prediction columns with the domain's name behind them."""
+    return predictions.select(*[F.col(c).alias(c if c in keys else f"{c}_{domain}") for c in predictions.columns])
+
+
+def without_scores(predictions: DataFrame, words: tuple[str, ...] = ("score", "prob")) -> DataFrame:
+    """Predictions without the columns whose name has one of the words."""
+    return predictions.drop(*[c for c in predictions.columns if any(w in c.lower() for w in words)])
+
+
+def predicted(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Adds predicted: whether the score is at least the threshold; null without a score."""
+    return scores.withColumn("predicted", F.col("score") >= threshold)
+
+
+def most_likely(scores: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
+    """The n highest scores, ties by the keys."""
+    return scores.where(F.col("score").isNotNull()).orderBy(F.desc("score"), *keys).limit(n)
+
+
 def fused(forest: DataFrame, network: DataFrame) -> DataFrame:
     """Scores of two models by component, either may lack; positive if one says so."""
     both = forest.select("component", F.col("score").alias("forest_score"), F.col("predicted").alias("forest")).join(

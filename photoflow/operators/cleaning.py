@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..sources.curves import KEYS
 
 #: The standard deviation of a normal distribution over its median absolute deviation.
@@ -192,7 +193,8 @@ def clean(curves: DataFrame, how: Cleaning | None = None, **changes) -> Cleaned:
     noise, points before, then points after, then the share of outliers.
     """
     how = replace(how or Cleaning(), **changes)
-    rows = binned(curves, how.bin_days, how.error_mode) if how.binning else curves
+    # every output reads the rows and what they were scored
+    rows = cut(binned(curves, how.bin_days, how.error_mode) if how.binning else curves)
     metrics = signal_to_noise(rows, how.signal_mode)
     few = F.when(F.col("n") < how.min_points_before, F.lit(f"less_than_{how.min_points_before}_points_before_cleaning"))
     metrics = metrics.withColumn("early_reason", F.coalesce(snr_verdict(how), few))

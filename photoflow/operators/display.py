@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.curves import KEYS, number
+from .arrays import mapped
 
 MODES = ("raw", "centered", "normalized", "minmax", "first=0", "first=1")
+#: Other names of the modes.
+SYNONYMS = {"none": "raw", "normalize": "normalized", "normalization": "normalized", "zscore": "normalized"}
 
 
 def in_mode(curves: DataFrame, mode: str) -> DataFrame:
     """Flux in a mode, and errors by the divisor that the mode has for them."""
+    mode = SYNONYMS.get(mode.lower(), mode.lower())
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     whole = Window.partitionBy(*KEYS)
@@ -35,6 +40,53 @@ def smoothed(curves: DataFrame, window: int) -> DataFrame:
     return curves.withColumn("smooth", F.avg("y").over(frame) if window > 1 else F.col("y"))
 
 
+def shown(curves: DataFrame, sources: list[str] | None = None, components: list[str] | None = None) -> DataFrame:
+    """Curves of the named sources and components; ids are compared as text, and
+    one or two components can be shown beside each other."""
+    if components is not None and not 1 <= len(components) <= 2:
+        raise ValueError("one or two components can be shown")
+    for column, wanted in (("source", sources), ("component", components)):
+        if wanted is not None:
+            curves = curves.where(F.col(column).cast("string").isin(*map(str, wanted)))
+    return curves
+
+
+def group_titles(curves: DataFrame) -> DataFrame:
+    """A title of each curve: its keys and their values."""
+    title = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(k)) for k in KEYS])
+    return curves.select(*KEYS).distinct().withColumn("title", title)
+
+
+def ranked_groups(curves: DataFrame) -> DataFrame:
+    """Curves in the order of their first point: rank, from 1."""
+    first = curves.groupBy(*KEYS).agg(F.min("t").alias("first"))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("first", *KEYS)))
+
+
+def gaussian_process(curves: DataFrame, length: float = 180.0, points: int = 400, error_share: float = 0.05) -> DataFrame:
+    """A smooth line with one sigma of each curve at ``points`` even times: the
+    posterior of a Gaussian process whose kernel is a constant (the flux's
+    variance) times a squared exponential of fixed length; the noise is a
+    share of the errors, squared. A curve is one row's work, of the cube of its points."""
+    row = F.array_sort(F.collect_list(F.struct("t", "y", "s")))
+    rows = curves.groupBy(*KEYS).agg(row.alias("p")).select(*KEYS, *[F.col("p")[c].alias(f"p{c}") for c in "tys"])
+
+    def kernel(t, y, s) -> dict:
+        middle, size = y.mean(), max(float(y.var()), 1e-12)
+        noise = np.maximum((error_share * np.nan_to_num(s)) ** 2, 1e-6 * size)
+        at = np.linspace(t[0], t[-1], points)
+
+        def like(a, b):
+            return size * np.exp(-0.5 * ((a[:, None] - b) / length) ** 2)
+
+        lower = np.linalg.cholesky(like(t, t) + np.diag(noise))
+        across = np.linalg.solve(lower, like(t, at))
+        line = across.T @ np.linalg.solve(lower, y - middle)
+        return {"t": at, "line": middle + line, "sigma": np.sqrt(np.maximum(size - (across**2).sum(axis=0), 0.0))}
+
+    return mapped(rows, KEYS, kernel, "t double, line double, sigma double")
+
+
 def julian_days(value: Column) -> Column:
     """Julian days of Julian or modified Julian days."""
     return F.when(value.between(30000, 100000), value + 2400000.5).otherwise(value)
@@ -71,3 +123,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     """Columns that hold at least one number, also as text; one pass over the table."""
     counts = df.agg(*[F.count(number(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     return [c for c, n in zip(df.columns, counts, strict=True) if n]
+
+
+def even_steps(low: Column, high: Column, n: int, by_factors: bool = False) -> Column:
+    """An array of n numbers from low to high, at equal distances or by equal factors."""
+    share = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / F.lit(float(max(n - 1, 1))))
+    if by_factors:
+        return F.transform(share, lambda f: low * F.pow(high / low, f))
+    return F.transform(share, lambda f: low + (high - low) * f)

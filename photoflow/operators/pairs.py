@@ -20,6 +20,71 @@ def component_pairs(curves: DataFrame, least_points: int = 1) -> DataFrame:
     return a.join(b, "source").where("a < b")
 
 
+def first_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """The first pairs in the order of their ids."""
+    return pairs.orderBy(*PAIR).limit(most)
+
+
+def component_groups(curves: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """(source, members): the components of each source that has so many, in the order of their ids."""
+    found = curves.groupBy("source").agg(F.array_sort(F.collect_set("component")).alias("members"))
+    return found.where(F.size("members").between(least, most))
+
+
+def looked_up(curves: DataFrame, asked: DataFrame, least_points: int = 2) -> DataFrame:
+    """Points of the asked systems (source, members), with the place of their
+    component; systems of which a component has too few points have none."""
+    wanted = asked.select("source", "members", F.posexplode("members").alias("place", "component"))
+    rows = wanted.join(curves.where("t is not null and y is not null and s > 0"), KEYS)
+    held = rows.groupBy("source", "members", "place").agg(F.count("*").alias("n")).where(F.col("n") >= least_points)
+    whole = held.groupBy("source", "members").agg(F.count("*").alias("k")).where(F.col("k") == F.size("members")).drop("k")
+    return rows.join(whole, ["source", "members"], "left_semi")
+
+
+def robust_scales(values: DataFrame, keys: list[str], value: str, least: float = 1e-6) -> DataFrame:
+    """Per key: the median, and the scaled median absolute deviation, else the
+    scaled quartile range, else the standard deviation, else 1."""
+    mid = values.groupBy(*keys).agg(F.median(value).alias("middle"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"), F.stddev_pop(value).alias("std"))
+    mad = values.join(mid, keys).groupBy(*keys).agg((F.median(F.abs(F.col(value) - F.col("middle"))) * 1.4826).alias("mad"))
+    scale = F.when(F.col("mad") >= least, F.col("mad")).when(F.col("iqr") / 1.349 >= least, F.col("iqr") / 1.349).when(F.col("std") >= least, F.col("std")).otherwise(1.0)
+    return mid.join(mad, keys).select(*keys, "middle", scale.alias("scale"))
+
+
+def guarded_corr(a: str, b: str, least: int = 3) -> Column:
+    """The aggregate: Pearson's correlation, 0 with too few pairs of values or without spread."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    flat = (F.count(x) < least) | (F.stddev_pop(x) < 1e-8) | (F.stddev_pop(y) < 1e-8)
+    return F.when(flat, 0.0).otherwise(F.coalesce(F.corr(a, b), F.lit(0.0)))
+
+
+def guarded_moment(value: str, which: Column) -> Column:
+    """The aggregate: a standardised moment, 0 for fewer than 4 values or no spread."""
+    return F.when((F.count(value) < 4) | (F.stddev_pop(value) < 1e-8), 0.0).otherwise(which)
+
+
+def top_means(values: DataFrame, keys: list[str], value: str, sizes: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """Per key: the mean of its largest values, of as many as asked or all."""
+    ordered = F.slice(F.sort_array(F.collect_list(value), asc=False), 1, max(sizes))
+    rows = values.groupBy(*keys).agg(ordered.alias("v"))
+    means = [(F.aggregate(F.slice("v", 1, k), F.lit(0.0), lambda a, x: a + x) / F.least(F.size("v"), F.lit(k))).alias(f"top{k}_mean") for k in sizes]
+    return rows.select(*keys, *means)
+
+
+def common_features(columns: list[str], first: str = "a_", second: str = "b_") -> list[str]:
+    """What both sides of a pair have, by their columns' prefixes."""
+    a, b = ({c.removeprefix(p) for c in columns if c.startswith(p)} for p in (first, second))
+    return sorted(a & b)
+
+
+def at_times(curves: DataFrame, times: DataFrame) -> DataFrame:
+    """Flux of each curve on the line between its points at asked times (the
+    curve's keys and t); null outside the curve. One sort, no join by range."""
+    points = curves.select(*KEYS, F.lit("a").alias("side"), "t", "y", "s").unionByName(times.select(*KEYS, F.lit("b").alias("side"), "t", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("s")))
+    flux, variance = interpolated("a0", "a1")
+    return bracketed(points, KEYS).where("side = 'b'").select(*KEYS, "t", flux.alias("y"), variance.alias("variance"))
+
+
 def with_sides(curves: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each pair's points: the pair's columns, side ("a" or "b"), t, y, s."""
     sides = pairs.select(*PAIR, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("component")), F.struct(F.lit("b").alias("side"), F.col("b").alias("component")))).alias("p"))
@@ -55,7 +120,7 @@ def curve_features(df: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("y_std"), F.median("y").alias("y_median"),
         (F.percentile("y", F.lit(0.75)) - F.percentile("y", F.lit(0.25))).alias("y_iqr"),
         (F.percentile("y", F.lit(0.95)) - F.percentile("y", F.lit(0.05))).alias("y_amp_q90"),
-        F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.skewness("y").alias("y_skew"), F.kurtosis("y").alias("y_kurt"),
+        F.min("y").alias("y_min"), F.max("y").alias("y_max"), guarded_moment("y", F.skewness("y")).alias("y_skew"), guarded_moment("y", F.kurtosis("y")).alias("y_kurt"),
         F.regr_slope("y", "t").alias("trend_per_day"), F.sqrt(F.regr_syy("y", "t") * (1 - F.regr_r2("y", "t")) / F.count("*")).alias("resid1_std"),
         F.corr("y0", "y").alias("acf1"), F.stddev_pop("dy").alias("dy_std"), F.median("s").alias("err_median"), F.avg("s").alias("err_mean"),
     )

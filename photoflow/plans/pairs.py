@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut
+from ..operators import delay_scan as A
 from ..operators import interpolation_delay as D
 from ..operators import pairs as P
 from ..operators.cleaning import binned
@@ -25,8 +27,8 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curves(spark, sf_dir)
-    return P.with_sides(rows, P.component_pairs(rows, P.LEAST_POINTS))
+    rows = cut(curves(spark, sf_dir))
+    return cut(P.with_sides(rows, P.component_pairs(rows, P.LEAST_POINTS)))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,16 +102,16 @@ def best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.delay_scores(D.prepared(sides(spark, sf_dir)), FULL_SCAN.delays(), FULL_SCAN), 6)
+    return rounded(A.scanned(sides(spark, sf_dir), FULL_SCAN), 6)
 
 
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.estimated(sides(spark, sf_dir), FULL_SCAN, refine=True), 6)
+    return rounded(A.estimated(sides(spark, sf_dir), FULL_SCAN), 6)
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monte Carlo: the refined production scan of every draw of each pair, summarised."""
-    return P.sample_summary(D.drawn_delays(sides(spark, sf_dir), FULL_SCAN, DRAWS, refine=True), [*P.PAIR, "method"], "delay")
+    return P.sample_summary(A.drawn_delays(sides(spark, sf_dir), FULL_SCAN, DRAWS, refine=True), [*P.PAIR, "method"], "delay")
 
 
 SIDES = f"""WITH {BINS}, u AS (SELECT DISTINCT source, component FROM b), pr AS (SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component),

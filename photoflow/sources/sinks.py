@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +25,44 @@ def write_cleaned(cleaned, folder: str, form: str = "csv") -> None:
     write_tables(tables | {"summary": cleaned.summary, "removed_by_reason": reasons}, folder, form)
 
 
+#: Directories that results are dealt to by a hash of their source.
+BUCKETS = 64
+
+
 def write_by_source(results: DataFrame, folder: str) -> None:
-    """Appends results, a directory per source, so that a later run can see what is done."""
-    results.repartition("source").write.mode("append").partitionBy("source").parquet(folder)
+    """Appends results, dealt to a fixed number of directories by their source,
+    so that a later run can see what is done."""
+    bucket = F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int")
+    results.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
 
 
 def unfinished(spark: SparkSession, pairs: DataFrame, folder: str, keys: tuple[str, ...] = ("source", "a", "b")) -> DataFrame:
-    """Pairs that the folder of ``write_by_source`` has no result of. Sources are read as text."""
-    finished = spark.read.schema(results_schema(pairs, keys)).parquet(folder).select(*keys).distinct()
-    return pairs.join(finished, list(keys), "left_anti")
+    """Pairs that the folder of ``write_by_source`` has no result of: all of
+    them if there is no such folder yet. Sources are read as text."""
+    try:
+        finished = spark.read.schema(results_schema(pairs, keys)).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return pairs
+    return pairs.join(finished.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def write_predictions(predictions: DataFrame, path: str, keys: tuple[str, ...] = ("source", "component"), failures: DataFrame | None = None) -> None:
+    """Predictions in the order of their keys, as one CSV; failed ones with their
+    reason in a table beside it. Rows that failed are in the first with a null score."""
+    predictions.orderBy(*keys).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if failures is not None:
+        failures.write.mode("overwrite").option("header", True).csv(f"{path}_errors")
+
+
+def write_delays(folder: str, estimates: DataFrame, profile: DataFrame | None = None, summary: DataFrame | None = None, samples: DataFrame | None = None, failed: DataFrame | None = None, form: str = "csv") -> None:
+    """The tables of a delay run that there are: arrays become text in CSV files."""
+    tables = {"estimates": estimates, "profile": profile, "summary": summary, "samples": samples, "failed_systems": failed}
+    for name, table in tables.items():
+        if table is not None:
+            flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct")) and form == "csv" else F.col(c) for c, kind in table.dtypes]
+            write_tables({name: table.select(*flat)}, folder, form)
 
 
 def results_schema(pairs: DataFrame, keys: tuple[str, ...]):

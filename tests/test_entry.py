@@ -1,3 +1,5 @@
+import importlib
+
 import duckdb
 import pytest
 
@@ -17,10 +19,34 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", ["f1_canonical_scan", "a1_bin_sem", "w1_rolling_score", "pre_source_report", "p15_cadence", "d5_delay_scores"])
+def test_missing_parts_are_left_out(monkeypatch):
+    for missing in ("photoflow.llm.registry", "corpus_pipeline"):
+        def absent(name, missing=missing):
+            if name == missing:
+                raise ImportError(name)
+            return importlib_module(name)
+
+        importlib_module = importlib.import_module
+        with monkeypatch.context() as m, pytest.warns(UserWarning, match=missing):
+            m.setattr(importlib, "import_module", absent)
+            names = set(entry.queries())
+        assert set(registry.QUERIES) <= names and "pipeline" not in names
+
+
+def test_other_errors_are_not_hidden(monkeypatch):
+    def broken(name):
+        raise ValueError(name)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    with pytest.raises(ValueError):
+        entry.queries()
+
+
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    for table in ("lineitem", "supplier"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     relation = con.sql(registry.ORACLE_SQL[name])
     found = registry.QUERIES[name](spark, DATA)
     names = sorted(relation.columns)

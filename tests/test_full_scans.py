@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from photoflow.operators import delay_scan as A
 from photoflow.operators import pairs as P
 from photoflow.plans import pairs as plans
 
@@ -38,17 +39,46 @@ def test_refined_search_finds_a_long_delay(spark, sides):
 
 
 def test_monte_carlo_draws(spark, sides, monkeypatch):
-    asked, run = [], plans.D.drawn_delays
+    asked, run = [], plans.A.drawn_delays
 
-    def few(table, how, n, refine):
+    def seen(table, how, n, refine):
         asked.append((how, n, refine))
-        return run(table, how, 3, refine=refine)
+        return run(table, how, n, refine=refine)
 
-    monkeypatch.setattr(plans.D, "drawn_delays", few)
+    monkeypatch.setattr(plans.A, "drawn_delays", seen)
     rows = plans.QUERIES["d8_monte_carlo"](spark, "").collect()
     assert asked == [(plans.D.Scan(), 200, True)]
     assert {r.method for r in rows} == set(plans.D.METHODS)
-    assert all(r.n_valid == 3 and abs(r["median"] - DELAY) < 3 for r in rows)
+    assert all(r.n_valid == 200 and abs(r["median"] - DELAY) < 3 for r in rows)
+
+
+def test_draws_are_those_of_a_plain_loop(spark, sides, curves):
+    how = A.Scan(least=250.0, most=350.0, steps=21)
+    found = {(r.draw, r.method): (r.delay, r.score) for r in A.drawn_delays(sides, how, 3, seed=7).collect()}
+    a, b = (np.array([r[2:] for r in curves if r[1] == c]).T for c in "AB")
+    for draw in (1, 2, 3):
+        z = A.normals(7, '["s","A","B"]', draw, 120)
+        moved = spark.createDataFrame(
+            [("s", c, float(t), float(y + s * e), float(s)) for c, (ts, ys, ss), es in (("A", a, z[:60]), ("B", b, z[60:])) for t, y, s, e in zip(ts, ys, ss, es, strict=True)],
+            "source string, component string, t double, y double, s double",
+        )
+        plain = plans.D.estimated(P.with_sides(moved, P.component_pairs(moved)), how, refine=False)
+        for r in plain.collect():
+            delay, score = found[draw, r.method]
+            assert score <= r.score + 1e-9 and abs(delay - r.delay) <= 10.01
+
+
+def test_array_scan_is_the_scan_of_rows(spark, sides):
+    how = A.Scan(steps=21, overlap_penalty=2.0)
+    points = plans.D.prepared(sides)
+    rows = {r.delay: r for r in plans.D.delay_scores(points, how.delays(), how).collect()}
+    arrays = {r.delay: r for r in A.scanned(sides, how).collect()}
+    assert set(rows) == set(arrays) and len(rows) > 5
+    for d, r in rows.items():
+        for c in ("n_a", "n_b", "frac_a", "frac_b", "span_frac", *plans.D.METHODS):
+            assert arrays[d][c] == pytest.approx(r[c], rel=1e-9), (d, c)
+    best = {r.method: r.delay for r in A.estimated(sides, how, refine=False).collect()}
+    assert best == {r.method: r.delay for r in plans.D.estimated(sides, how, refine=False).collect()}
 
 
 def plain_correlations(curves, delay):
