@@ -67,7 +67,7 @@ def standardised(curves: DataFrame) -> DataFrame:
 
 
 def events(curves: DataFrame, last: int = 128) -> DataFrame:
-    """Per point: standardised flux, standardised log gap, relative time, slope
+    """Per point: standardised flux, log gap, relative time, slope
     (within 20) and its size; the last points of each curve only."""
     order = Window.partitionBy(*KEYS).orderBy("t", "y")
     whole = Window.partitionBy(*KEYS)

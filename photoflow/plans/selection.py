@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import classification as K
 from ..operators import display as V
 from ..operators import generator as G
+from ..operators import networks as N
 from ..operators import pairs as P
 from ..operators import spline_delay as S
 from ..operators.cleaning import binned, signal_to_noise
@@ -205,6 +206,11 @@ def smooth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.gaussian_process(curves(spark, sf_dir)), 6)
 
 
+def event_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: the last 128 events of each curve as the single-curve network reads them."""
+    return rounded(N.event_rows(curves(spark, sf_dir)), 7)
+
+
 def u_sql(*parts: str) -> str:
     joined = ", ".join(parts)
     return f"(('0x' || substr(md5(concat_ws('/', {joined})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
@@ -252,6 +258,7 @@ QUERIES = {
     "v4_histogram": histogram,
     "x6_group_titles": titles,
     "v2_gaussian_process": smooth_lines,
+    "m6_event_tensor": event_tensor,
 }
 _SNR = "(quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 2 / median(s)"
 _MERGED = f"""RECURSIVE {LC}, big AS (SELECT source, component FROM lc GROUP BY ALL HAVING count(*) > 185), o AS (SELECT lc.*, row_number() OVER (PARTITION BY source, component ORDER BY t, y, s) AS i FROM lc SEMI JOIN big USING (source, component)),
@@ -312,5 +319,11 @@ ORACLE_SQL = {
     "g6_visits": f"SELECT s_suppkey::BIGINT AS pair_id, round((k + 0.5 + ({u_sql("'42'", 's_suppkey::VARCHAR', "'visit'", 'k::VARCHAR')} - 0.5) * 0.6) * 30, 9) AS time_days FROM supplier, range(66) AS r(k)",
     "g11_cadence": f"WITH {LC}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY source, component ORDER BY t, y, s) AS gap FROM lc) SELECT source, component, count(*) AS n, round(avg(gap), 8) AS mean, round(median(gap), 8) AS median, round(max(gap), 8) AS most FROM g GROUP BY source, component",
     "v4_histogram": f"WITH {LC} SELECT source, component, CASE WHEN y < 10 THEN 0 WHEN y >= 90 THEN 21 ELSE floor((y - 10) / 80 * 20)::BIGINT + 1 END AS bucket, count(*) AS n FROM lc GROUP BY ALL",
+    "m6_event_tensor": f"""WITH {BINS}, n AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY t DESC, y DESC) AS back FROM b), l AS (SELECT source, component, t, y FROM n WHERE back <= 128),
+      k AS (SELECT source, component, median(y) AS mid, stddev_pop(y) AS std FROM l GROUP BY ALL), k2 AS (SELECT source, component, 1.4826 * median(abs(y - mid)) AS mad, any_value(std) AS std, any_value(mid) AS mid FROM l JOIN k USING (source, component) GROUP BY ALL),
+      z AS (SELECT l.*, (y - mid) / CASE WHEN mad > 1e-6 THEN mad WHEN std > 1e-6 THEN std ELSE 1 END AS z FROM l JOIN k2 USING (source, component)),
+      g AS (SELECT *, row_number() OVER w AS i, ln(1 + coalesce(t - lag(t) OVER w, 0)) AS lg, coalesce((z - lag(z) OVER w) / greatest(t - lag(t) OVER w, 1e-3), 0) AS sl, (t - min(t) OVER v) / (max(t) OVER v - min(t) OVER v) AS rel FROM z WINDOW w AS (PARTITION BY source, component ORDER BY t, y), v AS (PARTITION BY source, component)),
+      q AS (SELECT source, component, median(lg) AS mid, stddev_pop(lg) AS std FROM g GROUP BY ALL), q2 AS (SELECT source, component, 1.4826 * median(abs(lg - mid)) AS mad, any_value(mid) AS mid, any_value(std) AS std FROM g JOIN q USING (source, component) GROUP BY ALL)
+      SELECT source, component, i::INTEGER AS i, round(z, 7) AS z, round((lg - mid) / CASE WHEN mad > 1e-6 THEN mad WHEN std > 1e-6 THEN std ELSE 1 END, 7) AS log_gap, round(rel, 7) AS relative_t, round(greatest(-20, least(20, sl)), 7) AS slope, round(abs(greatest(-20, least(20, sl))), 7) AS slope_size FROM g JOIN q2 USING (source, component)""",
     "x6_group_titles": f"WITH {LC} SELECT DISTINCT source, component, 'source=' || source || ', component=' || component AS title FROM lc",
 }

@@ -1,0 +1,115 @@
+"""Forward passes with seeded weights against layer-by-layer loops."""
+
+import math
+
+import numpy as np
+import pytest
+
+from photoflow.operators import networks as N
+from photoflow.operators import pairs as P
+
+
+def test_layers_by_loops():
+    rng = np.random.default_rng(1)
+    w = {"c.weight": rng.normal(size=(3, 4, 5)), "c.bias": rng.normal(size=3), "g.weight": rng.normal(size=4), "g.bias": rng.normal(size=4)}
+    x = rng.normal(size=(4, 12))
+    for d in (1, 2, 4):
+        wanted = np.zeros((3, 12))
+        for o in range(3):
+            for p in range(12):
+                wanted[o, p] = w["c.bias"][o] + sum(w["c.weight"][o, i, k] * x[i, p + (k - 2) * d] for i in range(4) for k in range(5) if 0 <= p + (k - 2) * d < 12)
+        assert np.allclose(N.convolved(w, "c", x, d), wanted)
+    normal = N.group_norm(w, "g", x, 2)
+    for c in range(4):
+        part = x[c // 2 * 2 : c // 2 * 2 + 2]
+        assert np.allclose(normal[c], (x[c] - part.mean()) / np.sqrt(part.var() + 1e-5) * w["g.weight"][c] + w["g.bias"][c])
+    assert N.gelu(np.array([0.7]))[0] == pytest.approx(0.7 * 0.5 * (1 + math.erf(0.7 / math.sqrt(2))))
+    assert N.silu(np.array([0.7]))[0] == pytest.approx(0.7 / (1 + math.exp(-0.7)))
+
+
+def test_event_tensor():
+    t, y = np.arange(200.0) ** 1.1, np.sin(np.arange(200.0))
+    x = N.event_tensor(t, y, 128)
+    assert x.shape == (128, 5) and x[0, 2] == 0 and x[-1, 2] == 1 and x[0, 3] == 0 and np.abs(x[:, 3]).max() <= 20
+    assert np.median(x[:, 0]) == pytest.approx(0, abs=1e-9)
+    assert np.array_equal(x[:, 4], np.abs(x[:, 3]))
+
+
+def test_event_score_by_steps():
+    w = N.seeded_weights(N.event_shapes(6, 4), 3)
+    x = np.random.default_rng(2).normal(size=(5, 5))
+    ln = lambda v, n: (v - v.mean()) / math.sqrt(v.var() + 1e-5) * w[f"{n}.weight"] + w[f"{n}.bias"]
+    lin = lambda v, n: w[f"{n}.weight"] @ v + w[f"{n}.bias"]
+    s = lambda v: 1 / (1 + np.exp(-v))
+    h, hs, es = np.zeros(4), [], []
+    for row in x:
+        e = lin(row, "event_encoder.net.0")
+        e = ln(e, "event_encoder.net.1")
+        e = lin(e * s(e), "event_encoder.net.4")
+        e = e * s(e)
+        d = s(lin(row[1:2], "decay_cell.decay")) * h
+        u = s(lin(e, "decay_cell.in_proj") + lin(d, "decay_cell.h_proj"))
+        c = lin(np.r_[e, d], "decay_cell.cand")
+        c = c * s(c)
+        m = s(lin(np.r_[e, d], "decay_cell.mix"))
+        h = ln(m * (u * d + (1 - u) * c) + (1 - m) * d, "decay_cell.norm")
+        hs.append(h)
+        es.append(e)
+    ge = [float(s(lin(np.r_[e, r[1]], "event_gate"))[0]) for e, r in zip(es, x, strict=True)]
+    gs = [float(s(lin(np.r_[k, e, r[1]], "state_gate"))[0]) for k, e, r in zip(hs, es, x, strict=True)]
+    joined = np.r_[h, sum(g * k for g, k in zip(gs, hs, strict=True)) / sum(gs), sum(g * e for g, e in zip(ge, es, strict=True)) / sum(ge)]
+    a, g = np.split(lin(joined, "head.proj"), 2)
+    assert N.event_score(w, x) == pytest.approx(float(lin(a * s(a) * s(g), "head.out")[0]))
+
+
+HOW = N.PairNet(max_len=30)
+
+
+def small_weights():
+    w = N.seeded_weights(N.pair_shapes(hidden=16, latent=8, blocks=3, delays=21), 5)
+    w["delay_grid"] = np.linspace(-300, 300, 21)
+    return w
+
+
+def test_alignment_by_loops():
+    rng = np.random.default_rng(4)
+    z, other = rng.normal(size=(6, 8)), rng.normal(size=(5, 8))
+    t, at, m, held, delays = np.sort(rng.uniform(0, 200, 6)), np.sort(rng.uniform(0, 200, 5)), np.ones(6), np.array([1.0, 1, 1, 1, 0]), np.array([-50.0, 0.0, 80.0])
+    found = N.aligned(z, t, m, other, at, held, delays, HOW)
+    for h in range(4):
+        for k, d in enumerate(delays):
+            total, weight = 0.0, 0.0
+            for i in range(6):
+                near = np.exp(-0.5 * ((at - (t[i] + d)) / 30) ** 2) * held
+                unit = lambda v: v / max(np.linalg.norm(v), 1e-6)
+                there = sum(n * unit(other[j, 2 * h : 2 * h + 2]) for j, n in enumerate(near)) / max(near.sum(), 1e-6)
+                valid = near.sum() > 1e-5
+                total, weight = total + valid * unit(z[i, 2 * h : 2 * h + 2]) @ there, weight + valid
+            assert found[h, k] == pytest.approx(total / max(weight, 1e-6))
+
+
+def test_lens_tensor_and_symmetry():
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.uniform(0, 2000, 50))
+    x, times, mask = N.lens_tensor(t, np.sin(t / 90), HOW)
+    assert x.shape == (30, 9) and mask.sum() == 30 and np.abs(x[:, 3:5]).max() <= 1 and x[0, 5] == x[1, 5] and times[-1] == t[-1]
+    x, times, mask = N.lens_tensor(t[:7], np.sin(t[:7]), HOW)
+    assert mask.sum() == 7 and not x[7:].any()
+    w = small_weights()
+    assert not N.encoded(w, x, mask, HOW)[7:].any()
+    a, b = N.lens_tensor(t[::2], np.sin(t[::2] / 90), HOW), N.lens_tensor(t[1::2], np.sin(t[1::2] / 90 + 1), HOW)
+    logit, delay, entropy = N.pair_logit(w, a, b, HOW)
+    assert math.isfinite(logit) and -300 <= delay <= 300 and 0 <= entropy <= math.log(21) + 1e-9
+    assert np.allclose(N.rising(np.array([1.0, 1.0, 0.5, 3.0])), [1.0, 1.001, 1.002, 3.0])
+
+
+def test_scores_in_spark(spark):
+    rng = np.random.default_rng(7)
+    rows = [("s", c, float(t), float(np.sin(t / 90)), 0.1) for c in "AB" for t in np.sort(rng.uniform(0, 2000, 40))] + [("s", "C", float(k), 1.0, 0.1) for k in range(3)]
+    curves = spark.createDataFrame(rows, "source string, component string, t double, y double, s double")
+    found = {r.component: r.score for r in N.curve_scores(curves, N.seeded_weights(N.event_shapes(), 1)).collect()}
+    assert set(found) == set("ABC") and all(0 < v < 1 for v in found.values())
+    every = P.component_pairs(curves)
+    scored = {(r.a, r.b): r for r in N.pair_scores(P.with_sides(curves, every), every, small_weights(), HOW).collect()}
+    assert 0 < scored["A", "B"].score < 1 and scored["A", "C"].score is None and scored["A", "C"].reason and len(scored) == 3
+    assert N.event_rows(curves).count() == 83
