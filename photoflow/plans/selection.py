@@ -21,7 +21,7 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.robust_scales(line_items(spark, sf_dir), KEYS, "y"))
+    return rounded(P.robust_scales(line_items(spark, sf_dir), KEYS, "y"), 11)
 
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curves(spark, sf_dir)
-    times = rows.select(*KEYS).distinct().select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).withColumn("t", F.lit(2449720.0) + F.col("i") * 50)
-    return rounded(P.at_times(rows, times).select(*KEYS, "t", "y").where("y is not null"), 11)
+    times = rows.select(*KEYS).distinct().select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).withColumn("t", F.lit(2449720.1370619) + F.col("i") * 50)
+    return rounded(P.at_times(rows, times).select(*KEYS, "t", "y").where("y is not null"), 7)
 
 
 def with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.series(line_items(spark, sf_dir)).withColumn("mask", F.transform("values", lambda v: v > 20))
-    return rounded(K.masked_stats(rows, "values", "mask").select(*KEYS, "masked_mean", "masked_std"))
+    return rounded(K.masked_stats(rows, "values", "mask").select(*KEYS, "masked_mean", "masked_std"), 9)
 
 
 def julian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +271,7 @@ _GRADIENT = """coalesce((h0 * h0 * v1 + (h1 * h1 - h0 * h0) * v - h1 * h1 * v0)
 ORACLE_SQL = {
     "a10_robust_scales": f"""WITH {LC}, m AS (SELECT source, component, median(y) AS middle, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr, stddev_pop(y) AS std FROM lc GROUP BY ALL),
       d AS (SELECT source, component, 1.4826 * median(abs(y - middle)) AS mad FROM lc JOIN m USING (source, component) GROUP BY ALL)
-      SELECT source, component, round(middle, 8) AS middle, round(CASE WHEN mad >= 1e-6 THEN mad WHEN iqr / 1.349 >= 1e-6 THEN iqr / 1.349 WHEN std >= 1e-6 THEN std ELSE 1 END, 8) AS scale FROM m JOIN d USING (source, component)""",
+      SELECT source, component, round(middle, 11) AS middle, round(CASE WHEN mad >= 1e-6 THEN mad WHEN iqr / 1.349 >= 1e-6 THEN iqr / 1.349 WHEN std >= 1e-6 THEN std ELSE 1 END, 11) AS scale FROM m JOIN d USING (source, component)""",
     "a14_guarded_corr": f"WITH {BINS} SELECT source, component, round(CASE WHEN count(*) < 3 OR stddev_pop(t) < 1e-8 OR stddev_pop(y) < 1e-8 THEN 0 ELSE corr(t, y) END, 8) AS corr FROM b GROUP BY source, component",
     "a15_guarded_moments": f"WITH {LC}, m AS (SELECT *, y - avg(y) OVER w AS d FROM lc WINDOW w AS (PARTITION BY source, component)) SELECT source, component, round(avg(d ** 3) / stddev_pop(y) ** 3, 8) AS skew, round(avg(d ** 4) / stddev_pop(y) ** 4 - 3, 8) AS kurtosis FROM m GROUP BY source, component",
     "t6_top_means": f"WITH {LC}, r AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY y DESC) AS i FROM lc) SELECT source, component, round(avg(y) FILTER (i <= 3), 8) AS top3_mean, round(avg(y) FILTER (i <= 5), 8) AS top5_mean FROM r GROUP BY source, component",
@@ -279,9 +279,9 @@ ORACLE_SQL = {
     "t8_first_pairs": f"WITH {LC}, u AS (SELECT DISTINCT source, component FROM lc) SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component ORDER BY ALL LIMIT 50",
     "id_component_groups": f"WITH {LC} SELECT source, string_agg(DISTINCT component, ',' ORDER BY component) AS members, count(DISTINCT component)::INTEGER AS n FROM lc GROUP BY source HAVING count(DISTINCT component) BETWEEN 2 AND 4",
     "f7_looked_up": f"WITH {LC}, r AS (SELECT *, (dense_rank() OVER (PARTITION BY source ORDER BY component) - 1)::INTEGER AS place FROM lc) SELECT source, place, component, count(*) AS n, round(sum(y), 6) AS total FROM r WHERE s > 0 GROUP BY ALL",
-    "j9_interp_grid": f"""WITH {BINS}, q AS (SELECT source, component, 2449720.0 + 50 * i AS t FROM (SELECT DISTINCT source, component FROM b), range(50) AS r(i)),
+    "j9_interp_grid": f"""WITH {BINS}, q AS (SELECT source, component, 2449720.1370619::DOUBLE + 50 * i AS t FROM (SELECT DISTINCT source, component FROM b), range(50) AS r(i)),
       q0 AS (SELECT q.*, b.t AS t0, b.y AS y0 FROM q ASOF JOIN b ON q.source = b.source AND q.component = b.component AND q.t >= b.t), q1 AS (SELECT q0.*, b.t AS t1, b.y AS y1 FROM q0 ASOF JOIN b ON q0.source = b.source AND q0.component = b.component AND q0.t <= b.t)
-      SELECT source, component, t::DOUBLE AS t, round(CASE WHEN t1 > t0 THEN y0 * (1 - (t - t0) / (t1 - t0)) + y1 * ((t - t0) / (t1 - t0)) ELSE y0 END, 11) AS y FROM q1""",
+      SELECT source, component, round(t, 7) AS t, round(CASE WHEN t1 > t0 THEN y0 * (1 - (t - t0) / (t1 - t0)) + y1 * ((t - t0) / (t1 - t0)) ELSE y0 END, 7) AS y FROM q1""",
     "j3_left_or": f"WITH {LC}, m AS (SELECT source || '-' || component AS component, round({_SNR}, 8) AS score FROM lc GROUP BY lc.source, lc.component) SELECT component, coalesce(score > 2 AND score > 2.2, false) AS positive FROM m",
     "a3_prepared": f"WITH {_MERGED} SELECT source, component, round(t, 7) AS t, round(y, 7) AS y, n FROM w SEMI JOIN (SELECT source, component FROM w GROUP BY ALL HAVING count(*) > 185) USING (source, component)",
     "a4_first_source": f"WITH {LC} SELECT component, arg_min(source, (t, source)) AS source FROM lc GROUP BY component",
@@ -307,7 +307,7 @@ ORACLE_SQL = {
     "f15_without_scores": f"WITH {LC}, m AS (SELECT source, component, round({_SNR}, 8) AS score FROM lc GROUP BY ALL) SELECT source, component, score >= 2.2 AS predicted FROM m",
     "m1_globally_normalised": f"WITH {LC} SELECT source, component, round(avg((y - 38) / 22.5), 8) AS mean, round(max((y - 38) / 22.5), 8) AS most FROM lc GROUP BY ALL",
     "m2_series": f"WITH {LC} SELECT source, component, count(*)::INTEGER AS n, round(arg_min(y, (t, y, s)), 8) AS first, round(arg_max(y, (t, y, s)), 8) AS last FROM lc GROUP BY ALL",
-    "a23_masked_stats": f"WITH {LC} SELECT source, component, round(avg(y) FILTER (y > 20), 8) AS masked_mean, round(stddev_pop(y) FILTER (y > 20), 8) AS masked_std FROM lc GROUP BY ALL",
+    "a23_masked_stats": f"WITH {LC} SELECT source, component, round(avg(y) FILTER (y > 20), 9) AS masked_mean, round(stddev_pop(y) FILTER (y > 20), 9) AS masked_std FROM lc GROUP BY ALL",
     "s12_julian_from_any": f"WITH {LC} SELECT source, component, round(min(t), 6) AS first FROM lc GROUP BY ALL",
     "g5_noise_level": f"WITH {LC} SELECT source, component, round(0.02 * median(abs(y)), 8) AS noise FROM lc GROUP BY ALL",
     "g7_pair_parameters": f"""WITH u AS (SELECT s_suppkey AS pair_id, {pair_u('label')} AS ul, {pair_u('kind')} AS uk, {pair_u('delay')} AS ud, {pair_u('shift')} AS us, {pair_u('ratio')} AS ur, {pair_u('sigma_flux_frac_A')} AS un, {pair_u('dropout_B')} AS uo,
