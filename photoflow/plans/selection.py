@@ -156,7 +156,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = K.series(line_items(spark, sf_dir)).withColumn("mask", F.transform("values", lambda v: v > 20))
+    rows = K.series(line_items(spark, sf_dir).withColumn("y", F.col("y") / 7.3)).withColumn("mask", F.transform("values", lambda v: v > 3))
     return rounded(K.masked_stats(rows, "values", "mask").select(*KEYS, "masked_mean", "masked_std"), 9)
 
 
@@ -307,7 +307,7 @@ ORACLE_SQL = {
     "f15_without_scores": f"WITH {LC}, m AS (SELECT source, component, round({_SNR}, 8) AS score FROM lc GROUP BY ALL) SELECT source, component, score >= 2.2 AS predicted FROM m",
     "m1_globally_normalised": f"WITH {LC} SELECT source, component, round(avg((y - 38) / 22.5), 8) AS mean, round(max((y - 38) / 22.5), 8) AS most FROM lc GROUP BY ALL",
     "m2_series": f"WITH {LC} SELECT source, component, count(*)::INTEGER AS n, round(arg_min(y, (t, y, s)), 8) AS first, round(arg_max(y, (t, y, s)), 8) AS last FROM lc GROUP BY ALL",
-    "a23_masked_stats": f"WITH {LC} SELECT source, component, round(avg(y) FILTER (y > 20), 9) AS masked_mean, round(stddev_pop(y) FILTER (y > 20), 9) AS masked_std FROM lc GROUP BY ALL",
+    "a23_masked_stats": f"WITH {LC} SELECT source, component, round(avg(y / 7.3::DOUBLE) FILTER (y / 7.3::DOUBLE > 3), 9) AS masked_mean, round(stddev_pop(y / 7.3::DOUBLE) FILTER (y / 7.3::DOUBLE > 3), 9) AS masked_std FROM lc GROUP BY ALL",
     "s12_julian_from_any": f"WITH {LC} SELECT source, component, round(min(t), 6) AS first FROM lc GROUP BY ALL",
     "g5_noise_level": f"WITH {LC} SELECT source, component, round(0.02 * median(abs(y)), 8) AS noise FROM lc GROUP BY ALL",
     "g7_pair_parameters": f"""WITH u AS (SELECT s_suppkey AS pair_id, {pair_u('label')} AS ul, {pair_u('kind')} AS uk, {pair_u('delay')} AS ud, {pair_u('shift')} AS us, {pair_u('ratio')} AS ur, {pair_u('sigma_flux_frac_A')} AS un, {pair_u('dropout_B')} AS uo,
