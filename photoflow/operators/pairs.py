@@ -217,44 +217,6 @@ def weighted_mean(value: Column, variance: Column) -> Column:
     return F.sum(value / variance) / F.sum(1 / variance)
 
 
-def correlations(sides: DataFrame, delays: list[float], least_points: int = LEAST_POINTS) -> DataFrame:
-    """Per pair and delay: n, correlation and mean absolute difference of a's
-    points and b's line, over the span that both have once b is moved by the delay."""
-    moved = sides.withColumn("delay", F.explode(F.array(*[F.lit(float(d)) for d in delays]))).withColumn("t", F.when(F.col("side") == "b", F.col("t") - F.col("delay")).otherwise(F.col("t")))
-    keys = [*PAIR, "delay"]
-    flux, _ = interpolated("b0", "b1")
-    rows = bracketed(moved, keys).where("side = 'a'").select(*keys, "y", flux.alias("other")).where("other is not null")
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("y", "other").alias("corr"), F.avg(F.abs(F.col("y") - F.col("other"))).alias("mae"))
-    return found.where(F.col("n") >= least_points)
-
-
-def robust_z(value: str, keys: list[str], least: float = 1e-6) -> Column:
-    """A value less its median over ``keys``, over its scaled MAD, else its deviation, else one."""
-    over = Window.partitionBy(*keys)
-    away = F.col(value) - F.col(f"{value}_mid")
-    mad, std = F.median(F.abs(away)).over(over) * 1.4826, F.stddev_pop(value).over(over)
-    return away / F.when(mad >= least, mad).when(std >= least, std).otherwise(1.0)
-
-
-def scan_correlations(sides: DataFrame, delays: list[float], least_points: int = LEAST_POINTS) -> DataFrame:
-    """Like ``correlations``, but mae is the median absolute difference of robust
-    z values, a constant side has correlation 0, and every delay of every pair
-    has a row: n 0, corr 0 and mae 3 where fewer points are shared."""
-    every = F.explode(F.array(*[F.lit(float(d)) for d in delays]))
-    keys = [*PAIR, "delay"]
-    moved = sides.withColumn("delay", every).withColumn("t", F.when(F.col("side") == "b", F.col("t") - F.col("delay")).otherwise(F.col("t")))
-    flux, _ = interpolated("b0", "b1")
-    rows = bracketed(moved, keys).where("side = 'a'").select(*keys, "y", flux.alias("other")).where("other is not null")
-    over = Window.partitionBy(*keys)
-    rows = rows.withColumns({f"{c}_mid": F.median(c).over(over) for c in ("y", "other")})
-    rows = rows.withColumns({f"{c}_z": robust_z(c, keys) for c in ("y", "other")})
-    flat = F.least(F.stddev_pop("y"), F.stddev_pop("other")) < 1e-8
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("y", "other")).alias("corr"), F.median(F.abs(F.col("y_z") - F.col("other_z"))).alias("mae"))
-    grid = sides.select(*PAIR).distinct().withColumn("delay", every)
-    joined = grid.join(found.where(F.col("n") >= least_points), keys, "left")
-    return joined.select(*keys, *[F.coalesce(F.col(c), F.lit(x)).alias(c) for c, x in (("n", 0), ("corr", 0.0), ("mae", 3.0))])
-
-
 def profile_summary(profile: DataFrame, keys: list[str], delay: str, value: str) -> DataFrame:
     """Features of a curve over delays: its top and where, its value nearest to no delay, spread, and how far the top stands out."""
     top = F.slice(F.sort_array(F.collect_list(value), asc=False), 1, 6)

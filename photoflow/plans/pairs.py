@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import cut
 from ..operators import delay_scan as A
 from ..operators import interpolation_delay as D
+from ..operators import pair_scan as Q
 from ..operators import pairs as P
 from ..operators.cleaning import binned
 from ..sources.curves import KEYS, line_items
@@ -57,19 +58,19 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.correlations(sides(spark, sf_dir), DELAYS), 7)
+    return rounded(Q.correlations(sides(spark, sf_dir), DELAYS), 7)
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.profile_summary(P.correlations(sides(spark, sf_dir), DELAYS), P.PAIR, "delay", "corr"), 7)
+    return rounded(P.profile_summary(Q.correlations(sides(spark, sf_dir), DELAYS), P.PAIR, "delay", "corr"), 7)
 
 
 def full_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), 7)
+    return rounded(Q.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), 7)
 
 
 def full_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.profile_summary(P.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), P.PAIR, "delay", "corr"), 7)
+    return rounded(P.profile_summary(Q.scan_correlations(sides(spark, sf_dir), FULL_DELAYS), P.PAIR, "delay", "corr"), 7)
 
 
 def full_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
