@@ -17,7 +17,7 @@ LETTER = re.compile(r"[^\W\d_]")
 PUNCTUATION = ".,;:!?#$%&*|)"
 #: Bytes that a worker's table holds, about, before the older half goes; what
 #: an entry takes beside its texts; and the longest key that is kept at all.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 20 << 20
 ENTRY_BYTES = 240
 LONGEST_KEPT = 200
 

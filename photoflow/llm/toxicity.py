@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ MOST_ROWS = 8_000
 #: log-likelihood ratio against the label is at least so large (chance: 1 in 100).
 LEAST_TEXTS = 3
 LEAST_GAIN = 3.32
+#: Texts whose n-grams are counted in one table before it is given on.
+COUNTED_AT_ONCE = 200
 SMOOTHING = 1.0
 PENALTY = 0.01
 THRESHOLD = 0.5
@@ -86,12 +89,16 @@ def chosen_grams(sample: DataFrame, positive: int, negative: int) -> tuple[list[
 
     def run(batches):
         for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for words, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g in {g for w in words for g in ngrams(w)}:
-                    counts.setdefault(g, [0, 0])[1 - label] += 1
-            pairs = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["gram", "p", "q"])
+            for start in range(0, batch.num_rows, COUNTED_AT_ONCE):
+                part = batch.slice(start, COUNTED_AT_ONCE)
+                counts: dict[str, int] = {}  # texts of label 1 in the upper half of a number, all in the lower
+                for words, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    one = 1 + (label << 32)
+                    for g in {g for w in words for g in ngrams(w)}:
+                        counts[g] = counts.get(g, 0) + one
+                held = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                p = held >> 32
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(p), pa.array((held & 0xFFFFFFFF) - p)], names=["gram", "p", "q"])
 
     counted = sample.select("words", "label").mapInArrow(run, "gram string, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     ranked = counted.where(F.col("p") + F.col("q") >= LEAST_TEXTS).withColumn("gain", likelihood_gain(positive, negative))
@@ -130,16 +137,28 @@ def logistic(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarr
 
 
 class Scorer:
-    """Scores of whole texts; the n-grams of a word that the model has are kept."""
+    """Scores of whole texts. N-grams of the model have numbers in their order,
+    and are found by their first letters; of a word, the packed numbers of those
+    it has are kept."""
 
     def __init__(self, model: Model):
-        self.weights, self.bias = model.weights, model.bias
-        known = model.weights
-        self.of_word = Bounded(lambda w: tuple(g for g in ngrams(w) if g in known))
+        grams = sorted(model.weights)
+        self.bias, self.values = model.bias, np.array([model.weights[g] for g in grams])
+        self.starting: dict[str, list[tuple[str, int]]] = {}
+        for i, gram in enumerate(grams):
+            self.starting.setdefault(gram[: SIZES[0]], []).append((gram, i))
+        self.of_word = Bounded(self._of_word)
+
+    def _of_word(self, word: str) -> bytes:
+        padded, first, starting = f"<{word}>", SIZES[0], self.starting
+        held = [n for i in range(len(padded) - first + 1) for gram, n in starting.get(padded[i : i + first], ()) if padded.startswith(gram, i)]
+        return array("i", held).tobytes()
 
     def score(self, text: bytes) -> float:
-        found = set().union(*filter(None, map(self.of_word.__getitem__, distinct_words(text))))
-        margin = self.bias + sum(map(self.weights.__getitem__, sorted(found)))
+        packed = b"".join(map(self.of_word.__getitem__, distinct_words(text)))
+        held = np.zeros(len(self.values), dtype=bool)
+        held[np.frombuffer(packed, dtype=np.intc)] = True
+        margin = self.bias + float(self.values[held].sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
