@@ -21,6 +21,7 @@ LEAST_PER_BUCKET, MOST_SMALL_BUCKETS = 256, 1024
 HOT_PARTS = 500
 
 _written: list[str] = []
+_worker_table: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -121,16 +122,32 @@ def without_marked(docs: DataFrame, tag: Column, dropped: DataFrame, repeated: D
     return unpacked(once.select("row").unionByName(one.select("row")))
 
 
+def worker_table(key: object, make: Callable):
+    """What tasks with the same key share in a Python worker. A worker is used
+    again by later stages, so it holds one such table: a new key frees the last."""
+    if key not in _worker_table:
+        _worker_table.clear()
+        _worker_table[key] = make()
+    return _worker_table[key]
+
+
+def free_worker_table() -> None:
+    """For tasks without a table: frees what a stage before has left in this worker."""
+    _worker_table.clear()
+
+
 def map_texts(
     docs: DataFrame,
     kernel: Callable[[list[bytes]], dict[str, Iterable]],
     schema: str,
     keys: dict[str, Column],
+    tables: bool = False,
 ) -> DataFrame:
     """One output row per document: ``keys`` carried over, then what ``kernel``
     makes of a batch of whole texts (UTF-8 bytes, null as empty).
 
-    Documents stay where they are read: no shuffle.
+    Documents stay where they are read: no shuffle. ``tables`` says that the
+    kernel has a ``worker_table``.
     """
     carried = docs.select(*[c.alias(k) for k, c in keys.items()], text_bytes().alias("text__"))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,6 +159,8 @@ def map_texts(
     arrow = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            free_worker_table()
         for batch in batches:
             for part in slices(batch):
                 made = kernel(part.column(len(heads)).to_pylist())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import join_hot, map_texts, staged
+from .base import free_worker_table, join_hot, map_texts, staged
 from .components import components
 from .simhash import SEED, links, local_roots, majority, mixed, shingle_hashes, without_dropped
 
@@ -98,6 +98,7 @@ def verified(members: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     across = left.join(large.repartition(parallel, "root", "chunk").hint("shuffle_hash"), ["root", "chunk"]).select("rows_a", F.col("rows").alias("rows_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (unpacked(s.values) if (s := batch.column(c)[k]).is_valid else None for c in (0, 1))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import free_name, map_texts, named, table
-from .pieces import SPACE, Bounded, Pieces, default_model, pieces_of, shared_model
+from .base import free_name, map_texts, named, table, worker_table
+from .pieces import SPACE, Bounded, Pieces, default_model, shared_model
 
 #: Ids that are spelled at once.
 BLOCK = 1 << 17
@@ -71,13 +71,9 @@ class Transducer:
         return [t.lstrip(b" ") if trim else t[1:] if front and t[:1] == b" " else t for t in texts]
 
 
-_compiled: dict[int, Transducer] = {}
-
-
-def transducer_of(model: Pieces) -> Transducer:
-    if id(model) not in _compiled:
-        _compiled[id(model)] = Transducer(model)
-    return _compiled[id(model)]
+def transducer_of(model: bytes) -> Transducer:
+    """The compiled machine of a model file, shared by the tasks of a worker."""
+    return worker_table(("paths", model), lambda: Transducer(Pieces(model)))
 
 
 def coded_batch(machine: Transducer, texts: list[bytes], both: bool) -> dict:
@@ -97,12 +93,12 @@ def coded(docs: DataFrame, model_path: str, keys: tuple[str, ...], both: bool) -
     shared = shared_model(docs.sparkSession, model_path)
 
     def kernel(texts: list[bytes]) -> dict:
-        return coded_batch(transducer_of(pieces_of(shared.value)), texts, both)
+        return coded_batch(transducer_of(shared.value), texts, both)
 
     own = ["text_crc32", "n_tokens", "ids", *(["decoded", "round_trip"] if both else [])]
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     schema = "n_tokens long, ids array<int>" + (", decoded string, round_trip boolean" if both else "")
-    found = map_texts(docs, kernel, schema, {f"key {i}": named(k) for i, k in enumerate(keys)} | {"text_crc32": crc})
+    found = map_texts(docs, kernel, schema, {f"key {i}": named(k) for i, k in enumerate(keys)} | {"text_crc32": crc}, tables=True)
     return found.select(*[named(f"key {i}").alias(k) for i, k in enumerate(keys)], *[F.col(c).alias(free_name(c, keys)) for c in own])
 
 
@@ -123,7 +119,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     schema = StructType([*encoded.schema.fields, StructField(name, StringType())])
 
     def run(batches):
-        machine = transducer_of(pieces_of(shared.value))
+        machine = transducer_of(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark import Broadcast
@@ -294,11 +293,6 @@ class Pieces:
                 left = self._halves(left)[1]
 
 
-@lru_cache(maxsize=2)
-def pieces_of(model: bytes) -> Pieces:
-    return Pieces(model)
-
-
 def shared_model(spark: SparkSession, path: str) -> Broadcast:
     """The model file's bytes, read by the driver; a vocabulary file has a fixed size."""
     with open(path, "rb") as file:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import join_hot, map_texts, staged, table, without_marked
+from .base import free_worker_table, join_hot, map_texts, staged, table, without_marked
 from .components import components
 
 SEED = 42
@@ -130,6 +130,7 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
     pairs = left.join(tiles.repartition(parallel, "pop", "chunk").hint("shuffle_hash"), ["pop", "chunk"]).select("rows_a", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (np.asarray(batch.column(c)[k].values).astype(np.int64).reshape(-1, lanes + 1) for c in (0, 1))

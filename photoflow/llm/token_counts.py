@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_texts, table
-from .pieces import Bounded, Pieces, default_model, pieces_of, shared_model
+from .base import map_texts, table, worker_table
+from .pieces import Bounded, Pieces, default_model, shared_model
 
 LIMIT = 4096
 
@@ -51,13 +51,6 @@ class Counter:
         return first.astype(np.int8).tobytes() + steps[2:]
 
 
-_counters: dict[int, Counter] = {}
-
-
-def counter_of(model: Pieces) -> Counter:
-    return _counters.setdefault(id(model), Counter(model))
-
-
 def counts_at(steps: bytes) -> np.ndarray:
     """Token counts of the prefixes of 1, 2, ... characters."""
     return np.cumsum(np.frombuffer(steps, dtype=np.int8), dtype=np.int64)
@@ -84,7 +77,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
     shared = shared_model(docs.sparkSession, model_path)
 
     def kernel(texts: list[bytes]) -> dict:
-        counter = counter_of(pieces_of(shared.value))
+        counter = worker_table(("prefixes", shared.value), lambda: Counter(Pieces(shared.value)))
         steps = [counter.of_text(t.decode("utf-8", "replace")) for t in texts]
         tokens = [int(np.frombuffer(s, dtype=np.int8).sum(dtype=np.int64)) for s in steps]
         return {
@@ -96,7 +89,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
         }
 
     schema = "n_bytes long, n_tokens long, over_limit boolean, limit_chars long, prefix_steps binary"
-    return map_texts(docs, kernel, schema, {"doc_id": F.col("doc_id")})
+    return map_texts(docs, kernel, schema, {"doc_id": F.col("doc_id")}, tables=True)
 
 
 def longest_prefixes(counted: DataFrame, budget: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .base import hash52, map_texts, named, staged, table
+from .base import hash52, map_texts, named, staged, table, worker_table
 from .pieces import Bounded
 
 #: Lengths of the n-grams; a word has one mark in front and one behind.
@@ -162,16 +162,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def scorer_of(key: int, model: Model) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
@@ -180,11 +170,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """doc_id, text and label of at most ``most_rows`` labelled rows where
     ``train`` holds: the first in the order of a hash of the id.
 
-    The sample's ids have a fixed size, so they are broadcast.
+    The sample's ids have a fixed size, so they are broadcast. Of rows that
+    repeat an id, that whose text has the least hash stands for it.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.orderBy(hash52(F.col("doc_id")), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.first("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = MOST_ROWS) -> Model:
@@ -217,13 +209,13 @@ def scored(docs: DataFrame, model: Model, keys: dict[str, Column]) -> DataFrame:
     Whole texts are read; a null or empty text, or one without letters, has the
     score of the bias alone.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), hash((model.bias, len(model.weights), sum(model.weights.values())))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", model.bias, len(model.weights), sum(model.weights.values()))
 
     def kernel(texts: list[bytes]) -> dict:
-        scorer = scorer_of(key, shared.value)
+        scorer = worker_table(key, lambda: Scorer(shared.value))
         return {"score": [scorer.score(t) for t in texts]}
 
-    return map_texts(docs, kernel, "score double", keys)
+    return map_texts(docs, kernel, "score double", keys, tables=True)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
