@@ -51,9 +51,10 @@ def prepared(curves: DataFrame, more_than: int = 20, days: float = 2.0) -> DataF
     return counted(merged_windows(counted(curves, more_than), days), more_than)
 
 
-def first_source(curves: DataFrame) -> DataFrame:
-    """The source of each component's earliest point."""
-    return curves.groupBy("component").agg(F.min_by("source", F.struct("t", "source")).alias("source"))
+def first_source(curves: DataFrame, *order: str) -> DataFrame:
+    """The source of each component's first row in the order of columns: those
+    that tell a file and a row's place in it, say."""
+    return curves.groupBy("component").agg(F.min_by("source", F.struct(*order)).alias("source"))
 
 
 def standardised(curves: DataFrame) -> DataFrame:
@@ -174,9 +175,10 @@ def with_predictions(components: DataFrame, predictions: DataFrame) -> DataFrame
     return components.join(predictions.select("component", "positive"), "component", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
 
 
-def trained_forest(features: DataFrame, label: str, names: list[str], trees: int = 100, seed: int = 42) -> RandomForestClassificationModel:
+def trained_forest(features: DataFrame, label: str, names: list[str], trees: int = 500, seed: int = 42, depth: int = 30) -> RandomForestClassificationModel:
+    """A forest of deep trees, as many features tried at a split as the root of their number."""
     rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(features)
-    return RandomForestClassifier(labelCol=label, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxDepth=10).fit(rows)
+    return RandomForestClassifier(labelCol=label, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxDepth=depth).fit(rows)
 
 
 def forest_scores(model: RandomForestClassificationModel, features: DataFrame, names: list[str], every: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,11 +195,11 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -
     return run.where(F.col("run") >= F.col("all") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
-def rolling_spread(curves: DataFrame, window: int = 15, least: int = 5, floor: float = 0.05) -> DataFrame:
+def rolling_spread(curves: DataFrame, window: int = 15, least: int = 5, floor: float = 0.05, keys: list[str] = KEYS) -> DataFrame:
     """Adds the median of an odd number of points around each and their scaled
     median absolute deviation, cut off at a curve's ends and not below a floor."""
     half = max(window, least, 3) // 2
-    near = F.collect_list("y").over(Window.partitionBy(*KEYS).orderBy("t", "y", "s").rowsBetween(-half, half))
+    near = F.collect_list("y").over(Window.partitionBy(*keys).orderBy("t", "y", "s").rowsBetween(-half, half))
     rows = curves.withColumn("near", near)
 
     def spread(o: Column) -> Column:

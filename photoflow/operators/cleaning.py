@@ -143,7 +143,7 @@ def hybrid_scale(values: Column, alpha: float = 0.7, clip: float = 2.5) -> Colum
     return let(F.array_sort(values), both)
 
 
-def local_scores(curves: DataFrame, half_window: int = 5, alpha: float = 0.7, clip: float = 2.5, exclude_center: bool = True) -> DataFrame:
+def local_scores(curves: DataFrame, half_window: int = 5, alpha: float = 0.7, clip: float = 2.5, exclude_center: bool = True, keys: list[str] = KEYS) -> DataFrame:
     """Adds local_median, local_scale, n_near and z of each point against its
     neighbours in time.
 
@@ -153,11 +153,11 @@ def local_scores(curves: DataFrame, half_window: int = 5, alpha: float = 0.7, cl
     if half_window < 1:
         raise ValueError("half_window must be at least 1")
     width = 2 * half_window + 1
-    order = Window.partitionBy(*KEYS).orderBy("t", "y", "s")
+    order = Window.partitionBy(*keys).orderBy("t", "y", "s")
     rows = curves.select(
         "*",
         (F.row_number().over(order) - 1).alias("i"),
-        F.count("*").over(Window.partitionBy(*KEYS)).cast("int").alias("size"),
+        F.count("*").over(Window.partitionBy(*keys)).cast("int").alias("size"),
         F.collect_list("y").over(order.rowsBetween(-2 * half_window, 2 * half_window)).alias("around"),
     )
     rows = rows.withColumn("first", F.greatest(F.lit(0), F.col("i") - 2 * half_window))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.curves import KEYS, number
 from .arrays import mapped
+from .spread import numbered
 
 MODES = ("raw", "centered", "normalized", "minmax", "first=0", "first=1")
 #: Other names of the modes.
@@ -34,9 +35,9 @@ def in_mode(curves: DataFrame, mode: str) -> DataFrame:
     return curves.select(*KEYS, "t", value.alias("y"), (F.col("s") / divisor).alias("s"))
 
 
-def smoothed(curves: DataFrame, window: int) -> DataFrame:
+def smoothed(curves: DataFrame, window: int, keys: list[str] = KEYS) -> DataFrame:
     """Adds the centred moving mean over ``window`` points, fewer at the ends."""
-    frame = Window.partitionBy(*KEYS).orderBy("t", "y", "s").rowsBetween(-(window // 2), (window - 1) // 2)
+    frame = Window.partitionBy(*keys).orderBy("t", "y", "s").rowsBetween(-(window // 2), (window - 1) // 2)
     return curves.withColumn("smooth", F.avg("y").over(frame) if window > 1 else F.col("y"))
 
 
@@ -60,7 +61,7 @@ def group_titles(curves: DataFrame) -> DataFrame:
 def ranked_groups(curves: DataFrame) -> DataFrame:
     """Curves in the order of their first point: rank, from 1."""
     first = curves.groupBy(*KEYS).agg(F.min("t").alias("first"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("first", *KEYS)))
+    return numbered(first, [F.col(c) for c in ("first", *KEYS)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def gaussian_process(curves: DataFrame, length: float = 180.0, points: int = 400, error_share: float = 0.05) -> DataFrame:

@@ -1,96 +1,13 @@
-"""Scores of two published network shapes, from weights that the caller gives.
-
-Curves become tensors by kernels over arrays; a network's forward pass runs in
-the tasks on one curve or pair a row, with the weights (an ``.npz`` file under
-the names of its training checkpoint, a fixed size) broadcast.  Nothing is
-trained here, and nothing is scored without weights.
-"""
+"""The last events of a curve as rows of a network's input."""
 
 from __future__ import annotations
 
-import io
-import math
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.curves import KEYS
-from .arrays import mapped, pair_arrays, robust_scale
-from .pairs import PAIR
-
-Weights = dict[str, np.ndarray]
-_erf = np.frompyfunc(math.erf, 1, 1)
-
-
-@dataclass(frozen=True)
-class PairNet:
-    """Settings of the pair network that its weights do not tell."""
-
-    days: float = 2000.0
-    max_len: int = 80
-    min_points: int = 5
-    heads: int = 4
-    align_sigma: float = 30.0
-    groups: int = 8
-    dilations: tuple[int, ...] = (1, 2, 4, 8)
-
-
-def load_weights(path: str) -> Weights:
-    """The arrays of an .npz file."""
-    with np.load(path) as file:
-        return {k: file[k] for k in file.files}
-
-
-def packed_weights(weights: Weights) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **weights)
-    return out.getvalue()
-
-
-# --- layers -------------------------------------------------------------------------
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
-def silu(x: np.ndarray) -> np.ndarray:
-    return x * sigmoid(x)
-
-
-def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _erf(x / math.sqrt(2)).astype(float))
-
-
-def linear(w: Weights, name: str, x: np.ndarray) -> np.ndarray:
-    return x @ w[f"{name}.weight"].T + w[f"{name}.bias"]
-
-
-def layer_norm(w: Weights, name: str, x: np.ndarray) -> np.ndarray:
-    centred = x - x.mean(axis=-1, keepdims=True)
-    return centred / np.sqrt((centred**2).mean(axis=-1, keepdims=True) + 1e-5) * w[f"{name}.weight"] + w[f"{name}.bias"]
-
-
-def group_norm(w: Weights, name: str, x: np.ndarray, groups: int) -> np.ndarray:
-    """Of (channels, places): over the channels of a group and all places."""
-    parts = x.reshape(groups, -1)
-    centred = parts - parts.mean(axis=1, keepdims=True)
-    normal = (centred / np.sqrt((centred**2).mean(axis=1, keepdims=True) + 1e-5)).reshape(x.shape)
-    return normal * w[f"{name}.weight"][:, None] + w[f"{name}.bias"][:, None]
-
-
-def convolved(w: Weights, name: str, x: np.ndarray, dilation: int = 1) -> np.ndarray:
-    """Of (channels, places), as many places out as in; zeros beyond the ends."""
-    kernel = w[f"{name}.weight"]
-    width = kernel.shape[2]
-    reach = dilation * (width - 1) // 2
-    wide = np.pad(x, ((0, 0), (reach, reach)))
-    return sum(kernel[:, :, k] @ wide[:, k * dilation : k * dilation + x.shape[1]] for k in range(width)) + w[f"{name}.bias"][:, None]
-
-
-# --- single curves ------------------------------------------------------------------
+from .arrays import mapped, robust_scale
 
 
 def event_tensor(t: np.ndarray, y: np.ndarray, most: int = 128) -> np.ndarray:
@@ -107,45 +24,6 @@ def event_tensor(t: np.ndarray, y: np.ndarray, most: int = 128) -> np.ndarray:
     return np.stack([z, standard(np.log1p(gap)), (t - t[0]) / span if span > 0 else np.zeros(len(t)), slope, np.abs(slope)], axis=1)
 
 
-def event_score(w: Weights, events: np.ndarray) -> float:
-    """The logit of a curve: states that decay with the gaps and are renewed by
-    each event; the last state, and gated means of states and events, decide."""
-    coded = silu(linear(w, "event_encoder.net.4", silu(layer_norm(w, "event_encoder.net.1", linear(w, "event_encoder.net.0", events)))))
-    gaps = events[:, 1:2]
-    decay = sigmoid(linear(w, "decay_cell.decay", gaps))
-    arriving = linear(w, "decay_cell.in_proj", coded)
-    state, states = np.zeros(decay.shape[1]), []
-    for event, keep, arrival in zip(coded, decay, arriving, strict=True):
-        faded = keep * state
-        both = np.concatenate([event, faded])
-        update = sigmoid(arrival + linear(w, "decay_cell.h_proj", faded))
-        renewed = update * faded + (1 - update) * silu(linear(w, "decay_cell.cand", both))
-        mix = sigmoid(linear(w, "decay_cell.mix", both))
-        state = layer_norm(w, "decay_cell.norm", mix * renewed + (1 - mix) * faded)
-        states.append(state)
-    every = np.array(states)
-
-    def gated(values: np.ndarray, name: str, *seen: np.ndarray) -> np.ndarray:
-        gate = sigmoid(linear(w, name, np.hstack(seen)))
-        return (gate * values).sum(axis=0) / max(float(gate.sum()), 1e-6)
-
-    joined = np.concatenate([every[-1], gated(every, "state_gate", every, coded, gaps), gated(coded, "event_gate", coded, gaps)])
-    active, gate = np.split(linear(w, "head.proj", joined), 2)
-    return float(linear(w, "head.out", silu(active) * sigmoid(gate))[0])
-
-
-def curve_scores(curves: DataFrame, weights: Weights, threshold: float = 0.5, most: int = 128) -> DataFrame:
-    """(source, component): score and predicted of each curve."""
-    shared = curves.sparkSession.sparkContext.broadcast(packed_weights(weights))
-    rows = curves.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("p")).select(*KEYS, F.col("p")["t"].alias("pt"), F.col("p")["y"].alias("py"))
-
-    def kernel(t: np.ndarray, y: np.ndarray) -> dict:
-        score = float(sigmoid(np.array(event_score(load_weights(io.BytesIO(shared.value)), event_tensor(t, y, most)))))
-        return {"score": [score], "predicted": [score >= threshold]}
-
-    return mapped(rows, KEYS, kernel, "score double, predicted boolean")
-
-
 def event_rows(curves: DataFrame, most: int = 128) -> DataFrame:
     """The tensor's rows of each curve: i and the five channels."""
     rows = curves.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("p")).select(*KEYS, F.col("p")["t"].alias("pt"), F.col("p")["y"].alias("py"))
@@ -156,151 +34,3 @@ def event_rows(curves: DataFrame, most: int = 128) -> DataFrame:
         return {"i": np.arange(1, len(found) + 1), **dict(zip(names, found.T, strict=True))}
 
     return mapped(rows, KEYS, kernel, "i int, " + ", ".join(f"{n} double" for n in names))
-
-
-# --- pairs --------------------------------------------------------------------------
-
-
-def thinned(t: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many points, evenly from the first to the last; of places that
-    fall together the first free ones are added."""
-    if len(t) <= most:
-        return t, y
-    held = np.unique(np.round(np.linspace(0, len(t) - 1, most)).astype(int))
-    free = np.setdiff1d(np.arange(len(t)), held)[: most - len(held)]
-    at = np.sort(np.concatenate([held, free]))
-    return t[at], y[at]
-
-
-def rising(t: np.ndarray) -> np.ndarray:
-    """Times of which each is above the one before, by 0.001 if need be."""
-    out = t.copy()
-    for i in range(1, len(out)):
-        if out[i] <= out[i - 1]:
-            out[i] = out[i - 1] + 1e-3
-    return out
-
-
-def lens_tensor(t: np.ndarray, y: np.ndarray, how: PairNet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nine channels of each point, times and mask, padded with zeros: relative
-    time, flux, flux less its moving average, first and second slope, gaps
-    before and after, the size of the third, and 1."""
-    t, y = thinned(t, y, how.max_len)
-    n = len(t)
-    z = (y - np.median(y)) / robust_scale(y, 1e-6)
-    width = min(5, n) - (min(5, n) + 1) % 2 if n >= 3 else 1
-    high = z - np.convolve(np.pad(z, width // 2, mode="edge"), np.ones(width) / width, mode="valid")
-    at = rising(t / how.days)
-    first = np.tanh(np.gradient(z, at) / 8) if n > 1 else np.zeros(n)
-    second = np.tanh(np.gradient(first, at) / 8) if n > 1 else np.zeros(n)
-    gaps = np.diff(t)
-    before, after = (np.concatenate([gaps[:1], gaps]), np.concatenate([gaps, gaps[-1:]])) if n > 1 else (np.zeros(n), np.zeros(n))
-    most = math.log1p(how.days)
-    channels = np.stack([(t / how.days - 0.5) * 2, z, high, first, second, np.log1p(before) / most, np.log1p(after) / most, np.abs(high), np.ones(n)], axis=1)
-    x, times, mask = np.zeros((how.max_len, 9)), np.zeros(how.max_len), np.zeros(how.max_len)
-    x[:n], times[:n], mask[:n] = channels, t, 1
-    return x, times, mask
-
-
-def encoded(w: Weights, x: np.ndarray, mask: np.ndarray, how: PairNet) -> np.ndarray:
-    """What the shared encoder makes of each point, zeros beyond the mask."""
-    m = mask[:, None]
-    hidden = gelu(linear(w, "latent_deriv.net.3", gelu(linear(w, "latent_deriv.net.0", x))))
-    latent = layer_norm(w, "latent_deriv.norm", linear(w, "latent_deriv.net.6", hidden)) * m
-    h = (linear(w, "encoder.in_proj", latent) * m).T
-    block = 0
-    while f"encoder.blocks.{block}.conv1.weight" in w:
-        name, dilation = f"encoder.blocks.{block}", how.dilations[block % len(how.dilations)]
-        inner = gelu(group_norm(w, f"{name}.norm1", convolved(w, f"{name}.conv1", h * mask, dilation), how.groups))
-        inner = group_norm(w, f"{name}.norm2", convolved(w, f"{name}.conv2", inner * mask, dilation), how.groups)
-        h = gelu(h + sigmoid(convolved(w, f"{name}.gate.0", h)) * inner) * mask
-        block += 1
-    return layer_norm(w, "encoder.out_norm", h.T) * m
-
-
-def aligned(z: np.ndarray, t: np.ndarray, m: np.ndarray, other: np.ndarray, at: np.ndarray, held: np.ndarray, delays: np.ndarray, how: PairNet) -> np.ndarray:
-    """(heads, delays): how alike one curve's points are to the other's, weighed
-    by how near in time they are once moved by each delay."""
-
-    def heads(v: np.ndarray) -> np.ndarray:
-        parts = v.reshape(len(v), how.heads, -1)
-        return parts / np.maximum(np.linalg.norm(parts, axis=-1, keepdims=True), 1e-6)
-
-    one, two = heads(z), heads(other)
-    near = np.exp(-0.5 * ((at[None, :, None] - t[:, None, None] - delays) / how.align_sigma) ** 2) * held[None, :, None]
-    total = np.maximum(near.sum(axis=1), 1e-6)
-    there = np.einsum("ijd,jhc->idhc", near / total[:, None, :], two)
-    alike = np.einsum("ihc,idhc->idh", one, there)
-    weight = m[:, None] * (total > 1e-5)
-    return ((alike * weight[:, :, None]).sum(axis=0) / np.maximum(weight.sum(axis=0), 1e-6)[:, None]).T
-
-
-def pair_logit(w: Weights, a: tuple, b: tuple, how: PairNet) -> tuple[float, float, float]:
-    """The logit of a pair, the expected delay, and the entropy of the delays."""
-    delays = w["delay_grid"]
-    za, zb = encoded(w, a[0], a[2], how), encoded(w, b[0], b[2], how)
-    scores = 0.5 * (aligned(za, a[1], a[2], zb, b[1], b[2], delays, how) + aligned(zb, b[1], b[2], za, a[1], a[2], -delays, how))
-    logits = convolved(w, "delay_fusion.net.4", gelu(convolved(w, "delay_fusion.net.2", gelu(convolved(w, "delay_fusion.net.0", scores)))))[0]
-    chance = np.exp(logits - logits.max())
-    chance /= chance.sum()
-    entropy, delay = float(-(chance * np.log(np.maximum(chance, 1e-8))).sum()), float((chance * delays).sum())
-
-    def pooled(z: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return (z * m[:, None]).sum(axis=0) / (m.sum() + 1e-6)
-
-    pa, pb = pooled(za, a[2]), pooled(zb, b[2])
-    about = [logits.max(), logits.mean(), logits.std(ddof=1), entropy, delay / np.abs(delays).max(), logits.max() - logits.mean(), chance.max(), chance.var(ddof=1)]
-    x = np.concatenate([pa, pb, np.abs(pa - pb), pa * pb, about])
-    return float(linear(w, "cls_head.6", gelu(linear(w, "cls_head.3", gelu(linear(w, "cls_head.0", x)))))[0]), delay, entropy
-
-
-def pair_scores(sides: DataFrame, every: DataFrame, weights: Weights, how: PairNet | None = None) -> DataFrame:
-    """Per pair of ``every``: score, expected delay and entropy, each pair once;
-    null, with a reason, for pairs whose sides have too few points."""
-    how = how or PairNet()
-    shared = sides.sparkSession.sparkContext.broadcast(packed_weights(weights))
-
-    def kernel(ta, ya, sa, tb, yb, sb) -> dict:
-        if min(len(ta), len(tb)) < how.min_points:
-            return {"score": [None], "delay": [None], "entropy": [None]}
-        first, span = min(ta[0], tb[0]), max(max(ta[-1], tb[-1]) - min(ta[0], tb[0]), 1.0)
-        a, b = (lens_tensor((t - first) / span * how.days, y, how) for t, y in ((ta, ya), (tb, yb)))
-        logit, delay, entropy = pair_logit(load_weights(io.BytesIO(shared.value)), a, b, how)
-        return {"score": [float(sigmoid(np.array(logit)))], "delay": [delay], "entropy": [entropy]}
-
-    found = mapped(pair_arrays(sides), PAIR, kernel, "score double, delay double, entropy double")
-    return every.select(*PAIR).join(found, PAIR, "left").withColumn("reason", F.when(F.col("score").isNull(), F.lit("too few points")))
-
-
-def seeded_weights(shapes: dict[str, tuple[int, ...]], seed: int = 0) -> Weights:
-    """Small random weights of given shapes, to try the passes with; scores from them mean nothing."""
-    rng = np.random.default_rng(seed)
-    return {name: (1 + 0.1 * rng.normal(size=shape) if name.endswith("norm.weight") else 0.3 * rng.normal(size=shape) / math.sqrt(max(shape[-1], 1))) for name, shape in shapes.items()}
-
-
-def layer(name: str, out: int, into: int | None = None, width: int | None = None) -> dict[str, tuple[int, ...]]:
-    weight = (out,) if into is None else (out, into) if width is None else (out, into, width)
-    return {f"{name}.weight": weight, f"{name}.bias": (out,)}
-
-
-def event_shapes(event: int = 32, hidden: int = 48) -> dict[str, tuple[int, ...]]:
-    """The single-curve network's weights."""
-    both = event + hidden
-    return {
-        **layer("event_encoder.net.0", event, 5), **layer("event_encoder.net.1", event), **layer("event_encoder.net.4", event, event), **layer("decay_cell.decay", hidden, 1), **layer("decay_cell.in_proj", hidden, event),
-        **layer("decay_cell.h_proj", hidden, hidden), **layer("decay_cell.cand", hidden, both), **layer("decay_cell.mix", hidden, both), **layer("decay_cell.norm", hidden),
-        **layer("event_gate", 1, event + 1), **layer("state_gate", 1, both + 1), **layer("head.proj", 4 * hidden, 2 * hidden + event), **layer("head.out", 1, 2 * hidden),
-    }
-
-
-def pair_shapes(hidden: int = 72, latent: int = 56, blocks: int = 8, kernel: int = 5, heads: int = 4, fusion: int = 32, delays: int = 201) -> dict[str, tuple[int, ...]]:
-    """The pair network's weights."""
-    shapes: dict[str, tuple[int, ...]] = {
-        "delay_grid": (delays,), **layer("latent_deriv.net.0", 96, 9), **layer("latent_deriv.net.3", 96, 96), **layer("latent_deriv.net.6", latent, 96), **layer("latent_deriv.norm", latent),
-        **layer("encoder.in_proj", hidden, latent), **layer("encoder.out_norm", hidden), **layer("delay_fusion.net.0", fusion, heads, kernel), **layer("delay_fusion.net.2", fusion, fusion, kernel), **layer("delay_fusion.net.4", 1, fusion, 1),
-        **layer("cls_head.0", 128, 4 * hidden + 8), **layer("cls_head.3", 64, 128), **layer("cls_head.6", 1, 64),
-    }
-    for i in range(blocks):
-        name = f"encoder.blocks.{i}"
-        shapes |= {**layer(f"{name}.conv1", hidden, hidden, kernel), **layer(f"{name}.conv2", hidden, hidden, kernel), **layer(f"{name}.norm1", hidden), **layer(f"{name}.norm2", hidden), **layer(f"{name}.gate.0", hidden, hidden, 1)}
-    return shapes

@@ -41,13 +41,23 @@ def looked_up(curves: DataFrame, asked: DataFrame, least_points: int = 2) -> Dat
     return rows.join(whole, ["source", "members"], "left_semi")
 
 
-def robust_scales(values: DataFrame, keys: list[str], value: str, least: float = 1e-6) -> DataFrame:
-    """Per key: the median, and the scaled median absolute deviation, else the
-    scaled quartile range, else the standard deviation, else 1."""
+def robust_parts(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key: middle (the median), mad (the median absolute deviation), iqr (the quartile range) and std."""
     mid = values.groupBy(*keys).agg(F.median(value).alias("middle"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"), F.stddev_pop(value).alias("std"))
-    mad = values.join(mid, keys).groupBy(*keys).agg((F.median(F.abs(F.col(value) - F.col("middle"))) * 1.4826).alias("mad"))
-    scale = F.when(F.col("mad") >= least, F.col("mad")).when(F.col("iqr") / 1.349 >= least, F.col("iqr") / 1.349).when(F.col("std") >= least, F.col("std")).otherwise(1.0)
-    return mid.join(mad, keys).select(*keys, "middle", scale.alias("scale"))
+    mad = values.join(mid, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("middle"))).alias("mad"))
+    return mid.join(mad, keys)
+
+
+def robust_scale_of(least: float = 1e-6) -> Column:
+    """The scaled median absolute deviation, else the scaled quartile range, else
+    the standard deviation, else 1, of the columns of ``robust_parts``."""
+    mad, iqr = F.col("mad") * 1.4826, F.col("iqr") / 1.349
+    return F.when(mad >= least, mad).when(iqr >= least, iqr).when(F.col("std") >= least, F.col("std")).otherwise(1.0)
+
+
+def robust_scales(values: DataFrame, keys: list[str], value: str, least: float = 1e-6) -> DataFrame:
+    """Per key: the median (middle) and the robust scale (``robust_scale_of``)."""
+    return robust_parts(values, keys, value).select(*keys, "middle", robust_scale_of(least).alias("scale"))
 
 
 def guarded_corr(a: str, b: str, least: int = 3) -> Column:
@@ -109,7 +119,8 @@ def population_moment(value: str, power: int) -> Column:
 
 def curve_features(df: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics of each curve that need no fit: span, gaps, flux quantiles,
-    moments, lag correlation, slopes and errors. Single points have 0 spreads."""
+    moments, lag correlation (of 4 points or more), slopes and errors, and what a
+    line leaves (of fewer than 4 points: the spread). Single points have 0 spreads."""
     order = Window.partitionBy(*keys).orderBy("t", "y", "s")
     rows = df.withColumns({"gap": F.col("t") - F.lag("t").over(order), "y0": F.lag("y").over(order)})
     slope = F.when(F.col("gap") > 1e-5, (F.col("y") - F.col("y0")) / F.sqrt(F.col("gap") + 1))
@@ -121,8 +132,8 @@ def curve_features(df: DataFrame, keys: list[str]) -> DataFrame:
         (F.percentile("y", F.lit(0.75)) - F.percentile("y", F.lit(0.25))).alias("y_iqr"),
         (F.percentile("y", F.lit(0.95)) - F.percentile("y", F.lit(0.05))).alias("y_amp_q90"),
         F.min("y").alias("y_min"), F.max("y").alias("y_max"), guarded_moment("y", F.skewness("y")).alias("y_skew"), guarded_moment("y", F.kurtosis("y")).alias("y_kurt"),
-        F.regr_slope("y", "t").alias("trend_per_day"), F.sqrt(F.regr_syy("y", "t") * (1 - F.regr_r2("y", "t")) / F.count("*")).alias("resid1_std"),
-        F.corr("y0", "y").alias("acf1"), F.stddev_pop("dy").alias("dy_std"), F.median("s").alias("err_median"), F.avg("s").alias("err_mean"),
+        F.when((F.count("*") >= 4) & (F.stddev_pop("t") >= 1e-8), F.sqrt(F.regr_syy("y", "t") * (1 - F.regr_r2("y", "t")) / F.count("*"))).otherwise(F.stddev_pop("y")).alias("resid1_std"),
+        F.when(F.count("*") >= 4, guarded_corr("y0", "y")).alias("acf1"), F.when(F.count("dy") >= 2, F.stddev_pop("dy")).alias("dy_std"), F.median("s").alias("err_median"), F.avg("s").alias("err_mean"),
     )
     away = df.join(basic.select(*keys, "y_median"), keys).groupBy(*keys).agg((F.median(F.abs(F.col("y") - F.col("y_median"))) * 1.4826).alias("y_mad"))
     names = [c for c in (*basic.columns, "y_mad") if c not in keys]
@@ -141,22 +152,6 @@ def contrasts(features: DataFrame, names: list[str]) -> DataFrame:
     return both.select("*", *out)
 
 
-def pair_stats(sides: DataFrame, most: int = 213) -> DataFrame:
-    """Per pair: medians' difference, log ratio of scales, relative counts, shared span, difference of spans."""
-    side = sides.groupBy(*PAIR, "side").agg(F.median("y").alias("mid"), F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    spread = sides.join(side.select(*PAIR, "side", "mid"), [*PAIR, "side"]).groupBy(*PAIR, "side").agg((F.median(F.abs(F.col("y") - F.col("mid"))) * 1.4826).alias("scale"))
-    cells = side.join(spread, [*PAIR, "side"]).withColumn("scale", F.greatest("scale", F.lit(1e-6)))
-    a = cells.where("side = 'a'").select(*PAIR, *[F.col(c).alias(f"{c}_a") for c in ("mid", "n", "t0", "t1", "scale")])
-    b = cells.where("side = 'b'").select(*PAIR, *[F.col(c).alias(f"{c}_b") for c in ("mid", "n", "t0", "t1", "scale")])
-    joint = F.greatest("t1_a", "t1_b") - F.least("t0_a", "t0_b")
-    shared = F.greatest(F.lit(0.0), F.least("t1_a", "t1_b") - F.greatest("t0_a", "t0_b"))
-    return a.join(b, PAIR).select(
-        *PAIR, ((F.col("mid_b") - F.col("mid_a")) / 3).alias("median_difference"), F.ln(F.col("scale_b") / F.col("scale_a")).alias("scale_ratio"),
-        (F.col("n_a") / most).alias("n_a"), (F.col("n_b") / most).alias("n_b"), (shared / F.greatest(joint, F.lit(1.0))).alias("overlap"),
-        (((F.col("t1_b") - F.col("t0_b")) - (F.col("t1_a") - F.col("t0_a"))) / F.greatest(joint, F.lit(1.0))).alias("span_difference"),
-    )
-
-
 def bracketed(points: DataFrame, keys: list[str]) -> DataFrame:
     """Adds to each point the nearest point of either side at or before its time
     (a0, b0) and at or after it (a1, b1), as structs (t, y, s).

@@ -1,47 +1,13 @@
-"""Synthetic pairs of curves, and the calendar and sky that they need.
-
-Parameters of a pair are hashes of its id and a seed, so any engine can repeat
-them; light curves are drawn by a kernel, one pair a row.
-"""
+"""Samplings of curves: which rows stay, calendar, sky, signatures and noise."""
 
 from __future__ import annotations
 
-import hashlib
-import math
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mapped
-from .delay_scan import normals
-
-NEGATIVES = ("independent", "shifted_independent", "similar_confuser", "microlensing_confuser")
 J2000 = 2451545.0
 
 
-@dataclass(frozen=True)
-class Simulation:
-    """Ranges of a simulated pair's parameters."""
-
-    days: float = 2000.0
-    cadence: float = 1.0
-    padding: float = 430.0
-    variability: float = 0.12
-    memory_days: float = 300.0
-    delay: tuple[float, float] = (5.0, 430.0)
-    flux_ratio: tuple[float, float] = (0.2, 5.0)
-    noise: tuple[float, float] = (0.005, 0.04)
-    dropout: tuple[float, float] = (0.0, 0.2)
-    separation: tuple[float, float] = (0.3, 5.0)
-    lensing: tuple[float, float] = (0.02, 0.15)
-    lensing_days: tuple[float, float] = (200.0, 800.0)
-    confuser_shift: tuple[float, float] = (5.0, 60.0)
-    every_days: float = 30.0
-    fewest_points: int = 5
-
-
 def fraction(*values: Column) -> Column:
     """A number from 0 to 1 from the MD5 of values joined by slashes."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[v.cast("string") for v in values]).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
@@ -62,13 +28,23 @@ def calendar(seconds: Column) -> list[Column]:
     return [jd.alias("jd"), (jd - 2400000.5).alias("mjd"), (2000 + (jd - J2000) / 365.25).alias("jyear")]
 
 
-def julian_from_any(rows: DataFrame, column: str) -> DataFrame:
+def time_unit(value: Column) -> list[Column]:
+    """Aggregates that tell the unit of times: Julian days (j), modified ones (m) and
+    Julian years (y) are those whose half of the values lies where such times do."""
+    n = F.count(value)
+    return [(F.count(F.when(test, value)) * 2 > n).alias(name) for name, test in (("j", value > 2e6), ("m", value.between(4e4, 2e6)), ("y", value.between(1900, 2200)))]
+
+
+def julian_from_any(rows: DataFrame, column: str, strict: bool = False) -> DataFrame:
     """``rows`` with the column as Julian days: Julian days, modified ones or
-    Julian years are told apart by the column's median; else it stays."""
-    unit = rows.agg(F.median(column).alias("middle"))
-    middle, value = F.col("middle"), F.col(column)
-    jd = F.when(middle > 2e6, value).when(middle > 4e4, value + 2400000.5).when(middle.between(1900, 2200), (value - 2000) * 365.25 + J2000).otherwise(value)
-    return rows.crossJoin(F.broadcast(unit)).withColumn(column, jd).drop("middle")  # one row
+    Julian years are told apart by where most values lie, from counts alone; else
+    it stays, or is an error if ``strict``."""
+    value = F.col(column)
+    unit = rows.agg(*time_unit(value)).first()
+    if strict and not (unit["j"] or unit["m"] or unit["y"]):
+        raise ValueError(f"the unit of the times in {column} is unknown")
+    jd = value if unit["j"] else value + 2400000.5 if unit["m"] else (value - 2000) * 365.25 + J2000 if unit["y"] else value
+    return rows.withColumn(column, jd)
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -105,110 +81,3 @@ def noise_level(curves: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Per curve: a share of the median size of its flux, else of its deviation, else of one."""
     found = curves.groupBy(*keys).agg(F.median(F.abs("y")).alias("size"), F.stddev_pop("y").alias("std"))
     return found.select(*keys, (F.when(F.col("size") > 0, F.col("size")).when(F.col("std") > 0, F.col("std")).otherwise(1.0) * share).alias("noise"))
-
-
-def parameters(ids: DataFrame, seed: int = 42, how: Simulation | None = None) -> DataFrame:
-    """Per pair_id: whether it is lensed (every second, by chance), its kind of
-    negative, delay, flux ratio, lensing, noise, dropout and places on the sky."""
-    how = how or Simulation()
-
-    def u(name: str) -> Column:
-        return fraction(F.lit(seed), F.col("pair_id"), F.lit(name))
-
-    def even(name: str, ends: tuple[float, float]) -> Column:
-        return u(name) * (ends[1] - ends[0]) + ends[0]
-
-    lensed = u("label") < 0.5
-    kind = F.element_at(F.array(*[F.lit(k) for k in NEGATIVES]), F.floor(u("kind") * len(NEGATIVES)).cast("int") + 1)
-    ratio = F.exp(u("ratio") * math.log(how.flux_ratio[1] / how.flux_ratio[0]) + math.log(how.flux_ratio[0]))
-    ra, dec = sky_position(u("ra"), u("dec"))
-    rows = ids.select(
-        "pair_id", lensed.cast("int").alias("label_lensed"), F.when(~lensed, kind).alias("negative_type"), F.when(lensed, even("delay", how.delay)).alias("true_delay_days"),
-        F.when(~lensed & (kind != "independent"), even("shift", how.confuser_shift)).alias("confuser_shift_days"), ratio.alias("flux_ratio"),
-        *[even(f"{name}_{x}", ends).alias(f"{name}_{x}") for x in "AB" for name, ends in (("microlensing_strength", how.lensing), ("microlensing_smooth_days", how.lensing_days), ("sigma_flux_frac", how.noise), ("dropout", how.dropout))],
-        even("separation", how.separation).alias("separation_arcsec"), (u("angle") * 360.0).alias("position_angle_deg"), ra.alias("ra_A"), dec.alias("dec_A"),
-    )
-    ra, dec = moved_on_sky(F.col("ra_A"), F.col("dec_A"), F.col("separation_arcsec"), F.col("position_angle_deg"))
-    return rows.withColumns({"ra_B": ra, "dec_B": dec})
-
-
-def visits(pairs: DataFrame, seed: int = 42, how: Simulation | None = None) -> DataFrame:
-    """(pair_id, time_days): visits about every so many days, moved by chance."""
-    how = how or Simulation()
-    rows = pairs.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(int(how.days / how.every_days) - 1))).alias("k"))
-    time = (F.col("k") + 0.5 + (fraction(F.lit(seed), F.col("pair_id"), F.lit("visit"), F.col("k")) - 0.5) * 0.6) * how.every_days
-    return rows.select("pair_id", time.alias("time_days"))
-
-
-def damped_walk(noise: np.ndarray, step: float, memory: float, size: float) -> np.ndarray:
-    """x_i = f x_(i-1) + sqrt(1 - f^2) e_i with f = exp(-step / memory), as flux around 1 that stays above 0.05."""
-    keep = math.exp(-step / memory)
-    x = noise * math.sqrt(1 - keep * keep)
-    x[0] = noise[0]
-    for i in range(1, len(x)):
-        x[i] += keep * x[i - 1]
-    return np.maximum(1 + size * x, 0.05)
-
-
-def slow_lens(noise: np.ndarray, step: float, smooth: float, strength: float) -> np.ndarray:
-    """A factor around 1: white noise smoothed by a Gaussian, of mean 1 and the deviation ``strength``."""
-    reach = min(int(4 * smooth / step), len(noise) - 1)
-    weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) * step / smooth) ** 2)
-    x = np.convolve(np.pad(noise, reach, mode="symmetric"), weight / weight.sum(), mode="valid")
-    x = (x - x.mean()) / (x.std() + 1e-12)
-    x = np.clip(1 + strength * x, 0.2, 5.0)
-    return x / x.mean()
-
-
-def observations(pairs: DataFrame, seen: DataFrame, seed: int = 42, how: Simulation | None = None) -> DataFrame:
-    """(pair_id, label_lensed, image_id, time_days, flux_true, flux_obs, flux_err)
-    of both images of each pair at its visits.
-
-    Images of a lensed pair show one source, B later by the delay and fainter
-    by the flux ratio, each through a slow lens of its own; of other pairs, two
-    sources, or one that is changed. Visits beyond the source's time, and by
-    chance some others, are lost; images of too few points have none.
-    """
-    how = how or Simulation()
-    times = seen.groupBy("pair_id").agg(F.array_sort(F.collect_list("time_days")).alias("times"))
-    rows = pairs.join(times, "pair_id")
-    names = [c for c in ("label_lensed", "negative_type", "true_delay_days", "confuser_shift_days", "flux_ratio", *(f"{n}_{x}" for x in "AB" for n in ("microlensing_strength", "microlensing_smooth_days", "sigma_flux_frac", "dropout")))]
-    grid = np.arange(-how.padding, how.days, how.cadence)
-
-    def kernel(pair, *values) -> dict:
-        p, at = dict(zip(names, values[:-1], strict=True)), np.asarray(values[-1])
-
-        def noise(name: str, n: int = len(grid)) -> np.ndarray:
-            return normals(seed, f"{pair}/{name}", 0, n)
-
-        source = damped_walk(noise("source"), how.cadence, how.memory_days, how.variability)
-        other, delay = source, p["true_delay_days"] or 0.0
-        if not p["label_lensed"]:
-            kind, delay = p["negative_type"], p["confuser_shift_days"] or 0.0
-            own = damped_walk(noise("other"), how.cadence, how.memory_days, how.variability)
-            other = {"similar_confuser": 0.5 * (source + own), "microlensing_confuser": 0.2 * source + 0.8 * own}.get(kind, own)
-        out: dict[str, list] = {c: [] for c in ("image_id", "time_days", "flux_true", "flux_obs", "flux_err")}
-        for x, flux, shift, factor in (("A", source, 0.0, 1.0), ("B", other, delay, 1 / p["flux_ratio"])):
-            lens = slow_lens(noise(f"lens {x}"), how.cadence, p[f"microlensing_smooth_days_{x}"], p[f"microlensing_strength_{x}"])
-            true = factor * np.interp(at - shift, grid, flux, left=np.nan, right=np.nan) * np.interp(at, grid, lens)
-            chance = np.random.Generator(np.random.Philox(key=[seed, hash_of(f"{pair}/drop {x}")])).random(len(at))
-            held = np.isfinite(true) & (chance >= p[f"dropout_{x}"])
-            if held.sum() < how.fewest_points:
-                continue
-            error = p[f"sigma_flux_frac_{x}"] * np.median(np.abs(true[held]))
-            seen_flux = true + error * noise(f"error {x}", len(at))
-            for name, column in zip(out, (np.full(held.sum(), x), at[held], true[held], seen_flux[held], np.full(held.sum(), error)), strict=True):
-                out[name] += column.tolist()
-        return out
-
-    named = rows.select("pair_id", "label_lensed", F.col("pair_id").cast("string").alias("name"), *[F.col(c).alias(f"p_{c}") for c in names], "times")
-    return mapped(named, ["pair_id", "label_lensed"], kernel, "image_id string, time_days double, flux_true double, flux_obs double, flux_err double")
-
-
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:7], "little")
-
-
-def as_curves(observed: DataFrame) -> DataFrame:
-    """Observations under the library's column names: a pair is a source, an image a component."""
-    return observed.select(F.col("pair_id").cast("string").alias("source"), F.col("image_id").alias("component"), F.col("time_days").alias("t"), F.col("flux_obs").alias("y"), F.col("flux_err").alias("s"))

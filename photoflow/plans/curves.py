@@ -31,9 +31,10 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2: one model takes long curves, the other short ones; those in between have two scores."""
     found = signal_to_noise(line_items(spark, sf_dir)).withColumn("component", F.concat_ws("-", *KEYS)).withColumn("score", F.col("snr"))
-    forest = found.where("n % 3 <> 0").withColumn("predicted", F.col("snr") > 2.2)
-    network = found.where("n % 5 <> 0").withColumn("predicted", F.col("n") > 200)
+    forest = found.where("n >= 190").withColumn("predicted", F.col("snr") > 2.2)
+    network = found.where("n <= 210").withColumn("predicted", F.col("n") > 200)
     return rounded(K.fused(forest, network), 6)
 
 
@@ -96,7 +97,7 @@ ORACLE_SQL = {
       h AS (SELECT *, z - (total + (5 - held) * CASE WHEN i <= 2 THEN z0 ELSE z1 END) / 5 AS high, coalesce(up, lag(up) OVER (PARTITION BY source, component ORDER BY t, y), 0) AS rise FROM e)
       SELECT source, component, round(t, 6) AS t, round(z, 6) AS z, round(coalesce(bf, af, 0), 6) AS gap_before, round(coalesce(af, bf, 0), 6) AS gap_after, round(high, 6) AS highpass, round(abs(high), 6) AS highpass_size, round(rise, 6) AS rise FROM h""",
     "j2_full_outer_fusion": f"""WITH {LC}, m AS (SELECT source || '-' || component AS component, count(*) AS n, (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 2 / median(s) AS snr FROM lc GROUP BY lc.source, lc.component),
-      f AS (SELECT component, snr, snr > 2.2 AS p FROM m WHERE n % 3 <> 0), w AS (SELECT component, snr, n > 200 AS p FROM m WHERE n % 5 <> 0)
+      f AS (SELECT component, snr, snr > 2.2 AS p FROM m WHERE n >= 190), w AS (SELECT component, snr, n > 200 AS p FROM m WHERE n <= 210)
       SELECT component, round(f.snr, 6) AS forest_score, f.p AS forest, round(w.snr, 6) AS network_score, w.p AS network, coalesce(f.p, false) OR coalesce(w.p, false) AS positive FROM f FULL JOIN w USING (component)""",
     **{f"x10_mode_{m.replace('=', '_')}": _MODES[m] for m in V.MODES},
     "w8_display_rolling": f"WITH {BINS} SELECT source, component, bin, round(avg(y) OVER (PARTITION BY source, component ORDER BY t, y, s ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 9) AS smooth FROM b",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import cut
 from ..operators import delay_scan as A
 from ..operators import interpolation_delay as D
+from ..operators import packing as K
 from ..operators import pair_scan as Q
 from ..operators import pairs as P
 from ..operators.cleaning import binned
@@ -36,8 +37,24 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.component_pairs(line_items(spark, sf_dir))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.packed(P.stretched(sides(spark, sf_dir)))
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1: every packed point's channels, and how long the padded curve is."""
+    rows = packed(spark, sf_dir).select(*K.KEYS, F.size("x").alias("length"), F.posexplode(F.arrays_zip("x", "mask")).alias("i", "p"))
+    named = [F.round(F.get("p.x", F.lit(k)).cast("double"), 4).alias(c) for k, c in enumerate(K.CHANNELS)]
+    return rows.where("p.mask = 1").select(*K.KEYS, "length", "i", *named)
+
+
+def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, P3: points as models of pairs see them, as sums per side."""
+    return rounded(K.unpacked(packed(spark, sf_dir)).groupBy(*K.KEYS).agg(F.count("*").alias("n"), F.max("t").alias("last"), F.sum("y").alias("flux"), F.sum("s").alias("error")), 3)
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.pair_stats(P.stretched(sides(spark, sf_dir))), 7)
+    return rounded(K.pair_stats(packed(spark, sf_dir)), 5)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,13 +138,24 @@ STRETCHED = SIDES + """, sp AS (SELECT source, a, b, min(t) AS t0, max(t) AS t1
 st AS (SELECT source, a, b, side, (t - t0) * (2000.0 / greatest(t1 - t0, 1.0)) AS t, y, s FROM sd JOIN sp USING (source, a, b))"""
 
 
+_SIDE = "source, a, b, side"
+PACKED = STRETCHED + f""", f1 AS (SELECT {_SIDE}, t::FLOAT::DOUBLE AS t, y::FLOAT::DOUBLE AS y, s::FLOAT::DOUBLE AS s FROM st),
+f2 AS (SELECT {_SIDE}, median(y) AS mid, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr, stddev_pop(y) AS std FROM f1 GROUP BY ALL),
+f3 AS (SELECT {_SIDE}, median(abs(y - mid)) AS mad, any_value(mid) AS mid, any_value(iqr) AS iqr, any_value(std) AS std FROM f1 JOIN f2 USING ({_SIDE}) GROUP BY {_SIDE}),
+f4 AS (SELECT *, CASE WHEN 1.4826 * mad >= 1e-6 THEN 1.4826 * mad WHEN iqr / 1.349 >= 1e-6 THEN iqr / 1.349 WHEN std >= 1e-6 THEN std ELSE 1 END AS scale FROM f3),
+f5 AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(t - lag(t) OVER w, 0) AS gap FROM f1 WINDOW w AS (PARTITION BY {_SIDE} ORDER BY t, y, s)),
+pk AS (SELECT {_SIDE}, i, t, mid, scale, (t / 2000)::FLOAT AS t_norm, (ln(1 + gap) / ln(2001.0::DOUBLE))::FLOAT AS log_gap, ((y - mid) / scale)::FLOAT AS flux_norm, greatest(1e-4, least(5, CASE WHEN s > 0 THEN s ELSE mad * 0.05 + 1e-3 END / scale))::FLOAT AS error_norm,
+  sin(2 * pi() * t / 2000)::FLOAT AS sin_t, cos(2 * pi() * t / 2000)::FLOAT AS cos_t FROM f5 JOIN f4 USING ({_SIDE}) WHERE i < 213),
+pi AS (SELECT {_SIDE}, any_value(mid) AS mid, any_value(scale) AS scale, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM pk GROUP BY ALL)"""
+
+
 def features_sql(table: str, keys: str, time: str = "t") -> str:
     return f"""o AS (SELECT *, {time} AS tt, {time} - lag({time}) OVER w AS gap, lag(y) OVER w AS y0 FROM {table} WINDOW w AS (PARTITION BY {keys} ORDER BY t, y, s)),
     o2 AS (SELECT *, CASE WHEN gap > 1e-5 THEN (y - y0) / sqrt(gap + 1) END AS dy, avg(y) OVER v AS my, median(y) OVER v AS md FROM o WINDOW v AS (PARTITION BY {keys})),
     ft AS (SELECT {keys}, count(*) AS n, max(tt) - min(tt) AS span, min(tt) AS t_start, max(tt) AS t_end, avg(gap) AS gap_mean, median(gap) AS gap_median, stddev_pop(gap) AS gap_std, max(gap) AS gap_max,
       quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) AS gap_iqr, avg(y) AS y_mean, stddev_pop(y) AS y_std, median(y) AS y_median, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS y_iqr,
       quantile_cont(y, 0.95) - quantile_cont(y, 0.05) AS y_amp_q90, min(y) AS y_min, max(y) AS y_max, avg((y - my) ** 3) / stddev_pop(y) ** 3 AS y_skew, avg((y - my) ** 4) / stddev_pop(y) ** 4 - 3 AS y_kurt,
-      regr_slope(y, tt) AS trend_per_day, sqrt(var_pop(y) * (1 - regr_r2(y, tt))) AS resid1_std, corr(y0, y) AS acf1, stddev_pop(dy) AS dy_std, median(s) AS err_median, avg(s) AS err_mean, 1.4826 * median(abs(y - md)) AS y_mad
+      sqrt(var_pop(y) * (1 - regr_r2(y, tt))) AS resid1_std, corr(y0, y) AS acf1, stddev_pop(dy) AS dy_std, median(s) AS err_median, avg(s) AS err_mean, 1.4826 * median(abs(y - md)) AS y_mad
       FROM o2 GROUP BY {keys})"""
 
 
@@ -169,9 +197,11 @@ def all_rounded(names: str, places: int, whole: tuple[str, ...] = ("n",)) -> str
     return ", ".join(x if x in whole else f"round({x}, {places}) AS {x}" for x in names.split())
 
 
-FEATURES = "n span t_start t_end gap_mean gap_median gap_std gap_max gap_iqr y_mean y_std y_median y_iqr y_amp_q90 y_min y_max y_skew y_kurt trend_per_day resid1_std acf1 dy_std err_median err_mean y_mad"
+FEATURES = "n span t_start t_end gap_mean gap_median gap_std gap_max gap_iqr y_mean y_std y_median y_iqr y_amp_q90 y_min y_max y_skew y_kurt resid1_std acf1 dy_std err_median err_mean y_mad"
 QUERIES = {
     "j5_component_pairs": pairs,
+    "p1_packed": channels,
+    "p2_unpacked": restored,
     "p4_pair_stats": stats,
     "p9_curve_features": features,
     "p15_cadence": cadence,
@@ -194,9 +224,10 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "j5_component_pairs": f"WITH {LC}, u AS (SELECT DISTINCT source, component FROM lc) SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component",
-    "p4_pair_stats": STRETCHED + """, m AS (SELECT source, a, b, side, median(y) AS mid, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM st GROUP BY ALL), m2 AS (SELECT source, a, b, side, greatest(1.4826 * median(abs(y - mid)), 1e-6) AS scale FROM st JOIN m USING (source, a, b, side) GROUP BY ALL),
-      c AS (FROM m JOIN m2 USING (source, a, b, side)), j AS (SELECT x.source, x.a, x.b, x.mid AS ma, y.mid AS mb, x.scale AS sa, y.scale AS sb, x.n AS na, y.n AS nb, greatest(x.t1, y.t1) - least(x.t0, y.t0) AS joint, greatest(0, least(x.t1, y.t1) - greatest(x.t0, y.t0)) AS shared, (y.t1 - y.t0) - (x.t1 - x.t0) AS sd FROM c AS x JOIN c AS y USING (source, a, b) WHERE x.side = 'a' AND y.side = 'b')
-      SELECT source, a, b, round((mb - ma) / 3, 7) AS median_difference, round(ln(sb / sa), 7) AS scale_ratio, round(na / 213, 7) AS n_a, round(nb / 213, 7) AS n_b, round(shared / greatest(joint, 1), 7) AS overlap, round(sd / greatest(joint, 1), 7) AS span_difference FROM j""",
+    "p1_packed": PACKED + f""" SELECT source, a, b, side, 213 AS length, i::INTEGER AS i, {", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in K.CHANNELS)} FROM pk""",
+    "p2_unpacked": PACKED + " SELECT source, a, b, side, count(*) AS n, round(max(t_norm::DOUBLE * 2000), 3) AS last, round(sum(flux_norm::DOUBLE), 3) AS flux, round(sum(error_norm::DOUBLE), 3) AS error FROM pk GROUP BY source, a, b, side",
+    "p4_pair_stats": PACKED + """ SELECT x.source, x.a, x.b, round((y.mid - x.mid) / 3, 5) AS median_difference, round(ln((y.scale + 1e-3) / (x.scale + 1e-3)), 5) AS scale_ratio, round(x.n / 213, 5) AS n_a, round(y.n / 213, 5) AS n_b,
+      round(greatest(0, least(x.t1, y.t1) - greatest(x.t0, y.t0)) / 2000, 5) AS overlap, round((y.t1 - y.t0) / 2000 - (x.t1 - x.t0) / 2000, 5) AS span_difference FROM pi AS x JOIN pi AS y USING (source, a, b) WHERE x.side = 'a' AND y.side = 'b'""",
     "p9_curve_features": f"WITH {BINS}, {features_sql('b', 'source, component', 't - 2449000.0')} SELECT source, component, {all_rounded(FEATURES, 11)} FROM ft".replace("FROM b WINDOW", "FROM (SELECT source, component, t, y, s FROM b) AS b WINDOW"),
     "p15_cadence": STRETCHED + ", " + NEAREST.format("st") + """, gp AS (SELECT *, t - lag(t) OVER (PARTITION BY source, a, b, side ORDER BY t, y, s) AS gap FROM st),
       g AS (SELECT source, a, b, side, count(*) AS n, min(t) AS t0, max(t) AS t1, median(gap) AS gm, stddev_pop(gap) AS gs, max(gap) AS gx FROM gp GROUP BY ALL)

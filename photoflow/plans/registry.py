@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, curves, pairs, selection, systems
+from . import cleaning, curves, large, pairs, selection, series, systems
 
-_MODULES = (cleaning, curves, pairs, selection, systems)
+_MODULES = (cleaning, curves, large, pairs, selection, series, systems)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

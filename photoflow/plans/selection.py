@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as K
 from ..operators import display as V
-from ..operators import generator as G
-from ..operators import networks as N
+from ..operators import events as N
 from ..operators import pairs as P
+from ..operators import sampling as G
 from ..operators import spline_delay as S
+from ..operators import spread as W
 from ..operators.cleaning import binned, signal_to_noise
 from ..sources.curves import KEYS, line_items
 from .cleaning import BINS, LC, rounded
@@ -73,11 +74,13 @@ def with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(K.prepared(line_items(spark, sf_dir), more_than=185), 7)
+    return rounded(K.prepared(line_items(spark, sf_dir), more_than=20), 7)
 
 
 def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.first_source(line_items(spark, sf_dir))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = items.select(F.col("l_returnflag").alias("component"), F.col("l_suppkey").cast("string").alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return K.first_source(rows, "file", "row")
 
 
 def scatter(spark: SparkSession, sf_dir: str, by_time: bool) -> DataFrame:
@@ -169,23 +172,19 @@ def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.noise_level(line_items(spark, sf_dir), KEYS, 0.02))
 
 
-def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("pair_id"))
-
-
-def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.parameters(pair_ids(spark, sf_dir))
-    return rounded(found.select("pair_id", "label_lensed", "negative_type", "true_delay_days", "confuser_shift_days", "flux_ratio", "sigma_flux_frac_A", "dropout_B", "ra_A", "dec_A", "ra_B", "dec_B"), 9)
-
+def on_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: places on the sky of shares that a curve's points give, moved by some arc seconds."""
+    shares = line_items(spark, sf_dir).groupBy(*KEYS).agg((F.avg("y") / F.max("y")).alias("u"), (F.min("s") / F.avg("s")).alias("v"), F.count("*").alias("n"))
+    ra, dec = G.sky_position(F.col("u"), F.col("v"))
+    moved = G.moved_on_sky(F.col("ra"), F.col("dec"), F.col("n") / 10, F.col("n").cast("double"))
+    return rounded(shares.select(*KEYS, "n", ra.alias("ra"), dec.alias("dec")).select(*KEYS, "ra", "dec", moved[0].alias("moved_ra"), moved[1].alias("moved_dec")), 9)
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.visits(pair_ids(spark, sf_dir)), 9)
 
-
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7, G8: all observations of one pair per supplier."""
-    ids = pair_ids(spark, sf_dir)
-    return rounded(G.observations(G.parameters(ids), G.visits(ids)), 9)
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D13: fluxes whose error is large are gaps, filled from their neighbours."""
+    rows = line_items(spark, sf_dir).withColumn("y", F.when(F.col("s") < 20, F.col("y")))
+    found = W.gaps_filled(rows, KEYS, ("t", "s"), "y")
+    return found.select(*KEYS, F.round("t", 7).alias("t"), F.round("y", 7).alias("y"), F.round("s", 9).alias("s"))
 
 
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +215,6 @@ def u_sql(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('/', {joined})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def pair_u(name: str) -> str:
-    return u_sql("'42'", "s_suppkey::VARCHAR", f"'{name}'")
-
-
 QUERIES = {
     "a10_robust_scales": scales,
     "a14_guarded_corr": guarded,
@@ -251,9 +246,8 @@ QUERIES = {
     "a23_masked_stats": masked,
     "s12_julian_from_any": julian,
     "g5_noise_level": noise,
-    "g7_pair_parameters": parameters,
-    "g6_visits": visits,
-    "g8_observations": observed,
+    "x11_sky_positions": on_sky,
+    "d13_gaps_filled": filled,
     "g11_cadence": cadence,
     "v4_histogram": histogram,
     "x6_group_titles": titles,
@@ -261,7 +255,7 @@ QUERIES = {
     "m6_event_tensor": event_tensor,
 }
 _SNR = "(quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 2 / median(s)"
-_MERGED = f"""RECURSIVE {LC}, big AS (SELECT source, component FROM lc GROUP BY ALL HAVING count(*) > 185), o AS (SELECT lc.*, row_number() OVER (PARTITION BY source, component ORDER BY t, y, s) AS i FROM lc SEMI JOIN big USING (source, component)),
+_MERGED = f"""RECURSIVE {LC}, big AS (SELECT source, component FROM lc GROUP BY ALL HAVING count(*) > 20), o AS (SELECT lc.*, row_number() OVER (PARTITION BY source, component ORDER BY t, y, s) AS i FROM lc SEMI JOIN big USING (source, component)),
       r AS (SELECT source, component, i, t, y, t AS start, 1 AS block FROM o WHERE i = 1
         UNION ALL SELECT o.source, o.component, o.i, o.t, o.y, CASE WHEN o.t - r.start <= 2 THEN r.start ELSE o.t END, CASE WHEN o.t - r.start <= 2 THEN r.block ELSE r.block + 1 END FROM r JOIN o ON o.source = r.source AND o.component = r.component AND o.i = r.i + 1),
       w AS (SELECT source, component, avg(t) AS t, sum(y) / count(*) AS y, count(*) AS n FROM r GROUP BY source, component, block)"""
@@ -283,8 +277,8 @@ ORACLE_SQL = {
       q0 AS (SELECT q.*, b.t AS t0, b.y AS y0 FROM q ASOF JOIN b ON q.source = b.source AND q.component = b.component AND q.t >= b.t), q1 AS (SELECT q0.*, b.t AS t1, b.y AS y1 FROM q0 ASOF JOIN b ON q0.source = b.source AND q0.component = b.component AND q0.t <= b.t)
       SELECT source, component, round(t, 7) AS t, round(CASE WHEN t1 > t0 THEN y0 * (1 - (t - t0) / (t1 - t0)) + y1 * ((t - t0) / (t1 - t0)) ELSE y0 END, 7) AS y FROM q1""",
     "j3_left_or": f"WITH {LC}, m AS (SELECT source || '-' || component AS component, round({_SNR}, 8) AS score FROM lc GROUP BY lc.source, lc.component) SELECT component, coalesce(score > 2 AND score > 2.2, false) AS positive FROM m",
-    "a3_prepared": f"WITH {_MERGED} SELECT source, component, round(t, 7) AS t, round(y, 7) AS y, n FROM w SEMI JOIN (SELECT source, component FROM w GROUP BY ALL HAVING count(*) > 185) USING (source, component)",
-    "a4_first_source": f"WITH {LC} SELECT component, arg_min(source, (t, source)) AS source FROM lc GROUP BY component",
+    "a3_prepared": f"WITH {_MERGED} SELECT source, component, round(t, 7) AS t, round(y, 7) AS y, n FROM w SEMI JOIN (SELECT source, component FROM w GROUP BY ALL HAVING count(*) > 20) USING (source, component)",
+    "a4_first_source": "SELECT l_returnflag AS component, arg_min(l_suppkey::VARCHAR, i) AS source FROM (SELECT *, row_number() OVER () AS i FROM lineitem) GROUP BY ALL",
     "w4_scatter_by_time": f"""WITH {BINS}, {_NEAR}, c AS (SELECT o.source, o.component, o.i, count(*) AS held FROM o JOIN g USING (source, component) JOIN o AS n ON n.source = o.source AND n.component = o.component AND n.t BETWEEN o.t - radius AND o.t + radius GROUP BY ALL),
       x AS (SELECT o.source, o.component, o.i, o.t, n.y FROM o JOIN g USING (source, component) JOIN c USING (source, component, i) JOIN o AS n ON n.source = o.source AND n.component = o.component AND CASE WHEN held >= 5 THEN n.t BETWEEN o.t - radius AND o.t + radius ELSE n.i BETWEEN o.i - 2 AND o.i + 2 END),
       m AS (SELECT source, component, i, median(y) AS mid FROM x GROUP BY ALL) SELECT source, component, round(any_value(t), 7) AS t, round(greatest(1.4826 * median(abs(y - mid)), 0.05), 11) AS scatter FROM x JOIN m USING (source, component, i) GROUP BY source, component, i""",
@@ -310,13 +304,12 @@ ORACLE_SQL = {
     "a23_masked_stats": f"WITH {LC} SELECT source, component, round(avg(y / 7.3::DOUBLE) FILTER (y / 7.3::DOUBLE > 3), 9) AS masked_mean, round(stddev_pop(y / 7.3::DOUBLE) FILTER (y / 7.3::DOUBLE > 3), 9) AS masked_std FROM lc GROUP BY ALL",
     "s12_julian_from_any": f"WITH {LC} SELECT source, component, round(min(t), 6) AS first FROM lc GROUP BY ALL",
     "g5_noise_level": f"WITH {LC} SELECT source, component, round(0.02 * median(abs(y)), 8) AS noise FROM lc GROUP BY ALL",
-    "g7_pair_parameters": f"""WITH u AS (SELECT s_suppkey AS pair_id, {pair_u('label')} AS ul, {pair_u('kind')} AS uk, {pair_u('delay')} AS ud, {pair_u('shift')} AS us, {pair_u('ratio')} AS ur, {pair_u('sigma_flux_frac_A')} AS un, {pair_u('dropout_B')} AS uo,
-        {pair_u('separation')} AS up, {pair_u('angle')} * 360 AS angle, {pair_u('ra')} * 360 AS ra, degrees(asin({pair_u('dec')} * 2 - 1)) AS dec FROM supplier),
-      k AS (SELECT *, (ul < 0.5)::INTEGER AS lensed, ['independent', 'shifted_independent', 'similar_confuser', 'microlensing_confuser'][floor(uk * 4)::INTEGER + 1] AS kind, (up * 4.7 + 0.3) / 3600 AS far FROM u)
-      SELECT pair_id::BIGINT AS pair_id, lensed AS label_lensed, CASE WHEN lensed = 0 THEN kind END AS negative_type, round(CASE WHEN lensed = 1 THEN ud * 425 + 5 END, 9) AS true_delay_days, round(CASE WHEN lensed = 0 AND kind <> 'independent' THEN us * 55 + 5 END, 9) AS confuser_shift_days,
-        round(exp(ur * ln(5.0::DOUBLE / 0.2) + ln(0.2::DOUBLE)), 9) AS flux_ratio, round(un * 0.035 + 0.005, 9) AS "sigma_flux_frac_A", round(uo * 0.2, 9) AS "dropout_B", round(ra, 9) AS "ra_A", round(dec, 9) AS "dec_A",
-        round((ra + far * sin(radians(angle)) / greatest(abs(cos(radians(dec))), 1e-6) + 360) % 360, 9) AS "ra_B", round(greatest(-90, least(90, dec + far * cos(radians(angle)))), 9) AS "dec_B" FROM k""",
-    "g6_visits": f"SELECT s_suppkey::BIGINT AS pair_id, round((k + 0.5 + ({u_sql("'42'", 's_suppkey::VARCHAR', "'visit'", 'k::VARCHAR')} - 0.5) * 0.6) * 30, 9) AS time_days FROM supplier, range(66) AS r(k)",
+    "x11_sky_positions": f"""WITH {LC}, p AS (SELECT source, component, avg(y) / max(y) * 360 AS ra, degrees(asin(min(s) / avg(s) * 2 - 1)) AS dec, count(*) AS n FROM lc GROUP BY ALL)
+      SELECT source, component, round(ra, 9) AS ra, round(dec, 9) AS dec, round((ra + n / 36000 * sin(radians(n)) / greatest(abs(cos(radians(dec))), 1e-6) + 360) % 360, 9) AS moved_ra, round(greatest(-90, least(90, dec + n / 36000 * cos(radians(n)))), 9) AS moved_dec FROM p""",
+    "d13_gaps_filled": f"""WITH {LC}, o AS (SELECT *, row_number() OVER w AS i, CASE WHEN s < 20 THEN y END AS v FROM lc WINDOW w AS (PARTITION BY source, component ORDER BY t, s)),
+      k AS (SELECT source, component, i, v FROM o WHERE v IS NOT NULL), a AS (SELECT o.*, k.i AS ia, k.v AS va FROM o ASOF LEFT JOIN k ON o.source = k.source AND o.component = k.component AND o.i >= k.i),
+      b AS (SELECT a.*, k.i AS ib, k.v AS vb FROM a ASOF LEFT JOIN k ON a.source = k.source AND a.component = k.component AND a.i <= k.i)
+      SELECT source, component, round(t, 7) AS t, round(CASE WHEN va IS NULL AND vb IS NULL THEN 0 WHEN va IS NULL THEN vb WHEN vb IS NULL OR ia = ib THEN va ELSE va + (vb - va) * ((i - ia) / (ib - ia)) END, 7) AS y, round(s, 9) AS s FROM b""",
     "g11_cadence": f"WITH {LC}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY source, component ORDER BY t, y, s) AS gap FROM lc) SELECT source, component, count(*) AS n, round(avg(gap), 8) AS mean, round(median(gap), 8) AS median, round(max(gap), 8) AS most FROM g GROUP BY source, component",
     "v4_histogram": f"WITH {LC} SELECT source, component, CASE WHEN y < 10 THEN 0 WHEN y >= 90 THEN 21 ELSE floor((y - 10) / 80 * 20)::BIGINT + 1 END AS bucket, count(*) AS n FROM lc GROUP BY ALL",
     "m6_event_tensor": f"""WITH {BINS}, n AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY t DESC, y DESC) AS back FROM b), l AS (SELECT source, component, t, y FROM n WHERE back <= 128),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..operators import classification as K
+from ..operators import packing as G
 from ..operators import pair_scan as Q
 from ..operators import pairs as P
 from ..operators import spline_delay as S
@@ -105,13 +107,8 @@ def scan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P17: all features of each pair: of its sides and their contrasts, of the
-    pair, its cadence and its scan."""
-    rows = P.stretched(sides(spark, sf_dir))
-    keys = [*P.PAIR, "side"]
-    own = P.curve_features(rows, keys).join(Q.shape_features(rows, keys), keys)
-    contrasted = P.contrasts(own, [c for c in own.columns if c not in keys])
-    return P.pair_stats(rows).join(contrasted, P.PAIR).join(P.cadence(rows), P.PAIR).join(Q.scan_features(Q.scan(rows)), P.PAIR)
+    """P17: all 570 features of each pair, of packed curves."""
+    return G.pair_features(P.stretched(sides(spark, sf_dir)))
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,15 +116,16 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P18: a forest that tells whether side b is brighter scores all pairs by
-    features of both sides; a pair without features has a null score."""
-    rows = P.stretched(sides(spark, sf_dir))
-    found = P.contrasts(P.curve_features(rows, [*P.PAIR, "side"]), ["y_std", "gap_max", "y_skew", "acf1"]).join(P.pair_stats(rows), P.PAIR)
-    label = (F.col("median_difference") > 0).cast("double")
+    """P18: a forest over all features tells pairs of components A and R from
+    others, which no feature names. It learns from sources of one fold and
+    scores the pairs of both; a pair without features has a null score."""
+    found = cut(pair_features(spark, sf_dir))
     names = [c for c in found.columns if c not in P.PAIR]
-    model = K.trained_forest(found.withColumn("label", label), "label", names, trees=20)
+    held_out = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(3)) == 0
+    label = ((F.col("a") == "A") & (F.col("b") == "R")).cast("double")
+    model = K.trained_forest(found.where(~held_out).withColumn("label", label), "label", names, trees=100)
     every = P.component_pairs(line_items(spark, sf_dir))
-    return rounded(K.forest_scores(model, found, names, every, P.PAIR), 6)
+    return rounded(K.forest_scores(model, found, names, every, P.PAIR).withColumn("held_out", held_out), 6)
 
 
 _D10 = BINS + """, u AS (SELECT source, list_sort(list(DISTINCT component)) AS members FROM b GROUP BY source), sy AS (SELECT source, component, (list_position(members, component) - 1)::INTEGER AS place, len(members) AS k FROM u, unnest(members) AS x(component) WHERE len(members) BETWEEN 2 AND 4),

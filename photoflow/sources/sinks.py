@@ -49,9 +49,10 @@ def unfinished(spark: SparkSession, pairs: DataFrame, folder: str, keys: tuple[s
 
 
 def write_predictions(predictions: DataFrame, path: str, keys: tuple[str, ...] = ("source", "component"), failures: DataFrame | None = None) -> None:
-    """Predictions in the order of their keys, as one CSV; failed ones with their
-    reason in a table beside it. Rows that failed are in the first with a null score."""
-    predictions.orderBy(*keys).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Predictions as CSV in the order of their keys: files in the order of their
+    names, each sorted, one per range of keys. Failed ones are in a table beside
+    it with their reason, and in the first with a null score."""
+    predictions.orderBy(*keys).write.mode("overwrite").option("header", True).csv(path)
     if failures is not None:
         failures.write.mode("overwrite").option("header", True).csv(f"{path}_errors")
 

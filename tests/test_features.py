@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from photoflow.operators import classification as K
 from photoflow.operators import display as V
-from photoflow.operators import generator as G
 from photoflow.operators import pair_scan as Q
 from photoflow.operators import pairs as P
+from photoflow.operators import sampling as G
 from photoflow.sources import sinks
 
 CURVE = "source string, component string, t double, y double, s double"
@@ -116,39 +116,6 @@ def test_forest_leaves_failed_pairs_null(spark):
     assert np.mean([(found[r[1]] > 0.5) == (r[3] == 1) for r in rows]) > 0.95
 
 
-def test_simulated_pairs(spark):
-    ids = spark.range(40).withColumnRenamed("id", "pair_id")
-    pairs = G.parameters(ids)
-    kinds = {r.negative_type for r in pairs.collect()}
-    assert kinds == {None, *G.NEGATIVES}
-    seen = G.visits(ids)
-    one, again = (G.observations(pairs, seen).orderBy("pair_id", "image_id", "time_days").collect() for _ in range(2))
-    assert one == again and {r.image_id for r in one} == {"A", "B"}
-    assert all(r.flux_err > 0 and r.flux_true > 0 for r in one)
-    counts = {}
-    for r in one:
-        counts[r.pair_id, r.image_id] = counts.get((r.pair_id, r.image_id), 0) + 1
-    assert len(counts) == 80 and min(counts.values()) >= 5 and max(counts.values()) <= 66
-    delays = {r.pair_id: r.true_delay_days for r in pairs.where("label_lensed = 1").collect()}
-    clean = G.Simulation(lensing=(0.0, 0.0), noise=(1e-6, 1e-6), dropout=(0.0, 0.0), every_days=5.0, memory_days=3000.0)
-    exact = G.observations(G.parameters(ids, how=clean), G.visits(ids, how=clean), how=clean).where("label_lensed = 1")
-    pair = exact.where(F.col("pair_id") == min(delays)).collect()
-    (ta, ya), (tb, yb) = (np.array([(r.time_days, r.flux_true) for r in pair if r.image_id == x]).T for x in "AB")
-    moved = tb - delays[min(delays)]
-    inside = (moved > ta[0]) & (moved < ta[-1])
-    assert np.corrcoef(np.interp(moved[inside], ta, ya), yb[inside])[0, 1] > 0.9
-    assert G.as_curves(exact).columns == ["source", "component", "t", "y", "s"]
-
-
-def test_damped_walk_and_slow_lens():
-    e = np.random.default_rng(1).normal(size=4000)
-    walk = (G.damped_walk(e, 1.0, 50.0, 0.1) - 1) / 0.1
-    keep = math.exp(-1 / 50)
-    assert np.allclose(walk[1:], keep * walk[:-1] + math.sqrt(1 - keep**2) * e[1:])
-    lens = G.slow_lens(e, 1.0, 100.0, 0.1)
-    assert lens.mean() == pytest.approx(1) and 0.05 < lens.std() < 0.15 and np.abs(np.diff(lens)).max() < 0.01
-
-
 def test_gaussian_process_is_the_closed_form(spark, curves):
     found = V.gaussian_process(spark.createDataFrame(curves, CURVE).where("component = 'A'"), points=7).orderBy("t").collect()
     t, y, s = np.array([r[2:] for r in curves if r[1] == "A"]).T
