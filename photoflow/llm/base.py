@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,10 +18,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: how many buckets a small table has rather than larger ones.
 ROWS_PER_BUCKET = 5000
 LEAST_PER_BUCKET, MOST_SMALL_BUCKETS = 256, 1024
+#: Copies of a row that one task spells out at once.
+COPIES_AT_ONCE = 10_000
 #: A key is hot if more than this part of all rows has it, so there are at most as many hot keys.
 HOT_PARTS = 500
 
-_written: list[str] = []
+#: What each thread has staged; pipelines that run at once have a thread each.
+_staged = threading.local()
 _worker_table: dict = {}
 
 
@@ -49,23 +53,29 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _paths().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _paths() -> list[str]:
+    if not hasattr(_staged, "paths"):
+        _staged.paths = []
+    return _staged.paths
+
+
 def written() -> int:
-    """A mark for ``discard``: how many tables were staged so far."""
-    return len(_written)
+    """A mark for ``discard``: how many tables this thread has staged so far."""
+    return len(_paths())
 
 
 def discard(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables staged since a mark; results that still read them must
-    have been written before."""
+    """Deletes the tables that this thread has staged since a mark; results that
+    still read them must have been written before."""
     jvm = spark.sparkContext._jvm
-    for path in _written[since:]:
+    for path in _paths()[since:]:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    del _written[since:]
+    del _paths()[since:]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +212,26 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return df.join(offsets, by).withColumn(name, F.col("offset__") + F.sum(value).over(within)).drop("offset__")
 
 
+def each_copy(rows: DataFrame, counts: DataFrame, by: list[str], part: int = COPIES_AT_ONCE) -> DataFrame:
+    """Adds copy: each row as often as its column copies says, numbered from 1.
+
+    ``counts`` has all values of copies. Rows of more than ``part`` are cut into
+    ranges of so many, which are dealt over the tasks by ``by`` and the range
+    before they are spelled out.
+    """
+    number = F.explode(F.sequence(F.col("from__") * part + 1, F.least((F.col("from__") + 1) * part, F.col("copies"))))
+
+    def spelled(some: DataFrame) -> DataFrame:
+        return some.withColumn("copy", number).drop("from__")
+
+    few = spelled(rows.where(F.col("copies") <= part).withColumn("from__", F.lit(0).cast("long")))
+    if counts.where(F.col("copies") > part).isEmpty():
+        return few
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / part)))
+    many = rows.where(F.col("copies") > part).withColumn("from__", ranges).repartition(*by, "from__")
+    return few.unionByName(spelled(many))
+
+
 def join_hot(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """The inner join of ``rows`` with ``values`` (one row a key, with ``weight``,
     how many of the ``total`` rows have the key), without ``weight``.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_PATTERN, buckets_for, fraction_bucket, hash52, packed, running_sum, staged, table, unpacked
+from .base import WORD_PATTERN, buckets_for, each_copy, fraction_bucket, hash52, packed, running_sum, staged, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -75,7 +75,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     sources = staged(targets(per_bucket.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, budget, rounds))
     cells = per_bucket.select("skey", "bucket").join(sources, "skey")
     queued = running_sum(narrow, ["skey"], "bucket", [F.col("h"), F.col("doc_id"), F.col("tag")], words, "upto").join(cells, ["skey", "bucket"])
-    queued = queued.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    queued = each_copy(queued, narrow, ["skey", "h"])
     queued = queued.withColumn("upto", F.col("upto") - F.col("size") * (F.col("copies") - F.col("copy")))
     finish = [F.when(F.col("size") > 0, (F.col("upto") + F.col("source_size") * r) / F.col("target")) for r in range(rounds)]
     queued = staged(queued.select("doc_id", "source", "tag", "copy", "copies", "h", "size", "source_size", "target", "rank", F.array(*finish).alias("finish")))
@@ -116,8 +116,9 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     stay, whatever their names.
 
     Rows that repeat source, doc_id and text are counted off: each takes the
-    place of one copy, so that the mix keeps to its target. An empty table
-    stays empty.
+    place of one copy, so that the mix keeps to its target. Null and empty texts,
+    and those of white space, are not in the mix; a text of any length is in it
+    whole or not at all. An empty table stays empty.
     """
     taken = mixed(docs, **how).select(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("tag").alias("mark"), F.col("copy").alias("number"), "copies", "repeats")
     taken = staged(taken.where("repeats > 0 or copies > 1"))

@@ -119,6 +119,12 @@ def near_copies(docs: DataFrame, shingle: int, lanes: int, radius: int, similari
     within a proposed group is then compared by its shingles. A pair is missed
     only if no chain of proposals joins it. Sets so small that one shingle
     more or less is below ``similarity`` are linked to equal ones only.
+
+    Null and empty texts, and those of white space, have equal sets. Rows that
+    repeat are linked as their sets are; a null doc_id gets the component of
+    its set. All shingles of a text of any length count; one text's set, and a
+    tile of several, is a value of one row. Columns beyond doc_id and text are
+    not looked at; an empty table gives no rows.
     """
     words = [f"f{i}" for i in range(lanes)]
     spark = docs.sparkSession

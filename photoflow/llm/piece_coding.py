@@ -113,7 +113,9 @@ def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` with the column decoded (with an underscore behind it if there
-    is one): the text that its ids spell. Null ids spell an empty text."""
+    is one): the text that its ids spell. Null ids and empty lists spell an empty
+    text; lists of any length are spelled whole, in blocks; rows that repeat are
+    spelled each; other columns pass through; an empty table stays empty."""
     shared = shared_model(encoded.sparkSession, model_path)
     at, name = encoded.columns.index("ids"), free_name("decoded", encoded.columns)
     schema = StructType([*encoded.schema.fields, StructField(name, StringType())])

@@ -234,8 +234,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     an empty text). Labels are nothing but training targets; of a doc_id with
     several labels the largest counts. A null text is empty; empty texts have
     all features 0 and are scored like others, and rows that repeat are scored
-    each. Without labels every score is alike. Columns beyond doc_id and text
-    are not looked at; an empty table gives no rows.
+    each. Texts of any length are read whole. Without labels every score is alike.
+    Columns beyond doc_id and text are not looked at; an empty table gives no rows.
     """
     held_out = fold(F.col("doc_id"), 4) == 2
     model = train(docs, labels, held_out)

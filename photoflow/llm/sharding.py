@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ROWS_PER_BUCKET, buckets_for, running_sum, staged, table
+from .base import ROWS_PER_BUCKET, buckets_for, each_copy, running_sum, staged, table
 
 SHARDS = 24
 #: Parts of a shard's start that move apart from one another, so that a group
@@ -90,7 +90,8 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
     UTF-8 bytes plus 8; a null text has none and is linked with empty ones.
     Rows that repeat are documents of their own, linked by their text; doc_id
     may be null or of any type. A group larger than a shard fills several. An
-    empty table gives no rows; other columns are not looked at.
+    empty table gives no rows; other columns are not looked at. A text of any
+    length counts whole and goes to one shard.
 
     Collected are numbers per shard and admission step only. Rows that repeat
     both doc_id and text are one entry with a count. Ranks come from two-level
@@ -115,7 +116,7 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
     share = F.conv(F.substring("gid", 1, 8), 16, 10).cast("double") / float(1 << 32)
     bucket = F.floor(share * (buckets_for(rows) // parts + 1)) * parts + F.pmod("sub", F.lit(parts))
     ranked = running_sum(placed.withColumn("bucket", bucket.cast("long")), ["shard"], "bucket", [F.col("gid"), F.col("h"), F.col("doc_id")], F.col("copies"), "upto")
-    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("rank", F.col("upto") - F.col("copies") + F.col("copy"))
+    ranked = each_copy(ranked, narrow, ["gid", "h"]).withColumn("rank", F.col("upto") - F.col("copies") + F.col("copy"))
 
     held = loads(cells, "shard", F.col("rows"), shards)
     stay = [min(n, q) for n, q in zip(held, quotas, strict=True)]
@@ -138,7 +139,8 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
 def link_counts(sharded: DataFrame) -> DataFrame:
     """One row about the result of ``shards_of``: how many links there are
     (pairs of documents of equal text), and how many were, and are, between
-    documents of different shards."""
+    documents of different shards. Null ids count like others, rows that repeat
+    are linked, and an empty table has no links."""
 
     def within(shard: str) -> DataFrame:
         cells = sharded.groupBy("group_id", shard).agg(F.count("*").cast("decimal(38,0)").alias("n"))

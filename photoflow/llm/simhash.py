@@ -151,7 +151,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int =
     repeat a doc_id are joined only if their fingerprints are. A null doc_id
     gets the component of its fingerprint, null if no other is in it. Columns
     beyond doc_id and text are not looked at; an empty table gives no rows.
-    The comparison is exact, so its time grows with the square of the number
+    All shingles of a text of any length count. The comparison is exact, so its time grows with the square of the number
     of distinct fingerprints, divided over tile pairs.
     """
     words = [f"f{i}" for i in range(lanes)]

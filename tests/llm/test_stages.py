@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
-from photoflow.llm import base, exact_dedup, mixing, pieces, toxicity
+from photoflow.llm import base, exact_dedup, mixing, pieces, sharding, toxicity
 
 from .test_near_copies import plain_components
 
@@ -177,3 +177,25 @@ def test_fingerprint_of_a_long_text_in_little_memory():
 def test_crc_folds_are_those_of_the_text(spark):
     ids = spark.range(50).withColumnRenamed("id", "doc_id")
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in ids.select("doc_id", toxicity.fold(F.col("doc_id"), 5).alias("f")).collect())
+
+
+def test_many_copies_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([("a", 25_001), ("b", 1), ("c", 5_000)], "skey string, copies long")
+    found = base.each_copy(rows, rows, ["skey"], part=5_000)
+    got = found.groupBy("skey").agg(F.count("*").alias("n"), F.sum("copy").alias("s"), F.min("copy").alias("a"), F.max("copy").alias("b")).collect()
+    assert {r.skey: (r.n, r.s, r.a, r.b) for r in got} == {k: (n, n * (n + 1) // 2, 1, n) for k, n in (("a", 25_001), ("b", 1), ("c", 5_000))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    same = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("s").alias("source"))
+    for made in (mixing.mixed(same), sharding.shards_of(same)):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 60_000 and len(sizes) > 2 and max(sizes) <= 40_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_row_stands_for_a_labelled_id(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 7}") for i in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 20)
+    assert sample.count() == 20 and sample.select("doc_id").distinct().count() == 20
+    again = toxicity.labelled_sample(docs.repartition(9), labels, "toxic", F.lit(True), 20)
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.collect()))
