@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,18 +31,21 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint, for tables that later passes read again.
+    """``df`` written as Parquet and read back, for tables that later passes read again.
 
     Files go to the folder of ``spark.checkpoint.dir``, which all executors
-    share; only a local session without that setting gets a temporary one.
+    share; only a local session without that setting gets a temporary one. A
+    table is computed once, where a checkpoint computes it twice, and later
+    passes read the columns that they need.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="photoflow-")
-        context.setCheckpointDir(path)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="photoflow-")
+        context.setCheckpointDir(folder)
+    path = f"{folder}/photoflow-{context.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -201,7 +201,7 @@ def clean(curves: DataFrame, how: Cleaning | None = None, **changes) -> Cleaned:
 
     tested = rows.join(metrics.select(*KEYS, "early_reason"), KEYS)
     scored = local_scores(tested.where("early_reason is null"), how.half_window, how.alpha, how.clip, how.exclude_center)
-    scored = scored.withColumn("is_outlier", F.coalesce(F.abs("z") > how.threshold, F.lit(False)))
+    scored = cut(scored.withColumn("is_outlier", F.coalesce(F.abs("z") > how.threshold, F.lit(False))))
     found = scored.groupBy(*KEYS).agg(F.count_if("is_outlier").alias("n_outliers"), F.max(F.abs("z")).alias("max_abs_local_z"))
     report = metrics.join(found, KEYS, "left")
     share = F.col("n_outliers") / F.col("n")

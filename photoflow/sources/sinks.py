@@ -57,9 +57,9 @@ def write_predictions(predictions: DataFrame, path: str, keys: tuple[str, ...] =
         failures.write.mode("overwrite").option("header", True).csv(f"{path}_errors")
 
 
-def write_delays(folder: str, estimates: DataFrame, profile: DataFrame | None = None, summary: DataFrame | None = None, samples: DataFrame | None = None, failed: DataFrame | None = None, form: str = "csv") -> None:
+def write_delays(folder: str, estimates: DataFrame | None, profile: DataFrame | None = None, summary: DataFrame | None = None, samples: DataFrame | None = None, failed_systems: DataFrame | None = None, form: str = "csv", **others: DataFrame) -> None:
     """The tables of a delay run that there are: arrays become text in CSV files."""
-    tables = {"estimates": estimates, "profile": profile, "summary": summary, "samples": samples, "failed_systems": failed}
+    tables = {"estimates": estimates, "profile": profile, "summary": summary, "samples": samples, "failed_systems": failed_systems, **others}
     for name, table in tables.items():
         if table is not None:
             flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct")) and form == "csv" else F.col(c) for c, kind in table.dtypes]

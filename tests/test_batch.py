@@ -4,10 +4,12 @@ import csv
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from photoflow.operators import spline_delay as S
 from photoflow.operators.interpolation_delay import Scan
 from photoflow.plans import batch
+from photoflow.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +41,13 @@ def test_spline_run_goes_on_where_it_stopped(spark, files):
     assert sorted(r.source for r in found["failed"].collect()) == ["008", "009"] and found["samples"].count() == 2
     assert abs(found["pair_delays"].first().delay - 20) < 1 and found["summary"].count() == 1
     again = batch.spline_run(spark, str(files / "curves.csv"), folder, str(files / "pairs.csv"), S.QUICK)
-    assert again["results"].count() == 3
+    assert again["results"].count() == 3 and again["samples"].count() == 2 and again["components"].first().component_j == "B"
+    r = again["diagnostics"].first()
+    assert len([c for c in again["diagnostics"].columns if c not in ("members", "delays")]) == 17
+    assert (r.source_id, r.comp_A_reference, r.comp_B, r.K) == ("007", "A", "B", 15) and abs(r.delay_B_minus_A - 20) < 1 and r.forced_to_min_plotted_LOO and r.lambda_median > 0
+    orphans = again["samples"].drop("bucket").withColumn("run", F.lit("died"))
+    sinks.write_by_source(orphans, folder + "/samples")
+    assert batch.written_samples(spark, again["results"], folder).count() == 2
 
 
 def test_command_line(spark, files, capsys):
