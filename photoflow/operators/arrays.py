@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .pairs import PAIR
 
+#: Rows of several kernels' results that are given back together.
+ROWS_AT_ONCE = 4096
 SIDES = ["ta", "ya", "sa", "tb", "yb", "sb"]
 
 
@@ -49,12 +51,21 @@ def mapped(rows: DataFrame, keys: list[str], kernel: Callable[..., dict], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            source: list[int] = []
+            parts: list[list[pa.Array]] = []
             for i in range(batch.num_rows):
                 found = kernel(*[plain(batch.column(len(keys) + k)[i]) for k in range(len(others))])
-                columns = [pa.array(found[f.name], type=arrow.field(f.name).type, from_pandas=True) for f in made]
-                n = len(columns[0])
-                heads = [pa.array([batch.column(k)[i].as_py()] * n, type=arrow.field(k).type) for k in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*heads, *columns], schema=arrow)
+                parts.append([pa.array(found[f.name], type=arrow.field(f.name).type, from_pandas=True) for f in made])
+                source += [i] * len(parts[-1][0])
+                if len(source) >= ROWS_AT_ONCE:
+                    yield gathered(batch, source, parts)
+                    source, parts = [], []
+            if parts:
+                yield gathered(batch, source, parts)
+
+    def gathered(batch: pa.RecordBatch, source: list[int], parts: list[list[pa.Array]]) -> pa.RecordBatch:
+        heads = [batch.column(k).take(pa.array(source, pa.int64())) for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*heads, *[pa.concat_arrays(c) for c in zip(*parts, strict=True)]], schema=arrow)
 
     return rows.select(*keys, *others).mapInArrow(run, full)
 

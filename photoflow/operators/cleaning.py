@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..cluster import cut
 from ..sources.curves import KEYS
 
 #: The standard deviation of a normal distribution over its median absolute deviation.
 SIGMA = 1.4826
+#: Windows that are scored at once.
+AT_ONCE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -110,67 +115,66 @@ def snr_verdict(how: Cleaning) -> Column:
     return verdict
 
 
-def middle(ordered: Column) -> Column:
-    """The median of an array in order; null if it is empty."""
-    n = F.size(ordered)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
-
-
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def hybrid_scale(values: Column, alpha: float = 0.7, clip: float = 2.5) -> Column:
-    """The median of an array and its robust scale, as a struct (center, scale):
-    alpha parts of the scaled median absolute deviation, the rest root mean
-    square of the residuals cut at ``clip`` such deviations. The scale is 0
-    where the deviation is, null for an empty array."""
+def window_scores(y: np.ndarray, half: int, alpha: float, clip: float, exclude: bool) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Of each value of a curve in order: median and robust scale of the window
+    around it, how many values that holds, and its z (NaN without a scale).
 
-    def scale(away: Column) -> Column:
-        return let(
-            middle(away) * SIGMA,
-            lambda mad: F.when(mad > 0, mad * alpha + F.sqrt(mean_of(F.transform(away, lambda v: F.pow(F.least(v, mad * clip), F.lit(2.0))))) * (1 - alpha)).when(mad == 0, 0.0),
-        )
-
-    def both(ordered: Column) -> Column:
-        return let(middle(ordered), lambda m: F.struct(m.alias("center"), scale(F.array_sort(F.transform(ordered, lambda v: F.abs(v - m)))).alias("scale")))
-
-    return let(F.array_sort(values), both)
+    The scale is alpha parts of the scaled median absolute deviation, the rest
+    root mean square of the residuals cut at ``clip`` such deviations; it is 0
+    where the deviation is.
+    """
+    n, width = len(y), min(2 * half + 1, len(y))
+    held = width - exclude
+    center, scale = np.full(n, np.nan), np.full(n, np.nan)
+    for start in range(0, n if held else 0, AT_ONCE):
+        place = np.arange(start, min(start + AT_ONCE, n))
+        at = np.clip(place - half, 0, n - width)[:, None] + np.arange(width)
+        near = y[at][at != place[:, None]].reshape(len(place), held) if exclude else y[at]
+        middle = np.median(near, axis=1)
+        away = np.abs(near - middle[:, None])
+        mad = SIGMA * np.median(away, axis=1)
+        cut_off = np.sqrt((np.minimum(away, clip * mad[:, None]) ** 2).mean(axis=1))
+        center[place], scale[place] = middle, np.where(mad > 0, alpha * mad + (1 - alpha) * cut_off, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.where(scale > 0, (y - center) / scale, np.nan)
+    return center, scale, held, z
 
 
 def local_scores(curves: DataFrame, half_window: int = 5, alpha: float = 0.7, clip: float = 2.5, exclude_center: bool = True, keys: list[str] = KEYS) -> DataFrame:
     """Adds local_median, local_scale, n_near and z of each point against its
-    neighbours in time.
+    neighbours in time (``window_scores``). Fluxes must not be null.
 
     The window holds 2 h + 1 points; near an end of the curve it slides inward
-    instead of shrinking. One sort per curve; ties in time by flux and error.
+    instead of shrinking. A curve's rows are gathered once, in order of time, flux
+    and error, and its windows are one kernel's work; ``spread.in_blocks``
+    divides curves that no task should hold.
     """
     if half_window < 1:
         raise ValueError("half_window must be at least 1")
-    width = 2 * half_window + 1
-    order = Window.partitionBy(*keys).orderBy("t", "y", "s")
-    rows = curves.select(
-        "*",
-        (F.row_number().over(order) - 1).alias("i"),
-        F.count("*").over(Window.partitionBy(*keys)).cast("int").alias("size"),
-        F.collect_list("y").over(order.rowsBetween(-2 * half_window, 2 * half_window)).alias("around"),
-    )
-    rows = rows.withColumn("first", F.greatest(F.lit(0), F.col("i") - 2 * half_window))
-    rows = rows.withColumn("lo", F.greatest(F.lit(0), F.least(F.col("i") - half_window, F.col("size") - width))).withColumn("hi", F.least(F.col("size"), F.col("lo") + width))
-    before = F.slice("around", F.col("lo") - F.col("first") + 1, F.col("i") - F.col("lo"))
-    after = F.slice("around", F.col("i") - F.col("first") + 2, F.col("hi") - F.col("i") - 1)
-    near = F.concat(before, after) if exclude_center else F.slice("around", F.col("lo") - F.col("first") + 1, F.col("hi") - F.col("lo"))
-    def score(found: Column, n: Column) -> Column:
-        z = F.when(found["scale"] > 0, (F.col("y") - found["center"]) / found["scale"])
-        return F.struct(found["center"].alias("local_median"), found["scale"].alias("local_scale"), n.alias("n_near"), z.alias("z"))
-
-    scored = rows.withColumn("local", let(near, lambda v: let(hybrid_scale(v, alpha, clip), lambda found: score(found, F.size(v)))))
-    return scored.select(*[c for c in curves.columns], "local.*")
+    others = [c for c in curves.columns if c not in (*keys, "t", "y", "s")]
+    rows = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "y", "s", *others))).alias("p"))
+    local = StructType([StructField("local_median", DoubleType()), StructField("local_scale", DoubleType()), StructField("n_near", IntegerType()), StructField("z", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField("local", ArrayType(local))])
+    kinds = (pa.float64(), pa.float64(), pa.int32(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(batch.num_columns - 1)
+            sizes = points.value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            y = points.flatten().field("y").to_numpy(zero_copy_only=False)
+            made = [window_scores(y[i:j], half_window, alpha, clip, exclude_center) for i, j in zip(ends, ends[1:], strict=False)]
+            columns = [np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.repeat([m[2] for m in made], sizes), np.concatenate([m[3] for m in made])]
+            found = pa.StructArray.from_arrays([pa.array(c, kind, from_pandas=True) for c, kind in zip(columns, kinds, strict=True)], names=local.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=schema.names)
+
+    scored = rows.mapInArrow(run, schema).select(*keys, F.explode(F.arrays_zip("p", "local")).alias("e"))
+    return scored.select(*[F.col(c) if c in keys else F.col(f"e.p.{c}").alias(c) for c in curves.columns], "e.local.*")
 
 
 @dataclass

@@ -187,20 +187,6 @@ def nearest_times(sides: DataFrame) -> DataFrame:
     )
 
 
-def cadence(sides: DataFrame, days: float = SPAN_DAYS) -> DataFrame:
-    """Per pair: how the two sides' samplings differ."""
-    side = gaps(sides, [*PAIR, "side"]).groupBy(*PAIR, "side").agg(
-        F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"),
-        F.coalesce(F.median("gap"), F.lit(0.0)).alias("gap_median"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_std"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap_max"),
-    )
-    cells = [c for c in side.columns if c not in (*PAIR, "side")]
-    a = side.where("side = 'a'").select(*PAIR, *[F.col(c).alias(f"{c}_a") for c in cells])
-    b = side.where("side = 'b'").select(*PAIR, *[F.col(c).alias(f"{c}_b") for c in cells])
-    apart = [F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"{c}_difference") for c in ("n", "gap_median", "gap_std", "gap_max")]
-    shared = F.greatest(F.lit(0.0), F.least("t1_a", "t1_b") - F.greatest("t0_a", "t0_b")) / days
-    return a.join(b, PAIR).select(*PAIR, *apart, shared.alias("span_overlap")).join(nearest_times(sides), PAIR)
-
-
 def merged_epochs(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points of equal time as one: weights are inverse variances."""
     weight = 1 / (F.col("s") * F.col("s"))

@@ -44,7 +44,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1: every packed point's channels, and how long the padded curve is."""
     rows = packed(spark, sf_dir).select(*K.KEYS, F.size("x").alias("length"), F.posexplode(F.arrays_zip("x", "mask")).alias("i", "p"))
-    named = [F.round(F.get("p.x", F.lit(k)).cast("double"), 4).alias(c) for k, c in enumerate(K.CHANNELS)]
+    named = [(F.round(F.get("p.x", F.lit(k)).cast("double"), 4) + 0.0).alias(c) for k, c in enumerate(K.CHANNELS)]
     return rows.where("p.mask = 1").select(*K.KEYS, "length", "i", *named)
 
 
@@ -62,7 +62,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.cadence(P.stretched(sides(spark, sf_dir))), 6)
+    return rounded(Q.cadence(P.stretched(sides(spark, sf_dir))), 6)
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ st AS (SELECT source, a, b, side, (t - t0) * (2000.0 / greatest(t1 - t0, 1.0)) A
 
 
 _SIDE = "source, a, b, side"
-PACKED = STRETCHED + f""", f1 AS (SELECT {_SIDE}, t::FLOAT::DOUBLE AS t, y::FLOAT::DOUBLE AS y, s::FLOAT::DOUBLE AS s FROM st),
+PACKED = STRETCHED + f""", f1 AS (SELECT {_SIDE}, t, y, s FROM st),
 f2 AS (SELECT {_SIDE}, median(y) AS mid, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr, stddev_pop(y) AS std FROM f1 GROUP BY ALL),
 f3 AS (SELECT {_SIDE}, median(abs(y - mid)) AS mad, any_value(mid) AS mid, any_value(iqr) AS iqr, any_value(std) AS std FROM f1 JOIN f2 USING ({_SIDE}) GROUP BY {_SIDE}),
 f4 AS (SELECT *, CASE WHEN 1.4826 * mad >= 1e-6 THEN 1.4826 * mad WHEN iqr / 1.349 >= 1e-6 THEN iqr / 1.349 WHEN std >= 1e-6 THEN std ELSE 1 END AS scale FROM f3),
@@ -224,7 +224,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "j5_component_pairs": f"WITH {LC}, u AS (SELECT DISTINCT source, component FROM lc) SELECT x.source, x.component AS a, y.component AS b FROM u AS x JOIN u AS y ON x.source = y.source AND x.component < y.component",
-    "p1_packed": PACKED + f""" SELECT source, a, b, side, 213 AS length, i::INTEGER AS i, {", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in K.CHANNELS)} FROM pk""",
+    "p1_packed": PACKED + f""" SELECT source, a, b, side, 213 AS length, i::INTEGER AS i, {", ".join(f"round({c}::DOUBLE, 4) + 0.0::DOUBLE AS {c}" for c in K.CHANNELS)} FROM pk""",
     "p2_unpacked": PACKED + " SELECT source, a, b, side, count(*) AS n, round(max(t_norm::DOUBLE * 2000), 3) AS last, round(sum(flux_norm::DOUBLE), 3) AS flux, round(sum(error_norm::DOUBLE), 3) AS error FROM pk GROUP BY source, a, b, side",
     "p4_pair_stats": PACKED + """ SELECT x.source, x.a, x.b, round((y.mid - x.mid) / 3, 5) AS median_difference, round(ln((y.scale + 1e-3) / (x.scale + 1e-3)), 5) AS scale_ratio, round(x.n / 213, 5) AS n_a, round(y.n / 213, 5) AS n_b,
       round(greatest(0, least(x.t1, y.t1) - greatest(x.t0, y.t0)) / 2000, 5) AS overlap, round((y.t1 - y.t0) / 2000 - (x.t1 - x.t0) / 2000, 5) AS span_difference FROM pi AS x JOIN pi AS y USING (source, a, b) WHERE x.side = 'a' AND y.side = 'b'""",
