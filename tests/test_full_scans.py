@@ -104,5 +104,5 @@ def test_correlations_of_all_delays(spark, sides, curves):
 
 def test_all_features_are_contrasted(spark, sides):
     found = plans.QUERIES["p16_full_contrasts"](spark, "")
-    assert {f"diff_signed_{c}" for c in plans.FEATURES.split()} <= set(found.columns) and len(found.columns) == 3 + 5 * 25
+    assert {f"diff_signed_{c}" for c in plans.FEATURES.split()} <= set(found.columns) and len(found.columns) == 3 + 5 * 24
     assert found.count() == 1
