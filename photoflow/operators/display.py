@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,3 +134,30 @@ def even_steps(low: Column, high: Column, n: int, by_factors: bool = False) -> C
     if by_factors:
         return F.transform(share, lambda f: low * F.pow(high / low, f))
     return F.transform(share, lambda f: low + (high - low) * f)
+
+
+def by_component(values: Mapping[str, float] | None, otherwise: float) -> Column:
+    """The value that a mapping has for a row's component."""
+    pairs = [F.lit(x) for k, v in (values or {}).items() for x in (str(k), float(v))]
+    return F.coalesce(F.create_map(*pairs)[F.col("component")], F.lit(float(otherwise))) if pairs else F.lit(float(otherwise))
+
+
+def component_table(
+    curves: DataFrame, components: list[str], mode: str = "raw", *, sources: list[str] | None = None, delays: Mapping[str, float] | None = None, delay: float = 0.0,
+    scales: Mapping[str, float] | None = None, offsets: Mapping[str, float] | None = None, window: int = 0, most: int | None = None,
+) -> DataFrame:
+    """One or two components ready to be drawn over each other: t moved by the
+    component's delay, y in a mode and then by its scale and offset, s by what
+    the mode and the scale do to errors, at (the time as a timestamp), smooth (a
+    moving mean over ``window`` points, null without one) and label.
+
+    Curves are thinned to ``most`` points before the mode looks at them.
+    Components without a delay of their own move by ``delay``.
+    """
+    rows = shown(curves, sources, components)
+    rows = in_mode(thinned(rows, most) if most else rows, mode)
+    scale, moved = by_component(scales, 1.0), by_component(delays, delay)
+    rows = rows.select(*KEYS, (F.col("t") + moved).alias("t"), (F.col("y") * scale + by_component(offsets, 0.0)).alias("y"), F.abs(F.col("s") * scale).alias("s"), moved.alias("moved"))
+    rows = smoothed(rows, window) if window else rows.withColumn("smooth", F.lit(None).cast("double"))
+    label = F.concat(F.lit("component "), F.col("component"), F.when(F.col("moved") != 0, F.concat(F.lit(" | delay="), F.format_string("%s", F.round("moved", 6)), F.lit(" d"))).otherwise(""))
+    return rows.select(*KEYS, "t", timestamp_of(F.col("t")).alias("at"), "y", "s", "smooth", label.alias("label"))

@@ -59,6 +59,13 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_items(spark, sf_dir).groupBy(*KEYS).agg(F.date_format(V.timestamp_of(F.min("t")), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
+def component_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: two components over each other, one moved, one scaled and lifted."""
+    rows = binned(line_items(spark, sf_dir)).select(*KEYS, "t", "y", "s")
+    found = V.component_table(rows, ["A", "N"], "minmax", delays={"N": 12.5}, scales={"A": -2.0}, offsets={"A": 3.0}, window=4)
+    return rounded(found.withColumn("at", F.date_format("at", "yyyy-MM-dd")), 7)
+
+
 _Z = BINS + """, k AS (SELECT source, component, median(y) AS mid, stddev_pop(y) AS std FROM b GROUP BY ALL), k2 AS (SELECT source, component, 1.4826 * median(abs(y - mid)) AS mad, any_value(std) AS std, any_value(mid) AS mid FROM b JOIN k USING (source, component) GROUP BY ALL),
 zz AS (SELECT source, component, t, y, s, (y - mid) / CASE WHEN mad > 1e-6 THEN mad WHEN std > 1e-6 THEN std ELSE 1 END AS z FROM b JOIN k2 USING (source, component))"""
 
@@ -82,6 +89,7 @@ QUERIES = {
     "w3_rolling_mad": spreads,
     "a13_weighted_median": medians,
     "x4_first_seen": clock,
+    "v1_component_table": component_table,
 }
 ORACLE_SQL = {
     "a2_greedy_merge": f"""WITH RECURSIVE {LC}, o AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY t, y, s) AS i FROM lc),
@@ -104,5 +112,9 @@ ORACLE_SQL = {
     "w3_rolling_mad": f"""WITH {BINS}, o AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY t, y, s) AS i FROM b), x AS (SELECT o.source, o.component, o.bin, n.y FROM o JOIN o AS n ON n.source = o.source AND n.component = o.component AND n.i BETWEEN o.i - 7 AND o.i + 7),
       m AS (SELECT source, component, bin, median(y) AS mid FROM x GROUP BY ALL) SELECT source, component, bin, round(any_value(mid), 11) AS rolling_median, round(greatest(1.4826 * median(abs(y - mid)), 0.05), 11) AS rolling_mad FROM x JOIN m USING (source, component, bin) GROUP BY source, component, bin""",
     "a13_weighted_median": f"WITH {LC}, r AS (SELECT source, component, y, sum(round(s)) OVER (PARTITION BY source, component ORDER BY y, round(s) ROWS UNBOUNDED PRECEDING) AS run, sum(round(s)) OVER (PARTITION BY source, component) AS total FROM lc) SELECT source, component, round(min(y), 8) AS weighted_median FROM r WHERE run >= total / 2 GROUP BY ALL",
+    "v1_component_table": f"""WITH {BINS}, m AS (SELECT source, component, t + CASE component WHEN 'N' THEN 12.5 ELSE 0 END AS t, (y - min(y) OVER g) / (max(y) OVER g - min(y) OVER g) AS y, s / (max(y) OVER g - min(y) OVER g) AS s FROM b WHERE component IN ('A', 'N') WINDOW g AS (PARTITION BY source, component)),
+      k AS (SELECT source, component, t, CASE component WHEN 'A' THEN y * -2 + 3 ELSE y END AS y, CASE component WHEN 'A' THEN s * 2 ELSE s END AS s FROM m)
+      SELECT source, component, round(t, 7) AS t, strftime(make_timestamp(round((t - 2440587.5) * 86400e6::DOUBLE)::BIGINT), '%Y-%m-%d') AS at, round(y, 7) AS y, round(s, 7) AS s,
+        round(avg(y) OVER (PARTITION BY source, component ORDER BY t, y, s ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 7) AS smooth, 'component ' || component || CASE component WHEN 'N' THEN ' | delay=12.5 d' ELSE '' END AS label FROM k""",
     "x4_first_seen": "SELECT l_suppkey::VARCHAR AS source, l_returnflag AS component, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS first_seen FROM lineitem GROUP BY ALL",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import MISSING, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,22 @@ def profile(text: str, name: str) -> dict:
     return {k: v for k, v in profiles[name].items() if k != "_description"}
 
 
+def setting(config: object, name: str, default: object) -> object:
+    """A setting of a mapping or of an object's attribute, else the default."""
+    return config.get(name, default) if isinstance(config, Mapping) else getattr(config, name, default)
+
+
+def settings(kind: type, config: object, **names: str):
+    """A dataclass of settings from a mapping or an object: fields that it has,
+    under their own name or the one that ``names`` gives; all others by default."""
+    found = {}
+    for f in fields(kind):
+        value = setting(config, names.get(f.name, f.name), MISSING)
+        if value is not MISSING:
+            found[f.name] = value
+    return kind(**found)
+
+
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items of a folder, seen as curves: a supplier is a source, a
     return flag its component, the price a flux, the discount sets its error."""

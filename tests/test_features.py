@@ -11,6 +11,8 @@ from photoflow.operators import display as V
 from photoflow.operators import pair_scan as Q
 from photoflow.operators import pairs as P
 from photoflow.operators import sampling as G
+from photoflow.operators.cleaning import Cleaning
+from photoflow.sources import curves as curve_files
 from photoflow.sources import sinks
 
 CURVE = "source string, component string, t double, y double, s double"
@@ -163,3 +165,29 @@ def test_merged_windows_are_those_of_a_plain_loop(spark):
         at += len(block)
     found = K.merged_windows(spark.createDataFrame(rows, CURVE)).orderBy("t").collect()
     assert [(r.t, r.y, r.n) for r in found] == [pytest.approx(w) for w in wanted]
+
+
+def test_component_table_and_settings(spark):
+    rows = [("s", c, 2459000.5 + i, float(i), 0.5) for c in "AB" for i in range(5)]
+    table = spark.createDataFrame(rows, CURVE)
+    found = V.component_table(table, ["A", "B"], "first=0", delays={"B": 2.0}, delay=-1.0, scales={"B": -2.0}, offsets={"A": 10.0}, window=3, most=3).orderBy("component", "t").collect()
+    assert [(r.component, r.t - 2459000.5, r.y, r.s) for r in found] == [("A", -1.0, 10.0, 0.5), ("A", 1.0, 12.0, 0.5), ("A", 3.0, 14.0, 0.5), ("B", 2.0, 0.0, 1.0), ("B", 4.0, -4.0, 1.0), ("B", 6.0, -8.0, 1.0)]
+    assert found[0].label == "component A | delay=-1.0 d" and found[4].smooth == -4.0 and str(found[3]["at"]) == "2020-06-02 00:00:00"
+    plain = V.component_table(table, ["A"]).first()
+    assert plain.label == "component A" and plain.smooth is None
+    with pytest.raises(ValueError):
+        V.component_table(table, ["A", "B", "C"])
+
+    class Saved:
+        bin_days, threshold = 2.0, 5.0
+
+    assert curve_files.settings(Cleaning, {"bin_days": 1.0, "other": 3}) == Cleaning(bin_days=1.0)
+    assert curve_files.settings(Cleaning, Saved()) == Cleaning(bin_days=2.0, threshold=5.0)
+    assert curve_files.settings(Cleaning, {"days": 7.0}, bin_days="days").bin_days == 7.0 and curve_files.setting(None, "x", 4) == 4
+
+
+def test_group_columns():
+    assert curve_files.group_columns(["flux", "componentID", "source_id"]) == ["source_id", "componentID"]
+    assert curve_files.group_columns(["componentID"]) == ["componentID"]
+    with pytest.raises(ValueError):
+        curve_files.group_columns(["flux"])
