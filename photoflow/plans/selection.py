@@ -184,7 +184,7 @@ def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D13: fluxes whose error is large are gaps, filled from their neighbours."""
     rows = line_items(spark, sf_dir).withColumn("y", F.when(F.col("s") < 20, F.col("y")))
     found = W.gaps_filled(rows, KEYS, ("t", "s"), "y")
-    return found.select(*KEYS, F.round("t", 7).alias("t"), F.round("y", 7).alias("y"), F.round("s", 9).alias("s"))
+    return found.select(*KEYS, F.round("t", 7).alias("t"), F.round("y", 10).alias("y"), F.round("s", 9).alias("s"))
 
 
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +309,7 @@ ORACLE_SQL = {
     "d13_gaps_filled": f"""WITH {LC}, o AS (SELECT *, row_number() OVER w AS i, CASE WHEN s < 20 THEN y END AS v FROM lc WINDOW w AS (PARTITION BY source, component ORDER BY t, s)),
       k AS (SELECT source, component, i, v FROM o WHERE v IS NOT NULL), a AS (SELECT o.*, k.i AS ia, k.v AS va FROM o ASOF LEFT JOIN k ON o.source = k.source AND o.component = k.component AND o.i >= k.i),
       b AS (SELECT a.*, k.i AS ib, k.v AS vb FROM a ASOF LEFT JOIN k ON a.source = k.source AND a.component = k.component AND a.i <= k.i)
-      SELECT source, component, round(t, 7) AS t, round(CASE WHEN va IS NULL AND vb IS NULL THEN 0 WHEN va IS NULL THEN vb WHEN vb IS NULL OR ia = ib THEN va ELSE va + (vb - va) * ((i - ia) / (ib - ia)) END, 7) AS y, round(s, 9) AS s FROM b""",
+      SELECT source, component, round(t, 7) AS t, round(CASE WHEN va IS NULL AND vb IS NULL THEN 0 WHEN va IS NULL THEN vb WHEN vb IS NULL OR ia = ib THEN va ELSE va + (vb - va) * ((i - ia) / (ib - ia)) END, 10) AS y, round(s, 9) AS s FROM b""",
     "g11_cadence": f"WITH {LC}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY source, component ORDER BY t, y, s) AS gap FROM lc) SELECT source, component, count(*) AS n, round(avg(gap), 8) AS mean, round(median(gap), 8) AS median, round(max(gap), 8) AS most FROM g GROUP BY source, component",
     "v4_histogram": f"WITH {LC} SELECT source, component, CASE WHEN y < 10 THEN 0 WHEN y >= 90 THEN 21 ELSE floor((y - 10) / 80 * 20)::BIGINT + 1 END AS bucket, count(*) AS n FROM lc GROUP BY ALL",
     "m6_event_tensor": f"""WITH {BINS}, n AS (SELECT *, row_number() OVER (PARTITION BY source, component ORDER BY t DESC, y DESC) AS back FROM b), l AS (SELECT source, component, t, y FROM n WHERE back <= 128),
