@@ -131,10 +131,10 @@ class Pieces:
 
     ``identity``: the normaliser only marks spaces, puts one in front, and no
     piece is user-defined, so that prefixes of texts are prefixes of what the
-    machine reads.
+    machine reads. ``most`` bounds a generation of the table of pairs.
     """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, most: int = TABLE_BYTES):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         spec = proto.ModelProto()
@@ -172,7 +172,7 @@ class Pieces:
             node[""] = piece
         self.split = self._split()
         self.halves: dict[str, tuple[str, str]] = {}
-        self.apart = Bounded(self._apart)
+        self.apart = Bounded(self._apart, most)
 
     def _split(self) -> Callable[[str], list[str]]:
         """Cuts a normalised text into chunks that no piece spans; into one chunk

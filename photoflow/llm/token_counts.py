@@ -19,6 +19,8 @@ from .base import map_texts, table, worker_table
 from .pieces import Bounded, Pieces, default_model, shared_model
 
 LIMIT = 4096
+#: A generation of the tables of chunks' steps and of pairs; a worker holds no others.
+TABLE_BYTES = 48 << 20
 
 
 def prefix_steps(chunk: str, model: Pieces) -> bytes:
@@ -41,7 +43,7 @@ class Counter:
         if not model.identity or not model.byte_ids:
             raise ValueError("counts of prefixes need the identity normaliser with a space in front, no user-defined pieces, and byte fallback")
         self.model = model
-        self.steps = Bounded(lambda chunk: prefix_steps(chunk, model))
+        self.steps = Bounded(lambda chunk: prefix_steps(chunk, model), TABLE_BYTES)
 
     def of_text(self, text: str) -> bytes:
         if not text:
@@ -77,7 +79,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
     shared = shared_model(docs.sparkSession, model_path)
 
     def kernel(texts: list[bytes]) -> dict:
-        counter = worker_table(("prefixes", shared.value), lambda: Counter(Pieces(shared.value)))
+        counter = worker_table(("prefixes", shared.value), lambda: Counter(Pieces(shared.value, TABLE_BYTES)))
         steps = [counter.of_text(t.decode("utf-8", "replace")) for t in texts]
         tokens = [int(np.frombuffer(s, dtype=np.int8).sum(dtype=np.int64)) for s in steps]
         return {
