@@ -12,10 +12,12 @@ from photoflow.operators import pair_scan as Q
 from photoflow.operators import pairs as P
 from photoflow.operators import sampling as G
 from photoflow.operators.cleaning import Cleaning
+from photoflow.plans import pairs as plans
 from photoflow.sources import curves as curve_files
 from photoflow.sources import sinks
 
 CURVE = "source string, component string, t double, y double, s double"
+SMALL = "/root/testdata/sf0.001"
 
 
 def rows_of(component, delay, seed, n=60):
@@ -191,3 +193,14 @@ def test_group_columns():
     assert curve_files.group_columns(["componentID"]) == ["componentID"]
     with pytest.raises(ValueError):
         curve_files.group_columns(["flux"])
+
+
+def test_slope_per_day(spark, curves):
+    table = spark.createDataFrame([*curves, ("s", "C", 5.0, 1.0, 0.05)], CURVE)
+    found = {r.component: r.trend_per_day for r in P.curve_features(table, ["source", "component"], per_day=True).collect()}
+    for c in "AB":
+        t, y = np.array([r[2:4] for r in curves if r[1] == c]).T
+        assert found[c] == pytest.approx(np.polyfit(t, y, 1)[0])
+    assert found["C"] == 0
+    names = plans.QUERIES["p9_curve_features"](spark, SMALL).columns
+    assert names.index("trend_per_day") == names.index("y_kurt") + 1 and len(names) == 27
