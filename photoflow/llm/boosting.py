@@ -1,15 +1,24 @@
-"""Gradient boosting of small trees on a small table of numbers, and thresholds
-calibrated on held-out rows."""
+"""Gradient boosting of small trees, and thresholds calibrated on held-out rows.
+
+Trees grow from sums over rows alone: weights of each column's values, and per
+level slopes and curvatures of the loss in each bin. Whoever calls says how
+they are summed: over arrays (``boosted``), or over tasks. Sums are whole
+numbers of 1 / UNIT, so neither their order nor a division of the rows matters.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 
 DEPTH = 3
 BINS = 24
 SHRINK = 1.0
+#: What a row of weight one counts.
+UNIT = 1 << 30
+INNER = 2**DEPTH - 1
 
 
 @dataclass
@@ -32,42 +41,89 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2) -> Trees:
-    """Trees fitted one after another to the slope of the log loss."""
-    edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
-    bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    margin, inner = np.full(len(y), bias), 2**DEPTH - 1
-    features, cuts, leaves = [], [], []
+@dataclass
+class Growing:
+    """Trees over numbers of bins: feature and last bin to the left of each inner
+    node, and leaf values, which the tree that still grows lacks."""
+
+    bias: float
+    features: list[np.ndarray] = field(default_factory=list)
+    places: list[np.ndarray] = field(default_factory=list)
+    leaves: list[np.ndarray] = field(default_factory=list)
+
+
+def edges_of(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Cuts between the bins of a column, from its sorted values and their weights."""
+    ends = np.cumsum(weights)
+    return np.unique(values[np.searchsorted(ends, np.linspace(0, 1, BINS + 1)[1:-1] * ends[-1])])
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def first_bias(right: int, every: int) -> float:
+    return float(np.log((right + 0.5 * UNIT) / (every - right + 0.5 * UNIT)))
+
+
+def descended(bins: np.ndarray, feature: np.ndarray, place: np.ndarray, levels: int) -> np.ndarray:
+    rows, node = np.arange(len(bins)), np.zeros(len(bins), dtype=np.int64)
+    for _ in range(levels):
+        node = 2 * node + 1 + (bins[rows, feature[node]] > place[node])
+    return node
+
+
+def slope_sums(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, grown: Growing, level: int) -> np.ndarray:
+    """Slopes and curvatures of the loss, summed by node of a level of the last
+    tree, column and bin."""
+    margin = np.full(len(y), grown.bias)
+    for feature, place, leaf in zip(grown.features, grown.places, grown.leaves, strict=False):
+        margin += leaf[descended(bins, feature, place, DEPTH) - INNER]
+    p = 1 / (1 + np.exp(-margin))
+    node = descended(bins, grown.features[-1], grown.places[-1], level) - (2**level - 1)
+    columns = bins.shape[1]
+    at = (bins + (np.arange(columns) + columns * node[:, None]) * BINS).ravel()
+    sums = [np.bincount(at, np.repeat(np.rint(weight * v), columns), 2**level * columns * BINS) for v in (y - p, p * (1 - p))]
+    return np.array(sums).astype(np.int64)
+
+
+def grown_trees(sums: Callable[[Growing, int], np.ndarray], edges: list[np.ndarray], bias: float, rounds: int = 60, rate: float = 0.2) -> Trees:
+    """Trees fitted one after another to the slope of the log loss; ``sums`` gives
+    ``slope_sums`` over all rows."""
+    grown = Growing(bias)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
-        node = np.zeros(len(y), dtype=np.int64)
+        feature, place = np.zeros(INNER, dtype=np.int64), np.full(INNER, BINS)
+        grown.features.append(feature)
+        grown.places.append(place)
         for level in range(DEPTH):
-            for at in range(2**level - 1, 2 ** (level + 1) - 1):
-                held = node == at
-                found = best_split(bins[held], g[held], h[held])
+            g, h = (sums(grown, level) / UNIT).reshape(2, 2**level, len(edges), BINS)
+            for k in range(2**level):
+                found = best_split(g[k], h[k])
                 if found is not None:
-                    feature[at], cut[at] = found[0], edges[found[0]][found[1]]
-            node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > cut[node])
-        place = node - inner
-        leaf = rate * np.bincount(place, g, inner + 1) / (np.bincount(place, h, inner + 1) + SHRINK)
-        margin += leaf[place]
-        features.append(feature)
-        cuts.append(cut)
-        leaves.append(leaf)
-    return Trees(bias, np.array(features), np.array(cuts), np.array(leaves))
-
-
-def best_split(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
-    """(feature, edge) of the split that gains most, if any does."""
-    if not len(g):
-        return None
-    columns = bins.shape[1]
-    at = (bins + np.arange(columns) * BINS).ravel()
-    gs = np.bincount(at, np.repeat(g, columns), columns * BINS).reshape(columns, BINS).cumsum(axis=1)
-    hs = np.bincount(at, np.repeat(h, columns), columns * BINS).reshape(columns, BINS).cumsum(axis=1)
+                    feature[2**level - 1 + k], place[2**level - 1 + k] = found
+        leaf = []
+        for k in range(2**level):
+            at = 2**level - 1 + k
+            for side in (slice(0, place[at] + 1), slice(place[at] + 1, BINS)):
+                leaf.append(rate * g[k, feature[at], side].sum() / (h[k, feature[at], side].sum() + SHRINK))
+        grown.leaves.append(np.array(leaf))
+    cuts = [[edges[f][p] if p < BINS else np.inf for f, p in zip(*nodes, strict=True)] for nodes in zip(grown.features, grown.places, strict=True)]
+    return Trees(bias, np.array(grown.features), np.array(cuts), np.array(grown.leaves))
+
+
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
+    """Trees from arrays; a row of weight UNIT counts once."""
+    columns = [np.unique(x[:, i], return_inverse=True) for i in range(x.shape[1])]
+    edges = [edges_of(values, np.bincount(at, weight)) for values, at in columns]
+    bins = binned(x, edges)
+    bias = first_bias(int(weight[y > 0].sum()), int(weight.sum()))
+    return grown_trees(lambda grown, level: slope_sums(bins, y, weight, grown, level), edges, bias)
+
+
+def best_split(g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
+    """(column, last bin to the left) of the split that gains most, if any does,
+    from slopes and curvatures by column and bin."""
+    gs, hs = g.cumsum(axis=1), h.cumsum(axis=1)
     rest_g, rest_h = gs[:, -1:] - gs, hs[:, -1:] - hs
     gain = gs**2 / (hs + SHRINK) + rest_g**2 / (rest_h + SHRINK) - gs[:, -1:] ** 2 / (hs[:, -1:] + SHRINK)
     gain[:, -1] = 0.0
@@ -75,9 +131,9 @@ def best_split(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int
     return (int(i), int(j)) if gain[i, j] > 1e-9 else None
 
 
-def least_threshold(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on the accepted rows reach a precision; 1 beyond any score if none does."""
-    order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    enough = np.flatnonzero(right >= precision)
-    return max(0.5, float(scores[order[enough[-1]]])) if len(enough) else 2.0
+def least_threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -> float:
+    """The least score from which on the accepted rows reach a precision; 2, beyond any score, if none does."""
+    values, at = np.unique(-scores, return_inverse=True)
+    right, every = np.bincount(at, weight * y).cumsum(), np.bincount(at, weight).cumsum()
+    enough = np.flatnonzero(right >= precision * every)
+    return max(0.5, float(-values[enough[-1]])) if len(enough) else 2.0

@@ -22,11 +22,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import hash52, map_texts, staged, table
-from .boosting import Trees, boosted, least_threshold
+from .base import free_worker_table, hash52, map_texts, running_sum, staged, table
+from .boosting import UNIT, Growing, Trees, binned, boosted, edges_of, first_bias, grown_trees, least_threshold, slope_sums
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -47,8 +48,11 @@ HOSTS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:
 BLOCK = 1 << 14
 #: Context looked at before and after a candidate, in characters.
 AROUND = 28
-#: Candidates of documents that the trees are fitted on: so many of each kind and label at most, the first by a hash.
-MOST_CANDIDATES = 2000
+#: All candidates of documents count; those of one kind and label together as
+#: much as so many invented lines at most, so that the lines' formats stay known.
+MOST_WEIGHT = 2000
+#: The precision that thresholds reach on held-out documents and lines.
+PRECISION = 0.995
 CUES = tuple(
     re.compile(rf"\b(?:{w})", re.IGNORECASE)
     for w in (
@@ -303,35 +307,137 @@ def apart(text: str, base: list[Span]) -> Iterator[Span]:
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def document_examples(docs: DataFrame) -> tuple[Rows, Rows]:
-    """Described candidates, labels and kinds of documents to fit on, and of held-out
-    ones (a fourth, by a hash of the text): MOST_CANDIDATES of each kind and label at most."""
+def weak_rows(docs: DataFrame) -> DataFrame:
+    """held (of a fourth of the documents, by a hash of the text), kind, label and
+    the description x of every candidate of every document."""
     schema = "examples array<struct<kind: int, label: int, x: array<double>>>"
 
     def kernel(texts: list[bytes]) -> dict:
         return {"examples": [[{"kind": k, "label": y, "x": x} for k, y, x in weak_examples(t.decode("utf-8", "replace"))] for t in texts]}
 
     found = map_texts(docs, kernel, schema, {"held": (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)})
-    rows = staged(found.select("held", F.explode("examples").alias("e")).select("held", "e.*").withColumn("place", hash52(F.to_json(F.struct("kind", "label", "x")))))
-    parts: list[list] = [[], []]
-    for kind in range(len(KINDS)):
-        for label in (0, 1):
-            for held in (False, True):
-                some = rows.where((F.col("kind") == kind) & (F.col("label") == label) & (F.col("held") == held))
-                parts[held] += some.orderBy("place", "x").limit(MOST_CANDIDATES).select("x", "label", "kind").collect()
+    return staged(found.select("held", F.explode("examples").alias("e")).select("held", "e.*"))
+
+
+def document_examples(docs: DataFrame) -> tuple[Rows, Rows]:
+    """Described candidates, labels and kinds of documents to fit on, and of
+    held-out ones, as arrays: for small tables (``trained_by`` fits on any)."""
+    rows = weak_rows(docs).withColumn("place", hash52(F.to_json(F.struct("kind", "label", "x")))).orderBy("kind", "label", "place", "x").collect()
     width = len(described("1", (0, 3, 1)))
+    parts = [[r for r in rows if r.held == held] for held in (False, True)]
     made = [(np.array([r.x for r in p], dtype=float).reshape(-1, width), np.array([r.label for r in p], dtype=float), np.array([r.kind for r in p], dtype=int)) for p in parts]
     return made[0], made[1]
 
 
+def class_weight(n: int) -> int:
+    """What a candidate of documents weighs, of which there are n of its kind and label."""
+    return round(min(1.0, MOST_WEIGHT / max(n, 1)) * UNIT)
+
+
+def class_weights(y: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    at = 2 * kinds + y.astype(int)
+    return np.array([class_weight(n) for n in np.bincount(at, minlength=2 * len(KINDS))], dtype=float)[at]
+
+
 def trained_on(fitted: Rows | None, held: Rows | None) -> tuple[Trees, np.ndarray]:
-    """The trees, and for each kind the least threshold that reaches a precision of
-    0.995 on held-out documents and invented lines that were not trained on."""
-    groups = [examples(1, 4000), *([fitted] if fitted else [])], [examples(2, 4000), *([held] if held else [])]
-    (x, y, _), (held_x, held_y, held_kinds) = (tuple(np.concatenate(c) for c in zip(*g, strict=True)) for g in groups)
-    trees = boosted(x, y)
-    scores = trees.scores(held_x)
-    return trees, np.array([least_threshold(scores[held_kinds == k], held_y[held_kinds == k], 0.995) for k in range(len(KINDS))])
+    """The trees, and for each kind the least threshold that reaches PRECISION on
+    held-out documents and invented lines that were not trained on."""
+
+    def joined_with(lines: Rows, found: Rows | None) -> tuple[np.ndarray, ...]:
+        weighed = [(*lines, np.full(len(lines[1]), float(UNIT))), *([(*found, class_weights(found[1], found[2]))] if found else [])]
+        return tuple(np.concatenate(c) for c in zip(*weighed, strict=True))
+
+    x, y, _, weight = joined_with(examples(1, 4000), fitted)
+    held_x, held_y, held_kinds, held_weight = joined_with(examples(2, 4000), held)
+    trees = boosted(x, y, weight)
+    scores, of = trees.scores(held_x), [held_kinds == k for k in range(len(KINDS))]
+    return trees, np.array([least_threshold(scores[m], held_y[m], held_weight[m], PRECISION) for m in of])
+
+
+def trained_by(docs: DataFrame) -> tuple[Trees, np.ndarray]:
+    """``trained_on`` for all candidates of all documents, which stay in tasks.
+
+    The driver gets counts of each column's values (formats bound how many there
+    are) and, for each level of a tree, one table of sums a task of packed
+    candidates; thresholds come from running sums over the held-out scores.
+    """
+    rows = weak_rows(docs)
+    counts = {(r.held, r.kind, r.label): r.n for r in rows.groupBy("held", "kind", "label").agg(F.count("*").alias("n")).collect()}
+    weights = {h: [class_weight(counts.get((h, k, y), 0)) for k in range(len(KINDS)) for y in (0, 1)] for h in (False, True)}
+    x, y, _ = examples(1, 4000)
+    own = np.full(len(y), float(UNIT))
+    seen: list[dict[float, float]] = [{} for _ in range(x.shape[1])]
+    for i, column in enumerate(seen):
+        values, n = np.unique(x[:, i], return_counts=True)
+        column.update(zip(values.tolist(), (n * float(UNIT)).tolist(), strict=True))
+    for r in rows.where("not held").select("kind", "label", F.posexplode("x").alias("i", "value")).groupBy("kind", "label", "i", "value").agg(F.count("*").alias("n")).collect():
+        seen[r.i][r.value] = seen[r.i].get(r.value, 0.0) + r.n * weights[False][2 * r.kind + r.label]
+    edges = [edges_of(np.array(sorted(c)), np.array([c[v] for v in sorted(c)])) for c in seen]
+    every = {y: sum(counts.get((False, k, y), 0) * weights[False][2 * k + y] for k in range(len(KINDS))) for y in (0, 1)}
+    right = int(own[y > 0].sum()) + every[1]
+    bias = first_bias(right, int(own[y == 0].sum()) + every[0] + right)
+    blocks, bins = packed_candidates(rows.where("not held"), edges, weights[False]), binned(x, edges)
+
+    def sums(grown: Growing, level: int) -> np.ndarray:
+        return sum(summed(blocks, grown, level), slope_sums(bins, y, own, grown, level))
+
+    trees = grown_trees(sums, edges, bias)
+    return trees, thresholds_of(rows.where("held"), trees, weights[True])
+
+
+def packed_candidates(rows: DataFrame, edges: list[np.ndarray], weights: list[int]) -> DataFrame:
+    """Blocks of candidates as bytes: numbers of bins, labels and weights."""
+    of = np.array(weights, dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
+        for batch in batches:
+            kind, label = (np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1))
+            x = np.asarray(batch.column(2).flatten()).reshape(len(kind), -1)
+            made = [binned(x, edges).tobytes(), label.astype(np.uint8).tobytes(), of[2 * kind + label].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.binary()) for m in made], names=["bins", "label", "weight"])
+
+    return staged(rows.select("kind", "label", "x").mapInArrow(run, "bins binary, label binary, weight binary"))
+
+
+def summed(blocks: DataFrame, grown: Growing, level: int) -> list[np.ndarray]:
+    """Each task's ``slope_sums``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            for bins, label, weight in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                y = np.frombuffer(label, dtype=np.uint8).astype(float)
+                part = slope_sums(np.frombuffer(bins, dtype=np.uint8).reshape(len(y), -1), y, np.frombuffer(weight), grown, level)
+                found = part if found is None else found + part
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["sums"])
+
+    return [np.frombuffer(r.sums, dtype=np.int64).reshape(2, -1) for r in blocks.mapInArrow(run, "sums binary").collect()]
+
+
+def thresholds_of(held: DataFrame, trees: Trees, weights: list[int]) -> np.ndarray:
+    """For each kind the least threshold of PRECISION, from all held-out candidates and lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
+        for batch in batches:
+            x = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees.scores(x))], names=["kind", "label", "score"])
+
+    spark = held.sparkSession
+    found = held.select("kind", "label", "x").mapInArrow(run, "kind int, label int, score double").groupBy("kind", "label", "score").agg(F.count("*").alias("n"))
+    of_class = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), 2 * F.col("kind") + F.col("label"))
+    found = found.withColumn("weight", F.col("n") * of_class).drop("n")
+    x, y, kinds = examples(2, 4000)
+    lines = [(int(k), int(label), float(score), UNIT) for k, label, score in zip(kinds, y, trees.scores(x), strict=True)]
+    both = found.unionByName(spark.createDataFrame(lines, "kind int, label int, score double, weight long"))
+    grouped = both.groupBy("kind", "score").agg(F.sum(F.col("weight") * F.col("label")).alias("right"), F.sum("weight").alias("every"))
+    grouped = staged(grouped.withColumn("bucket", F.floor(64 * F.ln((1 - F.col("score")) / F.col("score")))))
+    best = [F.desc("score")]
+    ranked = running_sum(running_sum(grouped, ["kind"], "bucket", best, F.col("right"), "right_so_far"), ["kind"], "bucket", best, F.col("every"), "so_far")
+    least = dict(ranked.where(F.col("right_so_far") >= PRECISION * F.col("so_far")).groupBy("kind").agg(F.min("score")).collect())
+    return np.array([max(0.5, least[k]) if k in least else 2.0 for k in range(len(KINDS))])
 
 
 @lru_cache(maxsize=1)
@@ -397,10 +503,10 @@ def personal_data(docs: DataFrame, keys: dict[str, Column] | None = None) -> Dat
     and kind; ``redacted`` is the whole text without them. A null text is
     empty; an empty text has no spans. Rows that repeat are searched each;
     columns beyond doc_id and text are not looked at. An empty table gives no
-    rows. Texts of any length are searched whole. The trees are fitted on a
-    bounded number of candidates of ``docs`` (MOST_CANDIDATES) and invented lines.
+    rows. Texts of any length are searched whole. The trees are fitted on all
+    candidates of ``docs`` and invented lines (``trained_by``).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained_on(*document_examples(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(trained_by(docs))
 
     def kernel(texts: list[bytes]) -> dict:
         whole = [t.decode("utf-8", "replace") for t in texts]

@@ -72,3 +72,22 @@ def test_repeated_rows_and_long_texts(spark):
     assert [(r.doc_id, r.spans) for r in rows] == [(None, ""), (1, "phone:5:19"), (1, "phone:5:19"), (2, "phone:1000005:1000019"), (3, "")]
     assert rows[1].redacted == "call [PHONE]"
     assert docs.where(F.lit(False)).transform(pii.personal_data).count() == 0
+
+
+def test_all_candidates_train(spark, monkeypatch):
+    """More candidates than one weight stands for: every one counts, in tasks as in arrays."""
+    monkeypatch.setattr(pii, "MOST_WEIGHT", 10)
+    docs = spark.read.parquet(DOCUMENTS)
+    fitted, held = pii.document_examples(docs)
+    every = sum(1 for r in docs.collect() for _ in pii.weak_examples(r.text or ""))
+    assert len(fitted[1]) + len(held[1]) == every and max(np.bincount(2 * fitted[2] + fitted[1].astype(int))) > 10
+    (wanted, limits), (found, own) = pii.trained_on(fitted, held), pii.trained_by(docs)
+    for name in ("features", "cuts", "leaves"):
+        assert np.array_equal(getattr(found, name), getattr(wanted, name))
+    assert found.bias == wanted.bias and np.array_equal(own, limits)
+
+
+def test_no_cap_on_candidates(spark):
+    docs = spark.createDataFrame([(i, f"serial {10**9 + 7 * i} of many") for i in range(3000)], "doc_id long, text string")
+    fitted, held = pii.document_examples(docs)
+    assert len(fitted[1]) + len(held[1]) == sum(1 for r in docs.collect() for _ in pii.weak_examples(r.text)) >= 3000
