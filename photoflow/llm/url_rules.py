@@ -3,6 +3,8 @@
 The tokens of labelled URLs and their label are transactions.  Spark's
 FP-growth finds the frequent combinations; those that imply the label often
 enough, and more often than chance and than any part of them does, are rules.
+Where a URL has so many frequent tokens that all its subsets are too many, the
+same rules are found level by level from sets of which every part has more URLs.
 An inverted index holds each rule under its rarest token, so a URL meets only
 rules whose rarest token it has.
 """
@@ -10,6 +12,7 @@ rules whose rarest token it has.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +33,8 @@ LEAST_URLS, LEAST_SUPPORT = 10, 0.001
 #: So many of the URLs that have a rule's tokens must be bad, and so many
 #: deviations more than the rate of all labelled URLs leads one to expect.
 LEAST_CONFIDENCE, LEAST_DEVIATIONS = 0.5, 4.0
-#: A labelled URL enters the mining with so many of its frequent tokens, the rarest first.
-MOST_TOKENS = 16
+#: If a labelled URL has more frequent tokens than these, the rules are mined level by level.
+MOST_SUBSETS_OF = 16
 #: The item that says that a URL is bad; no token begins like this.
 BAD = "=bad"
 
@@ -76,21 +79,61 @@ def labelled_urls(pages: DataFrame, bad: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg((F.avg("bad") >= 0.5).cast("int").alias("bad"))
 
 
-def transactions(urls: DataFrame, least: int) -> DataFrame:
-    """items of each labelled URL (key, bad, tokens): its frequent tokens, and BAD.
+def frequent_items(urls: DataFrame, least: int, total: int) -> DataFrame:
+    """key, bad and held (structs n, token, the rarest first) of each labelled URL
+    (key, bad, tokens): its frequent tokens, and how many URLs have each.
 
     Tokens that the very same URLs have are one item (the first of them), and
     those that all have are none, as neither tells URLs apart. URLs with equal
     coverage are recognised by a count and a sum of hashes.
     """
-    total = urls.count()
     each = staged(urls.select("key", F.explode("tokens").alias("token")))
     cover = F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)"))
     kept = each.groupBy("token").agg(F.count("*").alias("n"), cover.alias("cover")).where((F.col("n") >= least) & (F.col("n") < total))
     items = kept.groupBy("n", "cover").agg(F.min("token").alias("token")).select("token", "n")
     held = each.join(items, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
-    tokens = F.coalesce(F.slice(F.col("held.token"), 1, MOST_TOKENS), F.array().cast("array<string>"))
-    return urls.join(held, "key", "left").select(F.concat(tokens, F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    return urls.select("key", "bad").join(held, "key", "left")
+
+
+def frequent_sets(held: DataFrame, least: float, total: int) -> DataFrame:
+    """items, support and hits of the sets that FP-growth finds with BAD."""
+    tokens = F.coalesce(F.col("held.token"), F.array().cast("array<string>"))
+    rows = held.select(F.concat(tokens, F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    miner = FPGrowth(itemsCol="items", minSupport=max(1, least) / total, numPartitions=held.sparkSession.sparkContext.defaultParallelism)
+    sets = staged(miner.fit(staged(rows)).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")))
+    hits = sets.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items"), F.col("support").alias("hits")).where(F.size("items") > 0)
+    return hits.join(sets, "items")
+
+
+def minimal_sets(held: DataFrame, least: int, least_hits: float) -> DataFrame:
+    """items, support and hits of the sets of tokens with so many URLs and bad ones
+    at least, of which every part has more URLs and some that are not bad.
+
+    No other set is a rule: a part with the same URLs, or with bad ones alone, is
+    as sure. Parts of such sets are such sets, so each level grows from the one
+    before: two sets of a URL that differ in their last token make a larger one.
+    """
+    levels: list[DataFrame] = []
+    rows = staged(held.where("held is not null").select(F.monotonically_increasing_id().alias("id"), "bad", "held.token"))
+    grown = rows.select("id", "bad", F.explode("token").alias("last")).select("id", "bad", F.array().cast("array<string>").alias("first"), "last")
+    while True:
+        items = F.concat("first", F.array("last"))
+        found = grown.groupBy(items.alias("items")).agg(F.count("*").alias("support"), F.sum("bad").alias("hits")).where((F.col("support") >= least) & (F.col("hits") >= least_hits))
+        if levels:
+            size = len(levels) + 1
+            drop = [F.concat(F.slice("items", 1, i), F.slice("items", i + 2, size)) for i in range(size)]
+            parts = found.select("items", "support", F.explode(F.array(*drop)).alias("part"))
+            known = levels[-1].where("hits < support").select(F.col("items").alias("part"), F.col("support").alias("wider"))
+            whole = parts.join(known, "part").where("wider > support").groupBy("items").agg(F.count("*").alias("parts")).where(F.col("parts") == size)
+            found = found.join(whole.select("items"), "items")
+        levels.append(staged(found))
+        if levels[-1].where("hits < support").isEmpty():
+            break
+        open_sets = levels[-1].where("hits < support").select("items")
+        here = staged(grown.withColumn("items", items).join(open_sets, "items").select("id", "bad", "first", "last"))
+        other = here.select("id", "first", F.col("last").alias("next"))
+        grown = here.join(other, ["id", "first"]).where("last < next").select("id", "bad", F.concat("first", F.array("last")).alias("first"), F.col("next").alias("last"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def mined_rules(urls: DataFrame, least_urls: int = LEAST_URLS, least_support: float = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -105,14 +148,16 @@ def mined_rules(urls: DataFrame, least_urls: int = LEAST_URLS, least_support: fl
     least = max(least_urls, -int(-least_support * total // 1))
     if not bad or total < least:
         return spark.createDataFrame([], schema)
-    miner = FPGrowth(itemsCol="items", minSupport=max(1, least * least_confidence) / total, numPartitions=spark.sparkContext.defaultParallelism)
-    sets = staged(miner.fit(staged(transactions(urls, least))).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")))
-    hits = sets.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items"), F.col("support").alias("hits")).where(F.size("items") > 0)
-    rate = bad / total
+    rate, least_hits = bad / total, least * least_confidence
+    held = staged(frequent_items(urls, least, total))
+    if held.where(F.size("held") > MOST_SUBSETS_OF).isEmpty():
+        sets = frequent_sets(held, least_hits, total)
+    else:
+        sets = minimal_sets(held, least, least_hits)
     likely = F.lit(rate) * F.col("support") + LEAST_DEVIATIONS * F.sqrt(F.lit(rate * (1 - rate)) * F.col("support"))
-    good = hits.join(sets, "items").where((F.col("support") >= least) & (F.col("hits") >= least_confidence * F.col("support")) & (F.col("hits") >= likely))
-    good = good.select(F.array_join("items", " & ").alias("rule"), "items", "support", (F.col("hits") / F.col("support")).alias("confidence"))
-    alone = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("support").alias("n"))
+    good = sets.where((F.col("support") >= least) & (F.col("hits") >= least_confidence * F.col("support")) & (F.col("hits") >= likely))
+    good = staged(good.withColumn("items", F.array_sort("items")).select(F.array_join("items", " & ").alias("rule"), "items", "support", (F.col("hits") / F.col("support")).alias("confidence")))
+    alone = held.select(F.explode("held").alias("e")).select(F.col("e.token").alias("item"), F.col("e.n").alias("n")).distinct()
     anchors = good.select("rule", F.explode("items").alias("item")).join(alone, "item").groupBy("rule").agg(F.min(F.struct("n", "item")).alias("rarest"))
     rules = staged(good.join(anchors.select("rule", F.col("rarest.item").alias("anchor")), "rule"))
     wider = matches(rules.select(F.col("rule").alias("key"), F.col("items").alias("tokens"), F.col("confidence").alias("own")), rules, "own")

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -101,6 +101,29 @@ def test_mined_rules_are_those_of_counting_all_subsets(spark):
     assert len(found) == len(pages) and blocked > 20
 
 
+def test_rules_of_urls_with_many_tokens(spark):
+    """A pair that says bad stands beside 20 rarer tokens of the same URLs."""
+    rng = random.Random(6)
+    pages, bad = [], []
+    for i in range(1200):
+        spam = i % 6 == 0
+        rare = [f"r{k}" for k in rng.sample(range(60), 20)]
+        common = ["cheap", "pills"] if spam else rng.choice([["cheap"], ["pills"], ["books"]])
+        pages.append((i, f"http://a.net/{'/'.join(rare + common)}/{i}"))
+        bad.append((i, int(rng.random() < (0.9 if spam else 0.2))))
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
+    found = url_rules.judged(*frames, least_support=0.07).where("mined_rule is not null").collect()
+    assert {r.page_id for r in found if r.mined_rule == "path:cheap & path:pills"} and {r.page_id for r in found} >= {i for i, _ in pages if i % 6 == 0}
+
+
+def test_both_ways_of_mining_agree(spark, monkeypatch):
+    pages, bad = url_pages()
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
+    wanted = Counter(map(tuple, url_rules.judged(*frames).collect()))
+    monkeypatch.setattr(url_rules, "MOST_SUBSETS_OF", 3)
+    assert Counter(map(tuple, url_rules.judged(*frames).collect())) == wanted
+
+
 AWKWARD_URLS = [
     None, "", "no scheme", "://", "http://", "http://ORG/", "http://org", "HTTP://Example.ORG/es/1", "http://x.example.org/en/19", "http://badexample.org/es/", "http://a.com/fr/?x=http://b/", "a://b://c.com/de/#f",
     "http://a.com?/de/", "http://com/de", "http://ÄB.com/de/x", "http://" + "a." * 3000 + "org/" + "x/" * 20_000, "http://user@example.org:80/es/", "x\n://o.org/\n", "http://org/", "http://org/",
