@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .base import free_worker_table, join_hot, map_texts, staged
 from .components import components
-from .simhash import SEED, links, local_roots, majority, mixed, shingle_hashes, without_dropped
+from .simhash import SEED, first_places, forest, links, local_roots, majority, mixed, relabelled, shingle_hashes, without_dropped
 
 #: Sets of shingles, and shingles in all, that one tile of a proposed group holds on average at most.
 TILE_SETS, TILE_SHINGLES = 256, 1 << 20
@@ -50,7 +50,7 @@ def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def similar(a: tuple, b: tuple | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a set of tile ``a`` and one of ``b`` (of two of ``a`` if that is
     None) whose Jaccard similarity is at least ``similarity``, reduced to a
-    forest with the same components."""
+    forest with the same components; sets of the same name are linked already."""
     (names, sizes, hashes), (others, lengths, shingles) = a, a if b is None else b
     order = np.argsort(hashes, kind="stable")
     keys, owners = hashes[order], np.repeat(np.arange(len(names)), sizes)[order]
@@ -67,11 +67,8 @@ def similar(a: tuple, b: tuple | None, similarity: float) -> tuple[np.ndarray, n
         right.append(np.full(len(hit), j))
     nodes = names if b is None else np.concatenate([names, others])
     i, j = np.concatenate(left), np.concatenate(right) + (0 if b is None else len(names))
-    labels = local_roots(len(nodes), np.arange(len(nodes)), i, j)
-    moved = np.flatnonzero(labels != np.arange(len(nodes)))
-    u, v = nodes[moved], nodes[labels[moved]]
-    differ = u != v
-    return u[differ], v[differ]
+    own = first_places(nodes)
+    return forest(nodes, own, local_roots(len(nodes), own.copy(), i, j))
 
 
 def verified(members: DataFrame, docs: DataFrame, shingle: int, similarity: float, parallel: int) -> DataFrame:
@@ -81,7 +78,8 @@ def verified(members: DataFrame, docs: DataFrame, shingle: int, similarity: floa
 
     All pairs of a group are compared, in tiles of bounded size: a large group
     is divided over as many tasks as it has pairs of tiles, and no row is made
-    of a pair of documents.
+    of a pair of documents. A tile is linked within first and its sets take
+    their group's name, so two tiles add a link per pair of such groups.
     """
     groups = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / TILE_SETS, F.col("total") / TILE_SHINGLES)).cast("int")
@@ -91,21 +89,34 @@ def verified(members: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     keys = {c: F.col(c) for c in ("root", "set", "chunks", "chunk")}
     sets = map_texts(texts, lambda batch: {"hashes": [shingle_set(t, shingle).view(np.int64) for t in batch]}, "hashes array<long>", keys)
     tiles = staged(sets.groupBy("root", "chunks", "chunk").agg(F.collect_set(F.struct("set", "hashes")).alias("rows")))
-    within = tiles.select(F.col("rows").alias("rows_a"), F.lit(None).cast(tiles.schema["rows"].dataType).alias("rows_b"))
-    large = tiles.where("chunks > 1")
-    left = large.where("chunk + 1 < chunks").select("root", F.col("rows").alias("rows_a"), F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
+    renamed = "root long, chunks int, chunk int, u array<long>, v array<long>"
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                u, v = similar(unpacked(batch.column(3)[k].values), None, similarity)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k : k + 1] for c in range(3)), *(pa.array([x], pa.list_(pa.int64())) for x in (u, v))], names=["root", "chunks", "chunk", "u", "v"])
+
+    own = staged(tiles.select("root", "chunks", "chunk", "rows").mapInArrow(linked, renamed))
+    within = own.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+    large = tiles.where("chunks > 1").join(own.select("root", "chunk", "u", "v"), ["root", "chunk"])
+    left = large.where("chunk + 1 < chunks").select("root", *[F.col(c).alias(f"{c}_a") for c in ("rows", "u", "v")], F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
     left = left.repartition(parallel, "root", "chunk")
-    across = left.join(large.repartition(parallel, "root", "chunk").hint("shuffle_hash"), ["root", "chunk"]).select("rows_a", F.col("rows").alias("rows_b"))
+    across = left.join(large.repartition(parallel, "root", "chunk").hint("shuffle_hash"), ["root", "chunk"]).select("rows_a", "u_a", "v_a", "rows", "u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker_table()
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (unpacked(s.values) if (s := batch.column(c)[k]).is_valid else None for c in (0, 1))
-                u, v = similar(a, b, similarity)
+                named = []
+                for c in (0, 3):
+                    names, *rest = unpacked(batch.column(c)[k].values)
+                    named.append((relabelled(names, *(np.asarray(batch.column(c + i)[k].values) for i in (1, 2))), *rest))
+                u, v = similar(*named, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return within.unionByName(across).mapInArrow(run, "u long, v long")
+    return within.unionByName(across.mapInArrow(run, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, shingle: int, lanes: int, radius: int, similarity: float) -> DataFrame:

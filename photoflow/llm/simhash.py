@@ -80,15 +80,38 @@ def local_roots(n: int, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
             labels = hop
 
 
+def first_places(nodes: np.ndarray) -> np.ndarray:
+    """For each place, the first one with the same node."""
+    _, first, of = np.unique(nodes, return_index=True, return_inverse=True)
+    return first[of]
+
+
+def forest(nodes: np.ndarray, own: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link from each node that was joined to another one, to the least of its group."""
+    moved = np.flatnonzero((own == np.arange(len(nodes))) & (labels != own))
+    return nodes[moved], nodes[labels[moved]]
+
+
+def relabelled(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Nodes, each by the one that a forest links it to."""
+    out, order = nodes.copy(), np.argsort(u)
+    if len(u):
+        at = np.minimum(np.searchsorted(u[order], nodes), len(u) - 1)
+        out = np.where(u[order][at] == nodes, v[order][at], nodes)
+    return out
+
+
 def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles, reduced to a forest with the same components.
 
-    Rows of a tile are (node, word 0, word 1, ...).  In a link, some word
-    differs in at most radius / words bits: each word nominates pairs by that
-    bound, and the sum over all words decides.
+    Rows of a tile are (node, word 0, word 1, ...); rows of the same node are
+    linked already.  In a link, some word differs in at most radius / words
+    bits: each word nominates pairs by that bound, and the sum over all words
+    decides.
     """
     nodes = np.concatenate([left[:, 0], right[:, 0]])
-    labels, words = np.arange(len(nodes)), left.shape[1] - 1
+    own = first_places(nodes)
+    labels, words = own.copy(), left.shape[1] - 1
     a, b = left[:, 1:].astype(np.uint64), right[:, 1:].astype(np.uint64)
     columns = [np.ascontiguousarray(b[:, w]) for w in range(words)]
     for at in range(0, len(a), BLOCK):
@@ -102,17 +125,15 @@ def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.nd
             i, j = i[near], j[near]
         if len(i):
             labels = local_roots(len(nodes), labels, i, j + len(a))
-    moved = np.flatnonzero(labels != np.arange(len(nodes)))
-    u, v = nodes[moved], nodes[labels[moved]]
-    differ = u != v
-    return u[differ], v[differ]
+    return forest(nodes, own, labels)
 
 
 def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame:
     """A forest (u, v) over fingerprints that differ in at most ``radius`` bits.
 
-    A tile holds fingerprints of one population count over all words. Two
-    tiles whose counts differ by more than the radius cannot hold a link and
+    A tile holds fingerprints of one population count over all words. It is
+    linked within first, and its nodes take their group's name, so that two
+    tiles add a link per pair of such groups, not one per node. Two tiles whose counts differ by more than the radius cannot hold a link and
     never meet; the others meet in one task per pair, as packed rows. Which
     tiles meet is a table of their numbers, found by a join.
     """
@@ -122,9 +143,22 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
     chunks = [-(-sizes.get(p, 0) // TILE) for p in range(most + 1)]
     count = F.element_at(F.array(*[F.lit(max(c, 1)) for c in chunks]), F.col("pop") + 1)
     packed = F.flatten(F.collect_list(F.array("node", *[f"f{i}" for i in range(lanes)])))
-    tiles = staged(nodes.groupBy("pop", F.pmod(F.xxhash64("node", F.lit(1)), count).cast("int").alias("chunk")).agg(packed.alias("rows")))
+    tiles = nodes.groupBy("pop", F.pmod(F.xxhash64("node", F.lit(1)), count).cast("int").alias("chunk")).agg(packed.alias("rows"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = np.array(batch.column(2)[k].values).astype(np.int64).reshape(-1, lanes + 1)
+                u, v = tile_forest(rows, rows, radius)
+                rows[:, 0] = relabelled(rows[:, 0], u, v)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], batch.column(1)[k : k + 1], *(pa.array([x], pa.list_(pa.int64())) for x in (rows.ravel(), u, v))], names=["pop", "chunk", "rows", "u", "v"])
+
+    tiles = staged(tiles.repartition(parallel, "pop", "chunk").mapInArrow(linked, "pop int, chunk int, rows array<long>, u array<long>, v array<long>"))
+    within = tiles.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+    tiles = tiles.select("pop", "chunk", "rows")
     near = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.explode(F.sequence("pop", F.least(F.col("pop") + radius, F.lit(most)))).alias("pop"))
-    meeting = near.join(tiles.select("pop", "chunk"), "pop").where("pop > pop_a or chunk >= chunk_a")
+    meeting = near.join(tiles.select("pop", "chunk"), "pop").where("pop > pop_a or chunk > chunk_a")
     left = meeting.join(tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a")), ["pop_a", "chunk_a"])
     left = left.select("rows_a", "pop", "chunk").repartition(parallel, "pop", "chunk")
     pairs = left.join(tiles.repartition(parallel, "pop", "chunk").hint("shuffle_hash"), ["pop", "chunk"]).select("rows_a", "rows")
@@ -137,7 +171,7 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
                 u, v = tile_forest(a, b, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return within.unionByName(pairs.mapInArrow(run, "u long, v long"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 3) -> DataFrame:

@@ -74,3 +74,17 @@ def test_large_group_in_tiles(spark, monkeypatch, most):
         rows.append((i, " ".join(other)))
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, corpus_pipeline.RADIUS, 0.8)
     assert {r.doc_id: r.component_id for r in found.collect()} == plain_components(rows)
+
+
+def test_tiles_of_a_group_add_few_links(spark, monkeypatch):
+    """Links of a large group are about as many as its sets, not times its tiles."""
+    monkeypatch.setattr(near_copies, "TILE_SETS", 20)
+    counted = []
+    run = near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges: counted.append(edges.count()) or run(edges))
+    rng = np.random.default_rng(10)
+    base = words(rng, 300)
+    rows = [(i, " ".join([*base[: 1 + i % 290], f"z{i}", *base[2 + i % 290 :]])) for i in range(200)]
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, corpus_pipeline.RADIUS, 0.8)
+    assert {r.component_id for r in found.collect()} == {0}
+    assert counted[1] <= 200 + 15 * 15 and counted[0] < 1000
