@@ -23,18 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import free_name, map_texts, named, table, worker_table
-from .pieces import SPACE, Bounded, Pieces, default_model, shared_model
+from .pieces import SPACE, TABLE_BYTES, Bounded, Pieces, default_model, shared_model
 
 #: Ids that are spelled at once.
 BLOCK = 1 << 17
+#: A generation of each table of a worker that holds no others before.
+ALONE_BYTES = 48 << 20
 
 
 class Transducer:
-    """Shortest paths of whole texts, and what ids spell."""
+    """Shortest paths of whole texts, and what ids spell. ``most`` bounds a
+    generation of the table of chunks' paths."""
 
-    def __init__(self, model: Pieces):
+    def __init__(self, model: Pieces, most: int = TABLE_BYTES):
         self.model = model
-        self.paths = Bounded(lambda chunk: np.array(model.shortest(chunk), dtype="<i4").tobytes())
+        self.paths = Bounded(lambda chunk: np.array(model.shortest(chunk), dtype="<i4").tobytes(), most)
         self.spelled = [b"" if i in model.control else p.replace(SPACE, " ").encode() for i, p in enumerate(model.text)]
         for byte, i in model.byte_ids.items():
             self.spelled[i] = bytes([byte])
@@ -71,9 +74,9 @@ class Transducer:
         return [t.lstrip(b" ") if trim else t[1:] if front and t[:1] == b" " else t for t in texts]
 
 
-def transducer_of(model: bytes) -> Transducer:
+def transducer_of(model: bytes, most: int = TABLE_BYTES) -> Transducer:
     """The compiled machine of a model file, shared by the tasks of a worker."""
-    return worker_table(("paths", model), lambda: Transducer(Pieces(model)))
+    return worker_table(("paths", model, most), lambda: Transducer(Pieces(model, most), most))
 
 
 def coded_batch(machine: Transducer, texts: list[bytes], both: bool) -> dict:
@@ -89,11 +92,11 @@ def coded_batch(machine: Transducer, texts: list[bytes], both: bool) -> dict:
     return made
 
 
-def coded(docs: DataFrame, model_path: str, keys: tuple[str, ...], both: bool) -> DataFrame:
+def coded(docs: DataFrame, model_path: str, keys: tuple[str, ...], both: bool, most: int = TABLE_BYTES) -> DataFrame:
     shared = shared_model(docs.sparkSession, model_path)
 
     def kernel(texts: list[bytes]) -> dict:
-        return coded_batch(transducer_of(shared.value), texts, both)
+        return coded_batch(transducer_of(shared.value, most), texts, both)
 
     own = ["text_crc32", "n_tokens", "ids", *(["decoded", "round_trip"] if both else [])]
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -134,16 +137,17 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",), most: int = TABLE_BYTES) -> DataFrame:
     """``encode`` and ``decode`` in one pass, so that a task holds one compiled
     machine: the columns of both, and round_trip, whether the decoded text is
     the one that went in (null as empty). A normaliser that rewrites texts
-    makes it false. Awkward rows and names are dealt with as by ``encode``."""
-    return coded(docs, model_path, keys, both=True)
+    makes it false. Awkward rows and names are dealt with as by ``encode``.
+    ``most``: bytes of a generation of each table of a worker."""
+    return coded(docs, model_path, keys, both=True, most=most)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = round_trip(table(spark, sf_dir, "documents"), default_model())
+    both = round_trip(table(spark, sf_dir, "documents"), default_model(), most=ALONE_BYTES)
     return both.select("doc_id", "n_tokens", "ids", "text_crc32", "round_trip")
 
 

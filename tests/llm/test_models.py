@@ -208,3 +208,10 @@ def test_long_texts_of_one_word():
     text = "".join(random.Random(2).choice("abcdefgh0123456789") for _ in range(200_000))
     assert np.frombuffer(machine.encode(text), dtype="<i4").tolist() == library.encode(text)
     assert len(machine.paths) == 0
+
+
+def test_op7_keeps_more_paths_than_the_pipeline():
+    with open(pieces.default_model(), "rb") as file:
+        model = file.read()
+    machine = piece_coding.transducer_of(model, piece_coding.ALONE_BYTES)
+    assert machine.paths.most == machine.model.apart.most == piece_coding.ALONE_BYTES > piece_coding.transducer_of(model).paths.most
