@@ -126,7 +126,8 @@ def near_copies(docs: DataFrame, shingle: int, lanes: int, radius: int, similari
     Two documents are linked when their sets of distinct shingles (XXH64 of
     runs of ``shingle`` words) have a Jaccard similarity of ``similarity`` or
     more, or are equal, as of texts without words. Fingerprints of ``64 *
-    lanes`` bits that differ in at most ``radius`` propose groups; every pair
+    lanes`` bits that differ in at most ``radius``, of sets whose sizes allow
+    that similarity, propose groups; every pair
     within a proposed group is then compared by its shingles. A pair is missed
     only if no chain of proposals joins it. Sets so small that one shingle
     more or less is below ``similarity`` are linked to equal ones only.
@@ -144,10 +145,10 @@ def near_copies(docs: DataFrame, shingle: int, lanes: int, radius: int, similari
     one = F.min(F.struct("doc_id", "tag")).alias("one")
     sets = narrow.groupBy("set", "size", *words).agg(F.min("doc_id").alias("least_id"), one, F.count("*").alias("n"))
     same = ["set", "size", *words]
-    sets = staged(sets.withColumnsRenamed({"set": "digest"}).withColumns({"set": F.monotonically_increasing_id(), "node": F.xxhash64(*words)}))
+    sets = staged(sets.withColumnsRenamed({"set": "digest"}).withColumns({"set": F.monotonically_increasing_id(), "node": F.xxhash64(*words, "size")}))
     large = sets.where(F.col("size") / (F.col("size") + 1) >= similarity)
-    nodes = staged(large.groupBy("node", *words).agg(F.min("least_id").alias("least_id")))
-    proposed = components(links(nodes, lanes, radius, parallel))
+    nodes = staged(large.groupBy("node", "size", *words).agg(F.min("least_id").alias("least_id")))
+    proposed = components(links(nodes, lanes, radius, parallel, similarity))
     members = large.join(proposed, "node", "left").select(F.coalesce("root", "node").alias("root"), "set", "size", "one.doc_id", "one.tag")
     roots = components(verified(members, docs, shingle, similarity, parallel))
     labelled = staged(sets.select("set", "digest", "size", *words, "least_id", "n").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from .components import components
 SEED = 42
 #: Distinct fingerprints of one tile, on average at most.
 TILE = 32768
-#: Rows of a tile that are compared with the other tile at once.
-BLOCK = 64
+#: Rows of a tile whose links are joined at once; rows and columns that are compared at once, few enough for a core's cache.
+BLOCK, ROWS, COLUMNS = 64, 8, 4096
+#: Bands of set sizes, of which so many lie between two sizes that are just alike enough.
+BANDS = 4
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -101,34 +104,51 @@ def relabelled(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two tiles, reduced to a forest with the same components.
+def near_pairs(a: np.ndarray, columns: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of ``a`` and places of ``columns`` whose words differ in at most ``radius`` bits."""
+    left, right, n = [], [], len(columns[0])
+    for at in range(0, len(a), ROWS):
+        rows = a[at : at + ROWS]
+        for start in range(0, n, COLUMNS):
+            words = [c[start : start + COLUMNS] for c in columns]
+            differing = np.empty((len(rows), len(words[0])), dtype=np.uint64)
+            count, total = (np.empty(differing.shape, dtype=np.uint8) for _ in range(2))
+            for w, word in enumerate(words):
+                np.bitwise_xor(rows[:, w : w + 1], word, out=differing)
+                np.bitwise_count(differing, out=count if w else total)
+                if w:
+                    np.add(total, count, out=total)
+            hit = np.flatnonzero(total <= radius)
+            if len(hit):
+                i, j = np.divmod(hit, total.shape[1])
+                left.append(i + at)
+                right.append(j + start)
+    if not left:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    # a count of 256 bits is 0 in a byte
+    near = sum(np.bitwise_count(a[i, w] ^ c[j]).astype(np.int64) for w, c in enumerate(columns)) <= radius
+    return i[near], j[near]
 
-    Rows of a tile are (node, word 0, word 1, ...); rows of the same node are
-    linked already.  In a link, some word differs in at most radius / words
-    bits: each word nominates pairs by that bound, and the sum over all words
-    decides.
-    """
+
+def tile_forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles, or within one that is given twice, reduced to a
+    forest with the same components. Rows of a tile are (node, word 0, word 1,
+    ...); rows of the same node are linked already."""
     nodes = np.concatenate([left[:, 0], right[:, 0]])
     own = first_places(nodes)
     labels, words = own.copy(), left.shape[1] - 1
-    a, b = left[:, 1:].astype(np.uint64), right[:, 1:].astype(np.uint64)
-    columns = [np.ascontiguousarray(b[:, w]) for w in range(words)]
+    a = np.ascontiguousarray(left[:, 1:]).view(np.uint64)
+    columns = [np.ascontiguousarray(right[:, 1 + w]).view(np.uint64) for w in range(words)]
     for at in range(0, len(a), BLOCK):
-        hit = np.zeros((min(BLOCK, len(a) - at), len(b)), dtype=bool)
-        for w, column in enumerate(columns):
-            hit |= np.bitwise_count(a[at : at + BLOCK, w : w + 1] ^ column) <= radius // words
-        i, j = np.nonzero(hit)
-        i = i + at
-        if words > 1 and len(i):
-            near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
-            i, j = i[near], j[near]
+        first = at if left is right else 0  # the rows before met these already
+        i, j = near_pairs(a[at : at + BLOCK], [c[first:] for c in columns], radius)
         if len(i):
-            labels = local_roots(len(nodes), labels, i, j + len(a))
+            labels = local_roots(len(nodes), labels, i + at, j + first + len(a))
     return forest(nodes, own, labels)
 
 
-def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame:
+def links(nodes: DataFrame, lanes: int, radius: int, parallel: int, similarity: float | None = None) -> DataFrame:
     """A forest (u, v) over fingerprints that differ in at most ``radius`` bits.
 
     A tile holds fingerprints of one population count over all words. It is
@@ -136,10 +156,19 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
     tiles add a link per pair of such groups, not one per node. Two tiles whose counts differ by more than the radius cannot hold a link and
     never meet; the others meet in one task per pair, as packed rows. Which
     tiles meet is a table of their numbers, found by a join.
+
+    With ``similarity``, nodes are sets and have a size: a tile holds sets of
+    one band of sizes instead, and meets those of the bands in which a set may
+    have that Jaccard similarity, which the ratio of the sizes bounds.
     """
-    most = 64 * lanes
-    nodes = nodes.withColumn("pop", sum((F.bit_count(f"f{i}") for i in range(1, lanes)), F.bit_count("f0")).cast("int"))
+    if similarity is None:
+        band, most, reach = sum((F.bit_count(f"f{i}") for i in range(1, lanes)), F.bit_count("f0")), 64 * lanes, radius
+    else:
+        # a little wider, so that rounding never puts sizes of just that ratio a band too far apart
+        band, most, reach = F.floor(F.log(F.col("size").cast("double")) / (-math.log(similarity) / BANDS * (1 + 1e-9))), None, BANDS
+    nodes = nodes.withColumn("pop", band.cast("int"))
     sizes = {r["pop"]: r["n"] for r in nodes.groupBy("pop").agg(F.count("*").alias("n")).collect()}
+    most = max(sizes, default=0) if most is None else most
     chunks = [-(-sizes.get(p, 0) // TILE) for p in range(most + 1)]
     count = F.element_at(F.array(*[F.lit(max(c, 1)) for c in chunks]), F.col("pop") + 1)
     packed = F.flatten(F.collect_list(F.array("node", *[f"f{i}" for i in range(lanes)])))
@@ -157,7 +186,7 @@ def links(nodes: DataFrame, lanes: int, radius: int, parallel: int) -> DataFrame
     tiles = staged(tiles.repartition(parallel, "pop", "chunk").mapInArrow(linked, "pop int, chunk int, rows array<long>, u array<long>, v array<long>"))
     within = tiles.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
     tiles = tiles.select("pop", "chunk", "rows")
-    near = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.explode(F.sequence("pop", F.least(F.col("pop") + radius, F.lit(most)))).alias("pop"))
+    near = tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.explode(F.sequence("pop", F.least(F.col("pop") + reach, F.lit(most)))).alias("pop"))
     meeting = near.join(tiles.select("pop", "chunk"), "pop").where("pop > pop_a or chunk > chunk_a")
     left = meeting.join(tiles.select(F.col("pop").alias("pop_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a")), ["pop_a", "chunk_a"])
     left = left.select("rows_a", "pop", "chunk").repartition(parallel, "pop", "chunk")

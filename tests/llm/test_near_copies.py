@@ -88,3 +88,26 @@ def test_tiles_of_a_group_add_few_links(spark, monkeypatch):
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, corpus_pipeline.RADIUS, 0.8)
     assert {r.component_id for r in found.collect()} == {0}
     assert counted[1] <= 200 + 15 * 15 and counted[0] < 1000
+
+
+def test_sets_of_unlike_sizes_never_meet(spark, monkeypatch):
+    """Fingerprints are compared where sizes allow the similarity: the pairs of sizes of 0.8 all, and few others."""
+    sizes = [4, 5, 8, 10, 16, 20, 100, 125, 1000, 1250, 8000, 10000]
+    rows = [(k, n, *map(int, np.random.default_rng(k).integers(-(2**62), 2**62, 4))) for k, n in enumerate(sizes)]
+    equal = [(100 + k, n, 1, 2, 3, 4) for k, n in enumerate(sizes)]
+    nodes = spark.createDataFrame(rows + equal, "node long, size int, f0 long, f1 long, f2 long, f3 long")
+    found = {frozenset((r.u, r.v)) for r in near_copies.links(nodes, 4, 72, 4, 0.8).collect()}
+    sized = dict(zip(range(100, 112), sizes))
+    assert {frozenset((100 + k, 101 + k)) for k in range(0, 12, 2)} <= found
+    assert all(min(sized[i] for i in e) / max(sized[i] for i in e) > 0.7 for e in found)
+
+
+def test_tile_pairs_by_plain_loops():
+    from photoflow.llm import simhash
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, (150, 4)).astype(np.uint64)
+    b = np.concatenate([a[:100] ^ (np.uint64(1) << rng.integers(0, 64, (100, 4)).astype(np.uint64)), ~a[100:], a[:9]])
+    i, j = simhash.near_pairs(a, [np.ascontiguousarray(b[:, w]) for w in range(4)], 100)
+    counts = np.array([[sum(int(x ^ y).bit_count() for x, y in zip(p, q, strict=True)) for q in b] for p in a])
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(counts <= 100)), strict=True))
